@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import media, urlfilter
+from facetry.llm import html_extract, media, packing, urlfilter, warc
 from facetry.sources.tables import table
 
 
@@ -12,11 +12,23 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op8_url_filters)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op6_warc_index, op8_url_filters, op9_best_fit_packing, op10_html_extraction)}
 
 ORACLES = {
     "op8_url_filters": r"""
