@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import html_extract, media, packing, urlfilter, warc
+from facetry.llm import decontam, html_extract, media, packing, urlfilter, warc
 from facetry.sources.tables import table
 
 
@@ -16,6 +16,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -28,9 +32,51 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op6_warc_index, op8_url_filters, op9_best_fit_packing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op6_warc_index, op7_benchmark_decontamination, op8_url_filters, op9_best_fit_packing, op10_html_extraction)}
 
 ORACLES = {
+    "op7_benchmark_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, text, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, text, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, text, dw.n, i, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+words AS (SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, unnest(range(i, i + n)) AS p FROM h) GROUP BY ALL),
+items AS (SELECT doc_id, text, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, text, item FROM h) GROUP BY ALL)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words ON d.doc_id IS NOT DISTINCT FROM words.doc_id AND d.text = words.text
+       LEFT JOIN items ON d.doc_id IS NOT DISTINCT FROM items.doc_id AND d.text = items.text
+""",
+    "op6_warc_index": r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, CAST(octet_length(CAST(encode(coalesce(html, '')) AS BLOB)) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+u AS (
+  SELECT *, CASE WHEN url IS NULL THEN '' ELSE url END AS u0, regexp_extract(coalesce(url, ''), '^[^:]*://([^/?#]*)', 1) AS h0
+  FROM p),
+k AS (
+  SELECT *, regexp_replace(h0, '^www\.', '') AS host, regexp_replace(substr(u0, strpos(u0, '://') + 3 + length(h0)), '#.*$', '') AS rest
+  FROM u),
+w AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS winner
+  FROM k)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> winner THEN winner END AS refers_to,
+       array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key,
+       1704067200 + page_id AS captured
+FROM w
+""",
     "op8_url_filters": r"""
 WITH parts AS (
   SELECT page_id,
