@@ -22,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,7 +176,7 @@ class PartialMatching:
         return [self.languages[k] for k in best], (1 / share.sum(1)).tolist()
 
 
-_MODELS: dict[int, PartialMatching] = {}
+_MODELS: dict[str, PartialMatching] = {}
 
 
 def _has_letter(text: str) -> bool:
@@ -187,6 +188,7 @@ def identify(documents: DataFrame, trained: list[tuple[str, bytes]] | None = Non
     spark = documents.sparkSession
     ship(spark)
     trained = sample(documents) if trained is None else trained
+    name = uuid.uuid4().hex
     held = spark.sparkContext.broadcast(trained)  # at most languages x documents x bytes of the sample
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
     types = arrow_types(documents, schema)
@@ -195,10 +197,10 @@ def identify(documents: DataFrame, trained: list[tuple[str, bytes]] | None = Non
         model = None
         for whole in batches:
             if held.value and model is None:
-                if held.id not in _MODELS:
+                if name not in _MODELS:
                     _MODELS.clear()
-                    _MODELS[held.id] = PartialMatching(held.value)
-                model = _MODELS[held.id]
+                    _MODELS[name] = PartialMatching(held.value)
+                model = _MODELS[name]
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = [x or "" for x in batch.column("text").to_pylist()]
