@@ -39,7 +39,7 @@ _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9À-ɏ][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
     |(?P<secret>(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?(?P<value>[0-9A-Za-z_\-]{8,})(?![0-9A-Za-z_\-]))
     |(?P<iban>(?<![\w])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![\w]))
-    |(?P<date>(?<![\w.])(?:\d{4}([-/])\d{2}\7\d{2}|\d{2}([./-])\d{2}\8\d{4})(?![\w]))
+    |(?P<date>(?<![\w.])(?:\d{4}(?P<s1>[-/])\d{2}(?P=s1)\d{2}|\d{2}(?P<s2>[./-])\d{2}(?P=s2)\d{4})(?![\w]))
     |(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w])\d(?:[\ -]?\d){12,18}(?![\w]))
