@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import decontam, html_extract, langid, media, packing, pii, toxicity, urlfilter, warc
+from facetry.llm import decontam, html_extract, langid, media, ngram_join, packing, pii, toxicity, urlfilter, warc
 from facetry.sources.tables import table
 
 
@@ -20,6 +20,10 @@ def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_pii_pseudonyms, op3_toxicity_grammar, op5_language_id, op6_warc_index, op7_benchmark_decontamination, op8_url_filters, op9_best_fit_packing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_pii_pseudonyms, op3_toxicity_grammar, op4_ngram_jaccard_join, op5_language_id, op6_warc_index, op7_benchmark_decontamination, op8_url_filters, op9_best_fit_packing, op10_html_extraction)}
 
 ORACLES = {
     "op7_benchmark_decontamination": r"""
