@@ -10,11 +10,13 @@ least ``NUMERATOR / DENOMINATOR``. The join is exact:
 3. The token-group matrix holds, per leading shingle, the groups it occurs in and their
    sizes. An entry asks its leading shingles for groups that can hold a partner; entries
    without a match are done.
-4. An asked group is opened by a query only when the query's overlap with the union of
-   the group's shingles reaches the least overlap that any of its members needs. Then
-   exact overlaps with all members follow. Only a spanning forest of the links leaves the
-   task, so a group of copies never makes all pairs.
-5. Components of the forest are found by large-star and small-star rounds.
+4. Histograms of the sets, of some bytes per shingle, bound the overlap of a query with
+   a group's members; a query opens only groups where some member's bound reaches the
+   overlap that a link needs, and only such queries and members bring their texts.
+5. In an open group, the query's overlap with the union of the members' shingles is a
+   second bound; then exact overlaps with all members follow. Only a spanning forest of
+   the links leaves the task, so a group of copies never makes all pairs.
+6. Components of the forest are found by large-star and small-star rounds.
 
 A text is hashed by arrays: words by a polynomial over bytes, shingles by mixing three
 word hashes, all 64 bits.
@@ -161,12 +163,24 @@ def levels(documents: DataFrame) -> np.ndarray:
     return (2 * np.log2(total + 1.0)).astype(np.uint8)
 
 
-SIGNATURES = "doc_id long, n long, fp binary, common long, low long, lead array<long>"
+def histogram(found: np.ndarray) -> bytes:
+    """Shingles by ranges of their hash, about four a range: for any two sets the sum of
+    the ranges' minima is at least what they share."""
+    bits = min(16, max(5, (len(found) // 4).bit_length()))
+    return np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
+def folded(ranges: np.ndarray, size: int) -> np.ndarray:
+    """Histograms (the last axis) with ``size`` ranges."""
+    return ranges if ranges.shape[-1] == size else ranges.reshape(*ranges.shape[:-1], size, -1).sum(-1)
+
+
+SIGNATURES = "doc_id long, n long, fp binary, common long, low long, lead array<long>, ranges binary"
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """Size, fingerprint, commonest shingle, minimum hash and leading shingles of every
-    document's set; the last four are null for empty sets."""
+    """Size, fingerprint, commonest shingle, minimum hash, leading shingles and histogram
+    of every document's set; all but the size are null for empty sets."""
     spark = documents.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(levels(documents))
@@ -179,13 +193,13 @@ def signatures(documents: DataFrame) -> DataFrame:
             for found in shingles([x or "" for x in batch.column(1).to_pylist()]):
                 n = len(found)
                 if not n:
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, None))
                     continue
                 rank = level[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
                 order = np.argsort(rank, kind="stable")  # ties by hash, as the set ascends
                 common = found[np.flatnonzero(rank == rank.max())[0]]
-                rows.append((n, blake2b(found.tobytes(), digest_size=16).digest(), int(common.view(np.int64)), int(_mix(found).min().view(np.int64)), found[order[:p]].view(np.int64)))
+                rows.append((n, blake2b(found.tobytes(), digest_size=16).digest(), int(common.view(np.int64)), int(_mix(found).min().view(np.int64)), found[order[:p]].view(np.int64), histogram(found)))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(types)[1:], strict=True)]], schema=types)
 
@@ -308,19 +322,87 @@ class _Group:
         return out
 
 
+def _spread(asked: DataFrame) -> DataFrame:
+    """The asked rows with ``part`` and ``query``: a group's members go to all its parts
+    as members and to one as a query, other queries go to one part."""
+    shares = asked.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_SIZE).cast("long").alias("parts"))
+    home = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    to = F.explode(F.when(F.col("own"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(home)))
+    spread = asked.join(shares, "gid").select(*asked.columns, home.alias("home"), to.alias("part"))
+    return spread.withColumn("query", F.col("home") == F.col("part")).drop("home")
+
+
+def _bounded(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """Those of the asked rows, for queries and members alike, that have a partner in the
+    group by the bound of their histograms."""
+    sent = _spread(asked.join(entries.select("fp", "n", "ranges"), "fp"))
+    sent = sent.select("gid", "part", "own", "query", "fp", "rep", "n", "ranges").repartition("gid", "part").sortWithinPartitions("gid", "part", F.desc("own"), "fp")
+    schema = "fp binary, gid long, rep long, own boolean"
+    types = arrow_types(asked, schema)
+    ship(asked.sparkSession)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, matrix, out = None, [], {}, []
+
+        def partners(name: bytes, n: int, own: np.ndarray) -> bool:
+            """Whether any member may link; marks those that may."""
+            size = min(len(own), matrix["size"])
+            if size not in matrix:
+                matrix[size] = folded(matrix[matrix["size"]], size)
+            # in slices, so that a large group needs no large product
+            mine, step, hit = folded(own, size), max(1, (1 << 21) // size), False
+            for at in range(0, len(members), step):
+                most = np.minimum(matrix[size][at : at + step], mine).sum(1)
+                may = np.flatnonzero((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (matrix["n"][at : at + step] + n)) + at
+                for k in may.tolist():
+                    if members[k][0] != name:
+                        matrix["wanted"][k] = hit = True
+            return hit
+
+        def ready() -> None:
+            if not matrix:
+                size = min(len(m[3]) for m in members)
+                matrix.update({"size": size, size: np.array([folded(m[3], size) for m in members], np.int32), "n": np.array([m[2] for m in members]), "wanted": np.zeros(len(members), bool)})
+
+        def close() -> None:
+            if not members:
+                return
+            ready()
+            if len(members) > 1:
+                for k, (name, _, n, own, query) in enumerate(members):
+                    if query and partners(name, n, own):
+                        matrix["wanted"][k] = True
+            out.extend((members[k][0], key[0], members[k][1], True) for k in np.flatnonzero(matrix["wanted"]).tolist())
+
+        for batch in batches:
+            for gid, part, own, query, fp, rep, n, raw in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
+                if (gid, part) != key:
+                    close()
+                    key, members, matrix = (gid, part), [], {}
+                ranges = np.frombuffer(raw, "<u2").astype(np.int32)
+                if own:
+                    members.append((fp, rep, n, ranges, query))
+                elif members:
+                    ready()
+                    if partners(fp, n, ranges):
+                        out.append((fp, gid, rep, False))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(types)], schema=types)
+            out.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(types)], schema=types)
+
+    return sent.mapInArrow(bound, schema).distinct()
+
+
 def _opened(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """The links ``a, b`` (fingerprints) of a spanning forest inside each opened group."""
     spark = asked.sparkSession
     asked = settled(asked)
-    shares = asked.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_SIZE).cast("long").alias("parts"))
-    # members go to all parts of their group as members, and to one as a query
-    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    spread = asked.join(shares, "gid").select("fp", "rep", "gid", "own", part.alias("home"), F.explode(F.when(F.col("own"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(part))).alias("part"))
-    spread = spread.withColumn("query", F.col("home") == F.col("part")).drop("home")
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").filter(F.col("text").isNotNull())
+    spread = _spread(asked)
+    texts = documents.select(F.col("doc_id").cast("long").alias("_id"), "text").filter(F.col("text").isNotNull())
     if asked.count() <= BROADCAST_ROWS:
         spread = F.broadcast(spread)
-    sent = texts.join(spread, texts.rep.eqNullSafe(spread.rep)).select("gid", "part", "own", "query", "fp", "text")
+    sent = texts.join(spread, texts._id.eqNullSafe(spread.rep)).select("gid", "part", "own", "query", "fp", "text")
     sent = sent.repartition("gid", "part").sortWithinPartitions("gid", "part", F.desc("own"), "fp")
     schema = "a binary, b binary"
     types = arrow_types(documents, schema)
@@ -379,8 +461,8 @@ def components(links: DataFrame) -> DataFrame:
 def classes(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     signed = settled(signatures(documents))
-    entries = _grouped(signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("common").alias("common"), F.first("low").alias("low"), F.first("lead").alias("lead")))
-    forest = _opened(documents, _asked(entries))
+    entries = _grouped(signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("common").alias("common"), F.first("low").alias("low"), F.first("lead").alias("lead"), F.first("ranges").alias("ranges")))
+    forest = _opened(documents, _bounded(settled(_asked(entries)), entries))
     roots = components(forest)
     reps = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     rooted = reps.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
