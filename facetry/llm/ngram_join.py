@@ -45,7 +45,7 @@ from facetry.session import settled, ship
 NUMERATOR, DENOMINATOR = 90, 100
 SHINGLE = 3
 #: Counters of the sketch are 2 to this power.
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 #: Members of a group, and queries that one task takes to a group, at about most.
 GROUP_SIZE, QUERY_SIZE = 1024, 4096
 #: Rows of a side that is broadcast at most; a larger one is joined by shuffle.
@@ -137,7 +137,7 @@ def _text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator
 
 
 def levels(documents: DataFrame) -> np.ndarray:
-    """For each counter of the sketch, how common its shingles are: twice the binary
+    """For each counter of the sketch, how common its shingles are: six times the binary
     logarithm of the documents counted there."""
     ship(documents.sparkSession)
 
@@ -158,9 +158,9 @@ def levels(documents: DataFrame) -> np.ndarray:
 
     counted = documents.select("text").mapInArrow(count, "counts binary")
     total = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for row in counted.repartition(8).mapInArrow(add, "counts binary").collect():  # 8 rows of at most 2 MB
+    for row in counted.repartition(8).mapInArrow(add, "counts binary").collect():  # 8 rows of at most 8 MB
         total += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    return (2 * np.log2(total + 1.0)).astype(np.uint8)
+    return (6 * np.log2(total + 1.0)).astype(np.uint8)
 
 
 def histogram(found: np.ndarray) -> bytes:
@@ -220,7 +220,7 @@ def _asked(entries: DataFrame) -> DataFrame:
     tells its members. Made from the token-group matrix of the leading shingles."""
     spark = entries.sparkSession
     ship(spark)
-    posted = entries.select(F.explode("lead").alias("token"), "fp", "rep", "n", "gid").repartition("token").sortWithinPartitions("token")
+    posted = entries.select("fp", "rep", "n", "gid", F.posexplode("lead").alias("pos", "token")).withColumn("room", F.col("n") - F.col("pos")).select("token", "fp", "rep", "n", "room", "gid").repartition("token").sortWithinPartitions("token")
     schema = "fp binary, rep long, gid long, own boolean"
     types = arrow_types(entries, schema)
 
@@ -241,29 +241,30 @@ def _asked(entries: DataFrame) -> DataFrame:
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows < 2:
             return
-        token, n, gid = (table.column(c).to_numpy() for c in ("token", "n", "gid"))
+        token, n, room, gid = (table.column(c).to_numpy() for c in ("token", "n", "room", "gid"))
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(starts[1:], len(token))
         some = ends - starts > 1
         rows, groups, own = [], [], []
         for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
-            sizes, names = n[a:b], gid[a:b]
+            sizes, names, rooms = n[a:b], gid[a:b], room[a:b]
             # the matrix row of this token: its groups with their smallest and largest entries
+            # and the most shingles that an entry of each has from this one on
             order = np.argsort(names, kind="stable")
             there, first, count = np.unique(names[order], return_index=True, return_counts=True)
             low, high = np.minimum.reduceat(sizes[order], first), np.maximum.reduceat(sizes[order], first)
+            most = np.maximum.reduceat(rooms[order], first)
             mine = np.searchsorted(there, names)
             for g in range(len(there)):
                 # of two groups, entries of the later ask the earlier
                 fits = (mine >= g) & (DENOMINATOR * high[g] >= NUMERATOR * sizes) & (NUMERATOR * low[g] <= DENOMINATOR * sizes)
+                # if this is the first shingle that two sets share, they share no more than
+                # either has from it on; with a former one, that one asks
+                fits &= (NUMERATOR + DENOMINATOR) * np.minimum(rooms, most[g]) >= NUMERATOR * (sizes + low[g])
                 members = mine == g
-                if count[g] == 1:
-                    if not (fits & ~members).any():
-                        continue
-                    fits |= members
-                else:
-                    fits |= members
-                k = np.flatnonzero(fits)
+                if not (fits & ~members).any() and (fits & members).sum() < 2:
+                    continue
+                k = np.flatnonzero(fits | members)
                 rows.append(k + a)
                 groups.append(np.full(len(k), there[g]))
                 own.append(members[k])
