@@ -8,7 +8,7 @@ a probe that hits are compared with the whole window before anything leaves the
 Only verified windows are shuffled, for the counts of each document.
 
 The table of windows is broadcast only while it has at most ``MAX_BROADCAST_WINDOWS``
-rows; beyond, Spark joins by the anchor with a shuffle.
+rows; beyond, single words are shuffled to the anchors and matches joined back.
 
 Edge cases: null and empty texts have no words and no hits; a window that occurs in
 several items counts for all of them; rows that repeat an id and text share one
@@ -55,13 +55,19 @@ def hits(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Data
     """``doc_id, digest, start, n, items`` of every window that occurs; ``start`` counts
     words from 0, ``digest`` tells texts of one id apart."""
     table = windows(benchmark, size)
-    # the benchmark is counted before it is broadcast
-    if table.count() <= MAX_BROADCAST_WINDOWS:
-        table = F.broadcast(table)
-    scanned = documents.select("doc_id", "text", words(F.col("text")).alias("w")).select("doc_id", "text", "w", F.posexplode("w").alias("pos", "word"))
     start = F.col("pos") - F.col("at")
-    found = scanned.join(table, (scanned.word == table.anchor) & (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window")))
-    return found.select("doc_id", F.xxhash64("text").alias("digest"), start.alias("start"), "n", "items")
+    same = F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n")) == F.col("window")
+    if table.count() <= MAX_BROADCAST_WINDOWS:  # counted before it is broadcast
+        scanned = documents.select("doc_id", "text", words(F.col("text")).alias("w")).select("doc_id", "text", "w", F.posexplode("w").alias("pos", "word"))
+        here = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window")
+        found = scanned.join(F.broadcast(table), (scanned.word == table.anchor) & (start >= 0) & here)
+        return found.select("doc_id", F.xxhash64("text").alias("digest"), start.alias("start"), "n", "items")
+    # single words meet the anchors by a shuffle; only texts with a match are joined back
+    keyed = documents.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("w"))
+    probes = keyed.select("doc_id", "digest", F.posexplode("w").alias("pos", "word"))
+    matched = probes.join(table, probes.word == table.anchor).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), start.alias("start"), "n", "window", "items").filter("start >= 0")
+    found = matched.join(keyed, keyed.doc_id.eqNullSafe(matched._id) & (keyed.digest == matched._digest) & same)
+    return found.select("doc_id", "digest", "start", "n", "items")
 
 
 def counted(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -77,20 +83,20 @@ def counted(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
 
 
 def judged(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents with ``n_words, n_hit, items, spans, contaminated``: at least one
-    word in twenty is hit."""
-    found = counted(documents, benchmark, size).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    own = documents.withColumn("_text_digest", F.xxhash64("text")).withColumn("n_words", F.regexp_count(normal(F.col("text")), F.lit(_INSIDE)).cast("long"))
+    """The documents with ``_n_words, _n_hit, _items, _spans, _contaminated``: at least
+    one word in twenty is hit."""
+    found = counted(documents.select("doc_id", "text"), benchmark, size).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items"), F.col("spans").alias("_spans"))
+    own = documents.withColumn("_text_digest", F.xxhash64("text")).withColumn("_n_words", F.regexp_count(normal(F.col("text")), F.lit(_INSIDE)).cast("long"))
     joined = own.join(found, own.doc_id.eqNullSafe(found._id) & (own._text_digest == found._digest), "left").drop("_id", "_digest", "_text_digest")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    hit = joined.withColumn("_n_hit", F.coalesce("_n_hit", F.lit(0).cast("long")))
+    return hit.withColumn("_contaminated", (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words")))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The report of the query: one row per document."""
-    items = F.coalesce("items", F.array().cast("array<string>"))
+    items = F.coalesce("_items", F.array().cast("array<string>"))
     return judged(documents.select("doc_id", "text"), benchmark, size).select(
-        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated"
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.col("_contaminated").alias("contaminated")
     )
 
 
@@ -98,10 +104,10 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, size: int =
     """The documents that aren't contaminated; passages of the benchmark in them are
     cut out. All columns stay as they are."""
     columns = documents.columns
-    kept = judged(documents, benchmark, size).filter(~F.col("contaminated"))
+    kept = judged(documents, benchmark, size).filter(~F.col("_contaminated"))
     # runs of word and other characters take turns; the k-th run of either kind
     runs = F.regexp_extract_all("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
     first = F.when(F.col("text").rlike("^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"), 1).otherwise(0)
     place = lambda i: F.floor((i - first) / 2)
-    cut = F.array_join(F.filter(runs, lambda _, i: ~F.exists("spans", lambda s: (place(i) >= s["start"]) & (place(i) < s["stop"]))), "")
-    return kept.withColumn("text", F.when(F.col("n_hit") > 0, cut).otherwise(F.col("text"))).select(*columns)
+    cut = F.array_join(F.filter(runs, lambda _, i: ~F.exists("_spans", lambda s: (place(i) >= s["start"]) & (place(i) < s["stop"]))), "")
+    return kept.withColumn("text", F.when(F.col("_n_hit") > 0, cut).otherwise(F.col("text"))).select(*columns)

@@ -474,18 +474,18 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents with one of each component left, the one with the smallest id;
-    documents without words all stay. Of rows that repeat this id, one of each text
-    stays."""
+    documents without words and rows without an id all stay. Of rows that repeat the id
+    that stays, one of each text does."""
     judged = settled(classes(documents))
-    gone = judged.filter("n_shingles > 0 AND (doc_id IS NULL AND component_id IS NOT NULL OR doc_id != component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    twice = judged.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_gone"))
+    gone = judged.filter("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    twice = judged.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_gone"))
     gone = settled(gone)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = documents.join(gone, documents.doc_id.eqNullSafe(gone._gone), "left_anti")
+    kept = documents.join(gone, documents.doc_id == gone._gone, "left_anti")
     if twice.isEmpty():
         return kept
     # rows that repeat an id: one row of each text stays
     mark = f"_row_{uuid.uuid4().hex[:8]}"
     numbered = kept.withColumn(mark, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")))
-    return numbered.filter((F.col(mark) == 1) | (F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0)).drop(mark)
+    return numbered.filter((F.col(mark) == 1) | F.col("doc_id").isNull() | (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t-\\r]", "")) == 0)).drop(mark)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,7 +56,7 @@ KINDS = ("plain", "targeted", "negated", "reported")
 #: Prior weight of a clause's evidence by kind, and how firmly it is held.
 PRIOR = np.array([1.0, 1.2, 0.6, 0.6])
 PRIOR_STRENGTH = 2.0
-PRIOR_INTERCEPT = -3.0
+PRIOR_INTERCEPT = -1.5
 
 _APART = {ord(x): " " for x in "\t\n\r\v\f!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~«»“”„…¡¿–—"} | {ord("'"): None, ord("’"): None}
 _CLAUSE = re.compile(r"[^.!?;:|\n…]+")
@@ -220,12 +221,12 @@ def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     return [(r["text"] or "", int(r["toxic"])) for r in found.orderBy("doc_id", F.xxhash64("text")).limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()]
 
 
-def scored(documents: DataFrame, grammar: Grammar, columns: list[str]) -> DataFrame:
-    """``columns`` of the documents with ``score`` and ``predicted``."""
+def scored(documents: DataFrame, grammar: Grammar, columns: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``columns`` of the documents with the score and the prediction, named ``names``."""
     spark = documents.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast((grammar.stems, grammar.kinds, grammar.intercept))  # at most MAX_STEMS and the seeds
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + ", score double, predicted int"
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + f", {names[0]} double, {names[1]} int"
     types = arrow_types(documents, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,4 +249,5 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns."""
     grammar = learn(sample(documents, labels))
-    return scored(documents, grammar, documents.columns).filter("predicted = 0").select(*documents.columns)
+    names = tuple(f"_{x}_{uuid.uuid4().hex[:8]}" for x in ("score", "predicted"))  # no column is called so
+    return scored(documents, grammar, documents.columns, names).filter(f"{names[1]} = 0").drop(*names)
