@@ -34,11 +34,9 @@ def vdb(data: Data):
     """Davies-Bouldin index."""
     names = [c for c, _ in data.classes]
     centres = np.array([[m["mean"] for m in data.by_class[c]] for c in names])
-    away = F.lit(None).cast("double")
-    for c, centre in zip(names, centres, strict=True):
-        gap = sum(((F.col(f"x{k}") - float(v)) ** 2 for k, v in enumerate(centre)), F.lit(0.0))
-        away = F.when(F.col("_y") == c, F.sqrt(gap)).otherwise(away)
-    spread = {r["_y"]: r["s"] for r in data.N.groupBy("_y").agg(F.avg(away).alias("s")).collect()}
+    held = F.broadcast(data.spark.createDataFrame([(c, [float(v) for v in centre]) for c, centre in zip(names, centres, strict=True)], "_y string, centre array<double>"))  # a row for each class
+    away = F.sqrt(F.aggregate(F.zip_with("x", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    spread = {r["_y"]: r["s"] for r in data.matrix.join(held, "_y").groupBy("_y").agg(F.avg(away).alias("s")).collect()}
     worst = []
     for i, a in enumerate(names):
         worst.append(max(((spread[a] + spread[b]) / np.linalg.norm(centres[i] - centres[j]) for j, b in enumerate(names) if j != i), default=NAN))

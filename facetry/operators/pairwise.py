@@ -56,6 +56,7 @@ def blocks(data: Data, scaled: bool, frame: DataFrame | None = None, extra: str
     """``b, ids, ys, xs, es``: blocks of rows as binary columns (int64, int32, float64,
     float64). Classes are numbered as the dataset lists them; ``extra`` is one more
     double column of ``frame``."""
+    data.needs_id()
     ship(data.spark)
     shift, scale = scaling(data, scaled)
     names = {c: k for k, (c, _) in enumerate(data.classes)} if data.target else {}

@@ -197,6 +197,7 @@ def nr_norm(data: Data, method: str = "shapiro-wilk", threshold: float = 0.05, f
         raise ValueError(f"unknown failure mode {failure!r}")
     if max_samples <= 0:
         raise ValueError("max_samples must be positive")
+    data.needs_id()
     first = data.matrix.select("_id", "x").orderBy("_id").limit(max_samples)
     x = np.array([r["x"] for r in first.collect()], float)  # at most max_samples rows
     tests = {"shapiro-wilk": lambda v: normality.shapiro_wilk(v) > threshold, "dagostino-pearson": lambda v: normality.dagostino(v) > threshold, "anderson-darling": normality.anderson_passes}

@@ -13,7 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,8 @@ from facetry.session import settled, ship
 NAN = float("nan")
 #: Levels of a categorical column that may become columns of their own.
 MAX_LEVELS = 10_000
-#: Rows of a bracket that order statistics are read off on the driver.
-BRACKET = 20_000
+#: Values that the last pass of a selection counts whole.
+BRACKET = 200_000
 
 
 class Data:
@@ -64,11 +64,15 @@ class Data:
 
     @cached_property
     def source(self) -> DataFrame:
-        """``_id, _y`` and the attributes."""
-        rid = F.col(self.row_id) if self.row_id else F.monotonically_increasing_id()
+        """``_id, _y`` and the attributes; the id is null without a row id."""
+        rid = F.col(self.row_id) if self.row_id else F.lit(None)
         y = F.col(self.target).cast("string") if self.target else F.lit(None).cast("string")
-        out = self.df.select(rid.cast("long").alias("_id"), y.alias("_y"), *self.attributes)
-        return out if self.row_id else settled(out)
+        return self.df.select(rid.cast("long").alias("_id"), y.alias("_y"), *self.attributes)
+
+    def needs_id(self) -> None:
+        """Raise unless rows have ids."""
+        if not self.row_id:
+            raise ValueError("this measure depends on rows; name a row id")
 
     @cached_property
     def n(self) -> int:
@@ -189,18 +193,74 @@ class Data:
         long = self.long({c: F.col(c).cast("string") for c in self.attributes}, self.df)
         return {r["key"]: r["k"] for r in long.groupBy("key", "v").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("k")).collect()}
 
+    def _column_sums(self, parts) -> dict[str | None, np.ndarray]:
+        """By class, ``parts(x, class)`` (statistics x columns) of all rows of each task,
+        merged as ``parts.how`` says: sums, minima or maxima. Wide tables would make
+        thousands of aggregate expressions; a kernel makes one pass of arrays."""
+        ship(self.spark)
+        d = self.d
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[str | None, np.ndarray] = {}
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                codes = batch.column("_y").dictionary_encode()
+                names, index = codes.dictionary.to_pylist(), codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                for k in np.unique(index):
+                    name = names[k] if k >= 0 else None
+                    with np.errstate(all="ignore"):
+                        own = parts(x[index == k], name)
+                    if name in total:
+                        for i, how in enumerate(parts.how):
+                            how(total[name][i], own[i], out=total[name][i])
+                    else:
+                        total[name] = own
+            for name, rows in total.items():
+                yield pa.RecordBatch.from_pydict({"y": pa.array([name] * rows.size, pa.string()), "place": pa.array(range(rows.size), pa.int32()), "v": pa.array(rows.ravel())})
+
+        found = self.matrix.select("_y", "x").mapInArrow(work, "y string, place int, v double").groupBy("y", "place").agg(F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        out: dict[str | None, np.ndarray] = {}
+        kinds = ["s" if how is np.add else "lo" if how is np.minimum else "hi" for how in parts.how]
+        for r in found.collect():
+            rows = out.setdefault(r["y"], np.zeros((len(kinds), d)))
+            rows[r["place"] // d, r["place"] % d] = r[kinds[r["place"] // d]]
+        return out
+
+    @cached_property
+    def _first_pass(self) -> dict[str | None, np.ndarray]:
+        def parts(x: np.ndarray, _) -> np.ndarray:
+            ok = ~np.isnan(x)
+            return np.array([ok.sum(0), np.where(ok, x, 0).sum(0), np.where(ok, x, np.inf).min(0), np.where(ok, x, -np.inf).max(0), np.where(x > 0, np.log(x), 0).sum(0), (x > 0).sum(0), np.where(ok & (x != 0), 1 / x, 0).sum(0)])
+
+        parts.how = [np.add, np.add, np.minimum, np.maximum, np.add, np.add, np.add]
+        return self._column_sums(parts)
+
+    @cached_property
+    def _second_pass(self) -> dict[str | None, np.ndarray]:
+        """Squared deviations from the class means, and powers of those from the means."""
+        own = {y: v[1] / np.maximum(v[0], 1) for y, v in self._first_pass.items()}
+        n = np.maximum(sum(v[0] for v in self._first_pass.values()), 1)
+        mean = sum(v[1] for v in self._first_pass.values()) / n
+
+        def parts(x: np.ndarray, y) -> np.ndarray:
+            away = np.nan_to_num(x - mean)
+            return np.array([np.nan_to_num((x - own[y]) ** 2).sum(0), (away**2).sum(0), (away**3).sum(0), (away**4).sum(0)])
+
+        parts.how = [np.add] * 4
+        return self._column_sums(parts)
+
     @cached_property
     def moments(self) -> dict[str, dict[str, float]]:
-        """Moments and extremes of all numeric columns, in one aggregation."""
-        wanted = {
-            "n": lambda x: F.count(x), "mean": F.avg, "var": F.var_pop, "min": F.min, "max": F.max, "skew": F.skewness, "kurt": F.kurtosis,
-            "log": lambda x: F.avg(F.when(x > 0, F.ln(x))), "inverse": lambda x: F.sum(F.when(x != 0, 1 / x)),
-        }
-        aggs = [f(F.col(f"x{k}")).cast("double").alias(f"{m}{k}") for k in range(self.d) for m, f in wanted.items()]
-        if not aggs:
+        """Moments and extremes of all numeric columns; two passes, the second about the
+        means, so large offsets cost no digits."""
+        if not self.d:
             return {}
-        row = self.N.agg(*aggs).first()
-        return {name: {m: NAN if row[f"{m}{k}"] is None else row[f"{m}{k}"] for m in wanted} for k, name in enumerate(self.numeric_names)}
+        one, two = list(self._first_pass.values()), sum(self._second_pass.values())
+        n, total, logs, above, inverse = (sum(v[k] for v in one) for k in (0, 1, 4, 5, 6))
+        with np.errstate(all="ignore"):
+            mean, var = total / n, two[1] / n
+            stats = {"n": n, "mean": mean, "var": var, "min": np.min([v[2] for v in one], 0), "max": np.max([v[3] for v in one], 0), "skew": two[2] / n / var**1.5, "kurt": two[3] / n / var**2 - 3, "log": logs / above, "inverse": inverse}
+        return {name: {m: float(v[k]) for m, v in stats.items()} for k, name in enumerate(self.numeric_names)}
 
     def quantiles(self, shares: tuple[float, ...]) -> dict[str, list[float]]:
         return order_statistics(self.source, self.numeric_columns, list(shares))
@@ -208,10 +268,11 @@ class Data:
     @cached_property
     def by_class(self) -> dict[str, list[dict[str, float]]]:
         """Per class and numeric column: n, mean, population variance, min, max."""
-        wanted = {"n": F.count, "mean": F.avg, "var": F.var_pop, "min": F.min, "max": F.max}
-        aggs = [f(f"x{k}").cast("double").alias(f"{m}{k}") for k in range(self.d) for m, f in wanted.items()]
-        rows = {r["_y"]: r for r in self.N.groupBy("_y").agg(*aggs).collect()}
-        return {c: [{m: rows[c][f"{m}{k}"] for m in wanted} for k in range(self.d)] for c, _ in self.classes}
+        out = {}
+        for c, _ in self.classes:
+            one, two = self._first_pass[c], self._second_pass[c]
+            out[c] = [{"n": float(one[0, k]), "mean": float(one[1, k] / one[0, k]), "var": float(two[0, k] / one[0, k]), "min": float(one[2, k]), "max": float(one[3, k])} for k in range(self.d)]
+        return out
 
     def grams(self, frame: DataFrame, keys: list[str]) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
         """By ``keys``: rows, sums and cross products of ``x``, centred by the overall
@@ -262,11 +323,10 @@ class Data:
         """The row ids with ``rank`` (from 0) by id, within ``by`` (``_y``) if given, and
         ``_y``. Ranks are made by ranges and a prefix sum of their counts, so no class or
         table is sorted in one task."""
+        self.needs_id()
         keys = ([by] if by else []) + ["_id"]
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         dealt = settled(self.source.select("_id", "_y").repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
-        from pyspark.sql import Window
-
         group = ["_part"] + ([by] if by else [])
         sizes = dealt.groupBy(*group).agg(F.count("*").alias("rows"))
         over = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy("_part")
@@ -276,65 +336,88 @@ class Data:
         return joined.select("_id", "_y", (F.col("within") + F.col("before")).alias("rank"))
 
 
+def _sortable(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers of the same order (no NaN, one zero)."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _unsortable(code: int) -> float:
+    bits = code & ~(1 << 63) if code >> 63 else ~code & (1 << 64) - 1
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
 def order_statistics(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:
-    """Exact quantiles (linear between neighbours) of every column.
-
-    A mergeable sketch brackets each needed rank; the rows below a bracket are counted
-    and those inside grouped by value. Brackets that hold too much are narrowed in
-    another pass, so no task sees more than a bracket."""
-    frame = df.select(*[x.alias(f"c{k}") for k, x in enumerate(columns.values())])
-    names = list(columns)
-    row = frame.agg(*[F.count(f"c{k}").alias(f"n{k}") for k in range(len(names))], *[F.min(f"c{k}").alias(f"lo{k}") for k in range(len(names))], *[F.max(f"c{k}").alias(f"hi{k}") for k in range(len(names))]).first()
-    # what each rank is bracketed by: (column, rank) -> [low, high]
-    open_: dict[tuple[int, int], list[float]] = {}
-    for k in range(len(names)):
-        for share in shares:
-            at = share * (row[f"n{k}"] - 1)
-            for rank in {math.floor(at), math.ceil(at)} if row[f"n{k}"] else ():
-                open_[k, rank] = [row[f"lo{k}"], row[f"hi{k}"]]
-    found = {key: b[0] for key, b in open_.items() if b[0] == b[1]}
-    while todo := {key: b for key, b in open_.items() if key not in found}:
-        ranges = sorted({(k, *b) for (k, _), b in todo.items()})
-        inside = [F.col(f"c{k}").between(F.lit(lo), F.lit(hi)) for k, lo, hi in ranges]
-        counted = frame.agg(
-            *[F.count_if(F.col(f"c{k}") < F.lit(lo)).alias(f"b{j}") for j, (k, lo, _) in enumerate(ranges)],
-            *[F.count_if(x).alias(f"m{j}") for j, x in enumerate(inside)],
-            *[F.percentile_approx(F.when(x, F.col(f"c{ranges[j][0]}")), [i / 400 for i in range(401)], 4000).alias(f"p{j}") for j, x in enumerate(inside)],
-        ).first()
-        small = [j for j in range(len(ranges)) if counted[f"m{j}"] <= BRACKET]
-        if small:
-            pairs = [F.when(inside[j], F.struct(F.lit(j).alias("j"), F.col(f"c{ranges[j][0]}").alias("v"))) for j in small]
-            rows = frame.select(F.explode(F.filter(F.array(*pairs), lambda p: p.isNotNull())).alias("p")).groupBy("p.j", "p.v").count().orderBy("j", "v").collect()
-            values: dict[int, tuple[list[float], list[int]]] = {j: ([], []) for j in small}
-            for r in rows:
-                values[r["j"]][0].append(r["v"])
-                values[r["j"]][1].append(r["count"])
-        for (k, rank), b in todo.items():
-            j = ranges.index((k, *b))
-            want = rank - counted[f"b{j}"]
-            if j in small:
-                upto = np.cumsum(values[j][1])
-                found[k, rank] = values[j][0][int(np.searchsorted(upto, want, side="right"))]
-                continue
-            cuts = sorted(set(counted[f"p{j}"]))
-            # the sketch is off by some thousandths; count at its cuts to bracket for sure
-            exact = frame.agg(*[F.count_if(F.col(f"c{k}") < F.lit(c)) for c in cuts], *[F.count_if(F.col(f"c{k}") <= F.lit(c)) for c in cuts]).first()
-            under, upto = np.array(exact[: len(cuts)]), np.array(exact[len(cuts) :])
-            hit = np.flatnonzero((under <= rank) & (rank < upto))
-            if len(hit):
-                found[k, rank] = cuts[hit[0]]
-            else:
-                above = int(np.searchsorted(under, rank, side="right"))
-                open_[k, rank] = [cuts[max(0, above - 1)], cuts[min(above, len(cuts) - 1)]]
+    """Exact quantiles (linear between neighbours) of every column, nulls and NaN left out.
+
+    Radix selection on the bits of the values: a pass counts 16 bits of those values
+    that share their higher bits with a wanted rank; tasks count first, so little is
+    shuffled, and nothing is sorted. Once few values are left, one pass takes all bits."""
+    names, d = list(columns), len(columns)
+    if not names:
+        return {}
+    ship(df.sparkSession)
+    frame = df.select(F.array(*[x.cast("double") for x in columns.values()]).alias("x"))
+
+    def counted(prefixes: dict[int, list[int]] | None, above: int, shift: int) -> list[dict[int, int]]:
+        """By column, rows of each code (the value's bits from ``shift`` on) under the
+        prefixes (the bits from ``above`` on)."""
+        wanted = None if prefixes is None else {k: np.array(v, np.uint64) for k, v in prefixes.items()}
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: list[dict[int, int]] = [{} for _ in range(d)]
+            for batch in batches:
+                flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                for k in range(d) if wanted is None else wanted:
+                    v = flat[:, k]
+                    u = _sortable(v[~np.isnan(v)])
+                    if wanted is not None:
+                        u = u[np.isin(u >> np.uint64(above), wanted[k])]
+                    for code, n in zip(*[z.tolist() for z in np.unique(u >> np.uint64(shift), return_counts=True)], strict=True):
+                        total[k][code] = total[k].get(code, 0) + n
+            for k in range(d):
+                if total[k]:
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(total[k]), pa.int32()), "code": pa.array(np.array(list(total[k]), np.uint64).view(np.int64)), "n": pa.array(list(total[k].values()), pa.int64())})
+
+        out: list[dict[int, int]] = [{} for _ in range(d)]
+        for r in frame.mapInArrow(count, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).collect():
+            out[r["k"]][r["code"] & (1 << 64) - 1] = r["n"]
+        return out
+
+    shift = 48
+    table = counted(None, 64, shift)
+    sizes = [sum(t.values()) for t in table]
+    todo: dict[tuple[int, int], int] = {}  # (column, rank) -> rank among the values of its code
+    for k in range(d):
+        for share in shares if sizes[k] else ():
+            at = share * (sizes[k] - 1)
+            todo |= {(k, rank): rank for rank in (math.floor(at), math.ceil(at))}
+    code_of: dict[tuple[int, int], int] = {}
+    while todo:
+        # the code of each rank: codes of one prefix follow each other
+        cuts: dict[tuple[int, int], tuple[list[int], np.ndarray]] = {}
+        for (k, rank), place in todo.items():
+            prefix = code_of.get((k, rank), -1)
+            if (k, prefix) not in cuts:
+                own = sorted(c for c in table[k] if prefix < 0 or c >> (before - shift) == prefix)
+                cuts[k, prefix] = own, np.cumsum([table[k][c] for c in own])
+            own, upto = cuts[k, prefix]
+            j = int(np.searchsorted(upto, place, side="right"))
+            code_of[k, rank] = own[j]
+            todo[k, rank] = place - int(upto[j - 1] if j else 0)
+        if shift == 0:
+            break
+        wanted = {k: sorted({code_of[x] for x in todo if x[0] == k}) for k in {x[0] for x in todo}}
+        few = sum(table[k][c] for k, codes in wanted.items() for c in codes) <= BRACKET
+        before, shift = shift, 0 if few else shift - 16
+        table = counted(wanted, before, shift)
+    value = {x: _unsortable(c) for x, c in code_of.items()}
     out = {}
     for k, name in enumerate(names):
         got = []
         for share in shares:
-            if not row[f"n{k}"]:
-                got.append(NAN)
-                continue
-            at = share * (row[f"n{k}"] - 1)
-            a, b = found[k, math.floor(at)], found[k, math.ceil(at)]
-            got.append(a + (b - a) * (at - math.floor(at)))
+            at = share * (sizes[k] - 1)
+            low, high = (value[k, math.floor(at)], value[k, math.ceil(at)]) if sizes[k] else (NAN, NAN)
+            got.append(low + (high - low) * (at - math.floor(at)) if sizes[k] else NAN)
         out[name] = got
     return out
