@@ -80,75 +80,80 @@ def f2(data: Data):
     return out
 
 
-def _inside(data: Data, pair: tuple[int, int], frame: DataFrame, columns: list[int], bounds) -> list[int]:
-    """Rows of two classes inside the overlap of each column."""
-    some = frame.filter(F.col("_y").isin([data.classes[k][0] for k in pair]))
-    row = some.agg(*[F.count_if(F.col(f"x{k}").between(F.lit(bounds[k][0]), F.lit(bounds[k][1]))).alias(f"k{k}") for k in columns]).first()
-    return [row[f"k{k}"] for k in columns]
-
-
 @measure("complexity", supervised=True)
 def f3(data: Data):
     """Least share of rows in the overlap of a column, of each pair of classes."""
-    bounds = {p: _bounds(data, *p) for p in _pairs(data)}
-    aggs = []
-    for (a, b), rows in bounds.items():
-        here = F.col("_y").isin(data.classes[a][0], data.classes[b][0])
-        aggs += [F.count_if(here & F.col(f"x{k}").between(F.lit(lo), F.lit(hi))).alias(f"{a}_{b}_{k}") for k, (lo, hi, _, _) in enumerate(rows)]
-    row = data.N.agg(*aggs).first() if aggs else None
-    return [(_name(data, a, b), min(row[f"{a}_{b}_{k}"] for k in range(data.d)) / (data.classes[a][1] + data.classes[b][1])) for a, b in bounds]
+    ship(data.spark)
+    pairs, d = _pairs(data), data.d
+    bounds = np.array([[(lo, hi) for lo, hi, _, _ in _bounds(data, *p)] for p in pairs]).reshape(len(pairs), d, 2)
+    names = {c: k for k, (c, _) in enumerate(data.classes)}
+    of = {k: [i for i, p in enumerate(pairs) if k in p] for k in names.values()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(pairs), d), np.int64)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            y = np.array([names.get(v, -1) for v in batch.column("_y").to_pylist()])
+            for k in np.unique(y[y >= 0]):
+                own = x[y == k]
+                for i in of[int(k)]:
+                    total[i] += ((own >= bounds[i, :, 0]) & (own <= bounds[i, :, 1])).sum(0)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(range(total.size), pa.int32()), "n": pa.array(total.ravel())})
+
+    table = np.zeros(len(pairs) * d, np.int64)
+    for r in data.matrix.select("_y", "x").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        table[r["place"]] = r["n"]
+    least = table.reshape(len(pairs), d).min(1) if pairs else []
+    return [(_name(data, a, b), float(n) / (data.classes[a][1] + data.classes[b][1])) for (a, b), n in zip(pairs, least, strict=True)]
+
+
+def _pair_rows(data: Data) -> DataFrame:
+    """``pair, _id, y, x``: the rows of each pair of classes, for one task each."""
+    ship(data.spark)
+    pairs, names = _pairs(data), [c for c, _ in data.classes]
+    for a, b in pairs:
+        if data.classes[a][1] + data.classes[b][1] > MAX_TASK_ROWS:
+            raise ValueError(f"classes {_name(data, a, b)} have more rows than one task may hold ({MAX_TASK_ROWS})")
+    to = F.array(*[F.when(F.col("_y").isin(names[a], names[b]), F.lit(k)) for k, (a, b) in enumerate(pairs)])
+    return data.matrix.select(F.explode(F.filter(to, lambda p: p.isNotNull())).alias("pair"), "_id", F.col("_y").alias("y"), "x")
 
 
 @measure("complexity", supervised=True)
 def f4(data: Data):
-    """Share of rows left in the overlap when columns are used up one by one, for each
-    pair of classes. One aggregation per step serves all pairs at once."""
-    kept = {p: {"left": list(range(data.d)), "cuts": [], "rows": None} for p in _pairs(data)}
-    while live := {p: s for p, s in kept.items() if s["left"] and s["rows"] != 0}:
-        aggs, wheres = [], {}
-        for (a, b), s in live.items():
-            ok = F.lit(True)
-            for k, lo, hi in s["cuts"]:
-                ok = ok & F.col(f"x{k}").between(F.lit(lo), F.lit(hi))
-            for side, c in (("a", a), ("b", b)):
-                wheres[a, b, side] = ok & (F.col("_y") == data.classes[c][0])
-                for k in s["left"]:
-                    aggs += [F.min(F.when(wheres[a, b, side], F.col(f"x{k}"))).alias(f"{a}_{b}_{side}_lo{k}"), F.max(F.when(wheres[a, b, side], F.col(f"x{k}"))).alias(f"{a}_{b}_{side}_hi{k}")]
-        ends = data.N.agg(*aggs).first()
-        aggs, spans = [], {}
-        for (a, b), s in live.items():
-            for k in s["left"]:
-                both = [(ends[f"{a}_{b}_{side}_lo{k}"], ends[f"{a}_{b}_{side}_hi{k}"]) for side in "ab"]
-                if None in both[0] or None in both[1]:
-                    spans[a, b, k] = (1.0, 0.0)  # a class is used up: nothing overlaps
-                else:
-                    spans[a, b, k] = (max(both[0][0], both[1][0]), min(both[0][1], both[1][1]))
-                lo, hi = spans[a, b, k]
-                where = wheres[a, b, "a"] | wheres[a, b, "b"]
-                aggs.append(F.count_if(where & F.col(f"x{k}").between(F.lit(lo), F.lit(hi))).alias(f"{a}_{b}_{k}"))
-        row = data.N.agg(*aggs).first()
-        for (a, b), s in live.items():
-            best = min(s["left"], key=lambda k: row[f"{a}_{b}_{k}"])
-            s["left"].remove(best)
-            s["cuts"].append((best, *spans[a, b, best]))
-            s["rows"] = row[f"{a}_{b}_{best}"]
-    return [(_name(data, a, b), (s["rows"] or 0) / (data.classes[a][1] + data.classes[b][1])) for (a, b), s in kept.items()]
+    """Share of rows left in the overlap when columns are used up one by one, of each
+    pair of classes."""
+    pairs, names = _pairs(data), [c for c, _ in data.classes]
+
+    def shrink(table: pa.Table) -> pa.Table:
+        pair = table.column("pair")[0].as_py()
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        first = np.array([v == names[pairs[pair][0]] for v in table.column("y").to_pylist()])
+        total, left = len(x), list(range(x.shape[1]))
+        while left and len(x):
+            one, two = x[first][:, left], x[~first][:, left]
+            if len(one) and len(two):
+                inside = (x[:, left] >= np.maximum(one.min(0), two.min(0))) & (x[:, left] <= np.minimum(one.max(0), two.max(0)))
+            else:  # a class is used up: nothing overlaps
+                inside = np.zeros((len(x), len(left)), bool)
+            best = int(inside.sum(0).argmin())
+            keep = inside[:, best]
+            x, first = x[keep], first[keep]
+            del left[best]
+        return pa.table({"pair": pa.array([pair], pa.int32()), "share": [len(x) / total]})
+
+    found = {r["pair"]: r["share"] for r in _pair_rows(data).groupBy("pair").applyInArrow(shrink, "pair int, share double").collect()}
+    return [(_name(data, *p), found[k]) for k, p in enumerate(pairs)]
 
 
 def _machines(data: Data, max_iter: int, seed: int | None) -> list[dict]:
     """Per pair of classes: error sum, training error and error on interpolated rows."""
-    ship(data.spark)
     pairs, names = _pairs(data), [c for c, _ in data.classes]
-    for a, b in pairs:
-        if data.classes[a][1] + data.classes[b][1] > MAX_TASK_ROWS:
-            raise ValueError(f"classes {_name(data, a, b)} have more rows than one task may hold ({MAX_TASK_ROWS})")
-    to = F.array(*[F.when(F.col("_y").isin(names[a], names[b]), F.lit(k)) for k, (a, b) in enumerate(pairs)])
-    rows = data.matrix.select(F.explode(F.filter(to, lambda p: p.isNotNull())).alias("pair"), "_id", (F.col("_y")).alias("y"), "x")
+    rows = _pair_rows(data)
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("_id")
         pair = table.column("pair")[0].as_py()
-        x = np.array(table.column("x").to_pylist(), float)
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         first = np.array([v == names[pairs[pair][0]] for v in table.column("y").to_pylist()])
         z, mean, sd = standardise(x)
         w = linear_svm(z, np.where(first, 1.0, -1.0), max_iter=int(max_iter), seed=0 if seed is None else seed)

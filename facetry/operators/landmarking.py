@@ -188,7 +188,7 @@ def _per_fold(data: Data, rows: DataFrame, learn) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("_id")
-        x = np.array(table.column("x").to_pylist(), float)
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         y = np.array([names[v] for v in table.column("_y").to_pylist()])
         run = table.column("run")[0].as_py()
         test = table.column("fold").to_numpy() == run

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,13 +51,14 @@ def _exact(data: Data) -> Nodes:
     ship(data.spark)
     names = {c: k for k, (c, _) in enumerate(data.classes)}
 
-    def grow(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_id")
-        tree = Tree(np.array(table.column("x").to_pylist(), float), np.array([names[y] for y in table.column("_y").to_pylist()]), len(names))
-        return pa.table({"feature": [tree.feature], "depth": [tree.depth], "samples": [tree.samples], "predicted": [[int(c.argmax()) for c in tree.counts]], "importances": [tree.importances().tolist()]})
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("_id")
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        tree = Tree(x, np.array([names[y] for y in table.column("_y").to_pylist()]), len(names))
+        yield pa.RecordBatch.from_pydict({"feature": [tree.feature], "depth": [tree.depth], "samples": [tree.samples], "predicted": [[int(c.argmax()) for c in tree.counts]], "importances": [tree.importances().tolist()]})
 
     schema = "feature array<long>, depth array<long>, samples array<long>, predicted array<long>, importances array<double>"
-    r = data.matrix.groupBy(F.lit(0)).applyInArrow(grow, schema).first()
+    r = data.matrix.coalesce(1).mapInArrow(grow, schema).first()  # at most MAX_EXACT_ROWS rows
     return Nodes(*[list(v) for v in r], data.d)
 
 

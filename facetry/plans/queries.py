@@ -3,8 +3,7 @@ relative ranks, bootstrap, streaming and extraction, with their DuckDB equivalen
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +14,7 @@ from facetry.operators.relative import relative
 from facetry.plans.data import Data
 from facetry.plans.extractor import Extractor, as_frame
 from facetry.plans.registry import MEASURES
+from facetry.session import drop_folder, shared_folder
 from facetry.sources.tables import table
 from facetry.streaming import windows
 
@@ -116,17 +116,15 @@ def bootstrap_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, make: Callable) -> DataFrame:
     """Run a stream over ``events`` to its end and return what it wrote."""
-    import uuid
-
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     name = f"stream_{uuid.uuid4().hex[:12]}"
     stream = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{sf_dir}/events.parquet*")
-    folder = tempfile.mkdtemp(prefix="facetry-stream-")
-    query = make(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"file://{folder}").trigger(availableNow=True).start()
+    folder = shared_folder(spark, "stream")
+    query = make(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.table(name)
-    shutil.rmtree(folder, ignore_errors=True)
+    drop_folder(spark, folder)
     return out
 
 
