@@ -284,7 +284,9 @@ class Data:
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[tuple, np.ndarray] = {}
+            types: dict[str, pa.DataType] = {}
             for batch in batches:
+                types = {k: batch.column(k).type for k in keys}
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - centre
                 names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
                 for name in set(names):
@@ -292,7 +294,7 @@ class Data:
                     part = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
                     total[name] = total.get(name, 0) + part
             for name, part in total.items():
-                yield pa.RecordBatch.from_pydict({**{k: [v] * len(part) for k, v in zip(keys, name, strict=True)}, "place": pa.array(range(len(part)), pa.int32()), "v": pa.array(part)})
+                yield pa.RecordBatch.from_pydict({**{k: pa.array([v] * len(part), types[k]) for k, v in zip(keys, name, strict=True)}, "place": pa.array(range(len(part)), pa.int32()), "v": pa.array(part)})
 
         out: dict[tuple, np.ndarray] = {}
         summed = frame.select(*keys, "x").mapInArrow(add, schema).groupBy(*keys, "place").agg(F.sum("v").alias("v"))
