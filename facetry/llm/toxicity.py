@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,39 +145,44 @@ def _features(text: str) -> set[str]:
 
 def learn(sample: list[tuple[str, int]]) -> Grammar:
     """A grammar from ``(text, toxic)`` rows."""
-    toxic = [_features(t) for t, y in sample if y]
-    total = (len(toxic), len(sample) - len(toxic))
+    total = (sum(1 for _, y in sample if y), sum(1 for _, y in sample if not y))
     seeds = {w + " ": 4.0 for w in INSULTS} | {w + " ": 2.0 for w in THREATS}
-    support = Counter(f for fs in toxic for f in fs)
-    wanted = {f for f, n in support.items() if n >= LEAST_SUPPORT} | set(seeds)
-    clean: Counter = Counter()
+    # features are counted by their hashes first, so that only common ones are kept
+    hashes = [np.array([hash(f) for f in _features(t)], np.int64) for t, y in sample if y]
+    codes, times = np.unique(np.concatenate([*hashes, np.zeros(0, np.int64)]), return_counts=True)
+    common = set(codes[times >= LEAST_SUPPORT].tolist())
+    del hashes, codes, times
+    place = {f: k for k, f in enumerate(seeds)}
+    toxic, clean_parts = [], []
+    for text, y in sample:
+        if y:
+            own = [f for f in _features(text) if f in place or hash(f) in common]
+            toxic.append(np.array([place.setdefault(f, len(place)) for f in own], np.int32))
     for text, y in sample:
         if not y:
-            clean.update(_features(text) & wanted)
-
-    def odds(f: str, there: int) -> float:
-        """Log odds with the seeds' prior counts."""
-        return math.log((there + seeds.get(f, 0.0) + 0.5) / (total[0] + 1)) - math.log((clean[f] + 0.5) / (total[1] + 1))
-
+            clean_parts.append(np.array([place[f] for f in _features(text) if f in place], np.int32))
+    names = list(place)
+    support = np.bincount(np.concatenate([*toxic, np.zeros(0, np.int32)]), minlength=len(names))
+    clean = np.bincount(np.concatenate([*clean_parts, np.zeros(0, np.int32)]), minlength=len(names))
+    prior = np.array([seeds.get(f, 0.0) for f in names])
+    # log odds with the seeds' prior counts
+    odds = np.log((support + prior + 0.5) / (total[0] + 1)) - np.log((clean + 0.5) / (total[1] + 1))
+    ratio = max(1, total[0]) / max(1, total[1])
+    good = (support >= LEAST_SUPPORT) & (support >= LEAST_PRECISION * (support + clean * ratio)) & (odds > 0)
     # stems one by one, each by what it adds; the longest of equally good ones
     stems: dict[str, float] = {}
-    left = [fs & wanted for fs in toxic]
-    ratio = max(1, total[0]) / max(1, total[1])
+    left = toxic
     while len(stems) < MAX_STEMS and left:
-        now = Counter(f for fs in left for f in fs)
-        best, gain = None, 0.0
-        for f, n in now.items():
-            if n >= LEAST_SUPPORT and support[f] >= LEAST_PRECISION * (support[f] + clean[f] * ratio) and (w := odds(f, support[f])) > 0:
-                value = (n * w, len(f), f)
-                if best is None or value > (gain, len(best), best):
-                    best, gain = f, n * w
-        if best is None:
+        now = np.bincount(np.concatenate(left), minlength=len(names))
+        gain = np.where(good & (now >= LEAST_SUPPORT), now * odds, 0.0)
+        if gain.max() <= 0:
             break
-        stems[best] = odds(best, support[best])
-        left = [fs for fs in left if best not in fs]
+        best = max(np.flatnonzero(gain == gain.max()).tolist(), key=lambda k: (len(names[k]), names[k]))
+        stems[names[best]] = float(odds[best])
+        left = [own for own in left if not (own == best).any()]
     for f in seeds:
-        if f not in stems and (w := odds(f, support[f])) > 0:
-            stems[f] = w
+        if f not in stems and odds[place[f]] > 0:
+            stems[f] = float(odds[place[f]])
     grammar = Grammar(stems)
     x = np.array([grammar.evidence(t) for t, _ in sample]).reshape(-1, len(KINDS))
     y = np.array([t for _, t in sample], float)
