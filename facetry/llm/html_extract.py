@@ -206,7 +206,7 @@ def main_text(html: str | None) -> str:
                 size[path[:k]] = size.get(path[:k], 0) + mass
     holders = [p for p, s in size.items() if s >= MAJORITY * total] or [()]
     holder = max(holders, key=lambda p: (len(p), p))
-    marks = [k for k, x in enumerate(holder) if x in ("article", "main")]
+    marks = [k for k, x in enumerate(holder) if x == "article"] or [k for k, x in enumerate(holder) if x == "main"]
     if marks:
         holder = holder[: marks[0] + 1]
     else:
