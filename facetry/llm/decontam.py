@@ -105,9 +105,8 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, size: int =
     cut out. All columns stay as they are."""
     columns = documents.columns
     kept = judged(documents, benchmark, size).filter(~F.col("_contaminated"))
-    # runs of word and other characters take turns; the k-th run of either kind
-    runs = F.regexp_extract_all("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
-    first = F.when(F.col("text").rlike("^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"), 1).otherwise(0)
-    place = lambda i: F.floor((i - first) / 2)
-    cut = F.array_join(F.filter(runs, lambda _, i: ~F.exists("_spans", lambda s: (place(i) >= s["start"]) & (place(i) < s["stop"]))), "")
+    # each word with what stands before it, so that the k-th chunk has the k-th word
+    sep, word = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+    chunks = F.regexp_extract_all("text", F.lit(f"{sep}*+{word}++|{sep}++"), F.lit(0))
+    cut = F.array_join(F.filter(chunks, lambda _, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["stop"]))), "")
     return kept.withColumn("text", F.when(F.col("_n_hit") > 0, cut).otherwise(F.col("text"))).select(*columns)
