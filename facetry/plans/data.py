@@ -174,9 +174,8 @@ class Data:
         out = {c: F.col(c).cast("string") for c in self.categorical}
         if self.discretise:
             for c in self.numeric:
-                code = F.lit(0)
-                for cut in self.cuts[c]:
-                    code = code + (F.col(c).cast("double") > F.lit(cut)).cast("int")
+                # one constant array a column; a chain of comparisons outgrows generated code
+                code = _passed(F.col(c).cast("double"), F.array(*[F.lit(v) for v in self.cuts[c]]).cast("array<double>"))
                 out[c] = code.cast("string")
         return out
 
@@ -338,6 +337,11 @@ class Data:
         return joined.select("_id", "_y", (F.col("within") + F.col("before")).alias("rank"))
 
 
+def _passed(x: Column, cuts: Column) -> Column:
+    """Number of cuts below ``x``."""
+    return F.size(F.filter(cuts, lambda cut: cut < x))
+
+
 def _sortable(values: np.ndarray) -> np.ndarray:
     """Doubles as unsigned integers of the same order (no NaN, one zero)."""
     bits = (values + 0.0).view(np.uint64)
