@@ -118,15 +118,16 @@ class Grammar:
         return kind, weight
 
     def evidence(self, text: str) -> np.ndarray:
-        """By kind, the weights of the matched clauses, later ones counting less."""
+        """By kind, the weights of all matched clauses, the n-th strongest of its kind divided
+        by n, so that clauses of one kind never push those of another down."""
         out = np.zeros(len(KINDS))
         if not self.stems or next(self.machine.iter(plain(text)), None) is None:
             return out
         found = [x for x in (self.clause(plain(c)) for c in _CLAUSE.findall(text)) if x]
-        for n, (kind, weight) in enumerate(sorted(found, key=lambda x: -x[1])):
-            out[kind] += weight / (1 + n)
-            if n > 50:
-                break
+        ranks = [0] * len(KINDS)
+        for kind, weight in sorted(found, key=lambda x: -x[1]):
+            ranks[kind] += 1
+            out[kind] += weight / ranks[kind]
         return out
 
     def score(self, text: str) -> float:

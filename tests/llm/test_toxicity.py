@@ -45,3 +45,13 @@ def test_stems_are_learned(words):
     g = tx.learn([(t, y) for (_, t), (_, _, y) in zip(rows, labels, strict=True)])
     assert any("zorgab".startswith(s) or s.startswith("zorgab") for s in g.stems)
     assert g.score("zorgabnew ba ko") > 0.5
+
+
+def test_all_matched_clauses_count():
+    """Many reported matches hide no later one, and matches after the fiftieth count."""
+    g = tx.learn([])
+    many = "She said idiot. " * 60
+    assert g.evidence(many + "You idiot.")[1] == g.evidence("You idiot.")[1] > 0
+    assert abs(g.evidence("Idiot. " * 300)[0] / g.evidence("Idiot.")[0] - sum(1 / n for n in range(1, 301))) < 1e-9
+    g.kinds = tx.PRIOR * [1, 1, 0, 0]
+    assert g.score(many + "You idiot.") == g.score("You idiot.") > 0.5
