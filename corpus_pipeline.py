@@ -3,7 +3,8 @@
 Each stage takes what its predecessor kept, written as Parquet and read again:
 
 1. toxicity - documents that the grammar rejects go;
-2. n-gram Jaccard join - of each group of near duplicates one document stays;
+2. n-gram Jaccard join - of each group of near duplicates (five-word shingles, Jaccard
+   similarity 0.8) one document stays;
 3. benchmark decontamination - contaminated documents go, shorter passages are cut out;
 4. PII - validated numbers, dates, addresses and secrets become pseudonyms;
 5. best-fit packing - documents become pieces of sequences.
@@ -23,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, size=5, similarity=(80, 100))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

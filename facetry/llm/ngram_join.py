@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of 3-word shingles; two link when their Jaccard similarity is at
-least ``NUMERATOR / DENOMINATOR``. The join is exact:
+Documents are sets of shingles of ``size`` words; two link when their Jaccard similarity
+is at least ``similarity``, a fraction ``(numerator, denominator)``. The join is exact:
 
 1. A counting sketch of all shingles gives one global order, rare shingles first. Two
    sets that link share one of their first ``n - ceil(t n) + 1`` shingles in any order.
@@ -18,11 +18,11 @@ least ``NUMERATOR / DENOMINATOR``. The join is exact:
    the links leaves the task, so a group of copies never makes all pairs.
 6. Components of the forest are found by large-star and small-star rounds.
 
-A text is hashed by arrays: words by a polynomial over bytes, shingles by mixing three
-word hashes, all 64 bits.
+A text is hashed by arrays: words by a polynomial over bytes, shingles by mixing the
+hashes of their words, all 64 bits.
 
 Edge cases: null and empty texts and those without words have no shingles and link with
-nothing; texts of fewer than three words are one shingle; repeated rows are in one
+nothing; texts of fewer words than a shingle are one shingle; repeated rows are in one
 component; rows without an id get the component of their copies and partners; empty
 tables give empty results; further columns are ignored (``keep_one`` passes them on).
 """
@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from facetry.llm.common import arrow_types
 from facetry.session import settled, ship
 
-NUMERATOR, DENOMINATOR = 90, 100
-SHINGLE = 3
+#: Words of a shingle and least similarity (numerator, denominator) unless the caller says.
+SHINGLE, SIMILARITY = 3, (90, 100)
 #: Counters of the sketch are 2 to this power.
 SKETCH_BITS = 20
 #: Members of a group, and queries that one task takes to a group, at about most.
@@ -57,6 +57,7 @@ _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BASE = 0x5851F42D4C957F2D | 1
 _POWERS: list[np.ndarray] = []
+_FACTORS = [0x9FB21C651E98DF25, 0xC6A4A7935BD1E995, 0x2545F4914F6CDD1D]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,8 +80,14 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def shingles(texts: list[str]) -> list[np.ndarray]:
-    """The distinct shingle hashes of each text, ascending."""
+def _factors(size: int) -> np.ndarray:
+    """An odd factor for each word of a shingle."""
+    more = _mix(np.arange(len(_FACTORS), max(size, len(_FACTORS)), dtype=np.uint64) + np.uint64(_BASE)) | np.uint64(1)
+    return np.concatenate([np.array(_FACTORS, np.uint64), more])[:size]
+
+
+def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct hashes of each text's shingles of ``size`` words, ascending."""
     out: list[np.ndarray] = []
     raw = [x.encode("utf-8", "surrogatepass").translate(_LOWER) for x in texts]
     at = 0
@@ -89,12 +96,12 @@ def shingles(texts: list[str]) -> list[np.ndarray]:
         while end < len(raw) and (end == at or room + len(raw[end]) < CHUNK):
             room += len(raw[end]) + 1
             end += 1
-        out += _shingles(raw[at:end])
+        out += _shingles(raw[at:end], size)
         at = end
     return out
 
 
-def _shingles(raw: list[bytes]) -> list[np.ndarray]:
+def _shingles(raw: list[bytes], size: int) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     space = _IS_SPACE[data]
     first = ~space
@@ -106,28 +113,29 @@ def _shingles(raw: list[bytes]) -> list[np.ndarray]:
     words = _mix(np.add.reduceat(_BYTES[data] * up[: len(data)], starts) * down[starts])
     ends = np.cumsum([len(x) + 1 for x in raw])
     cuts = np.concatenate([[0], np.searchsorted(starts, ends)])
-    threes = np.zeros(0, np.uint64)
-    if len(words) > 2:
-        threes = _mix(words[:-2] * np.uint64(0x9FB21C651E98DF25) + words[1:-1] * np.uint64(0xC6A4A7935BD1E995) + words[2:] * np.uint64(0x2545F4914F6CDD1D))
+    factors, runs = _factors(size), np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size if len(runs) else 0):
+        runs += words[k : k + len(runs)] * factors[k]
+    runs = _mix(runs)
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(np.unique(threes[a : b - 2]))
+        if b - a >= size:
+            out.append(np.unique(runs[a : b - size + 1]))
         elif b > a:
-            whole = words[a:b] * np.array([0x9FB21C651E98DF25, 0xC6A4A7935BD1E995], np.uint64)[: b - a]
+            whole = words[a:b] * factors[: b - a]
             out.append(_mix(np.array([whole.sum(dtype=np.uint64) + np.uint64(b - a)])))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def least_overlap(a: int, b: int) -> int:
+def least_overlap(a: int, b: int, similarity: tuple[int, int] = SIMILARITY) -> int:
     """The shingles that sets of these sizes share at least when they link."""
-    return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
+    return -(-similarity[0] * (a + b) // sum(similarity))
 
 
-def linked(a: int, b: int, shared: int) -> bool:
-    return DENOMINATOR * shared >= NUMERATOR * (a + b - shared)
+def linked(a: int, b: int, shared: int, similarity: tuple[int, int] = SIMILARITY) -> bool:
+    return similarity[1] * shared >= similarity[0] * (a + b - shared)
 
 
 def _text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -136,7 +144,7 @@ def _text_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator
             yield whole.slice(at, rows)
 
 
-def levels(documents: DataFrame) -> np.ndarray:
+def levels(documents: DataFrame, size: int) -> np.ndarray:
     """For each counter of the sketch, how common its shingles are: six times the binary
     logarithm of the documents counted there."""
     ship(documents.sparkSession)
@@ -144,7 +152,7 @@ def levels(documents: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in _text_slices(batches):
-            for found in shingles([x or "" for x in batch.column(0).to_pylist()]):
+            for found in shingles([x or "" for x in batch.column(0).to_pylist()], size):
                 np.add.at(total, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], ["counts"])
 
@@ -178,25 +186,26 @@ def folded(ranges: np.ndarray, size: int) -> np.ndarray:
 SIGNATURES = "doc_id long, n long, fp binary, common long, low long, lead array<long>, ranges binary"
 
 
-def signatures(documents: DataFrame) -> DataFrame:
+def signatures(documents: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Size, fingerprint, commonest shingle, minimum hash, leading shingles and histogram
     of every document's set; all but the size are null for empty sets."""
     spark = documents.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(levels(documents))
+    held = spark.sparkContext.broadcast(levels(documents, size))
     types = arrow_types(documents, SIGNATURES)
+    numerator, denominator = similarity
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = held.value
         for batch in _text_slices(batches):
             rows = []
-            for found in shingles([x or "" for x in batch.column(1).to_pylist()]):
+            for found in shingles([x or "" for x in batch.column(1).to_pylist()], size):
                 n = len(found)
                 if not n:
                     rows.append((0, None, None, None, None, None))
                     continue
                 rank = level[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
+                p = n - -(-numerator * n // denominator) + 1
                 order = np.argsort(rank, kind="stable")  # ties by hash, as the set ascends
                 common = found[np.flatnonzero(rank == rank.max())[0]]
                 rows.append((n, blake2b(found.tobytes(), digest_size=16).digest(), int(common.view(np.int64)), int(_mix(found).min().view(np.int64)), found[order[:p]].view(np.int64), histogram(found)))
@@ -206,19 +215,20 @@ def signatures(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNATURES)
 
 
-def _grouped(entries: DataFrame) -> DataFrame:
+def _grouped(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The entries with their group."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(similarity[1] / similarity[0]))).cast("int")
     banded = entries.withColumn("band", band)
     large = banded.groupBy("common", "band").agg(F.ceil(F.count("*") / GROUP_SIZE).cast("long").alias("parts")).filter("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
     return banded.join(large, ["common", "band"], "left").withColumn("gid", F.xxhash64("common", "band", F.pmod("low", parts))).drop("common", "band", "parts", "low")
 
 
-def _asked(entries: DataFrame) -> DataFrame:
+def _asked(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``fp, rep, gid, own``: the entries that take part in opening each group; ``own``
     tells its members. Made from the token-group matrix of the leading shingles."""
     spark = entries.sparkSession
+    numerator, denominator = similarity
     ship(spark)
     posted = entries.select("fp", "rep", "n", "gid", F.posexplode("lead").alias("pos", "token")).withColumn("room", F.col("n") - F.col("pos")).select("token", "fp", "rep", "n", "room", "gid").repartition("token").sortWithinPartitions("token")
     schema = "fp binary, rep long, gid long, own boolean"
@@ -257,10 +267,10 @@ def _asked(entries: DataFrame) -> DataFrame:
             mine = np.searchsorted(there, names)
             for g in range(len(there)):
                 # of two groups, entries of the later ask the earlier
-                fits = (mine >= g) & (DENOMINATOR * high[g] >= NUMERATOR * sizes) & (NUMERATOR * low[g] <= DENOMINATOR * sizes)
+                fits = (mine >= g) & (denominator * high[g] >= numerator * sizes) & (numerator * low[g] <= denominator * sizes)
                 # if this is the first shingle that two sets share, they share no more than
                 # either has from it on; with a former one, that one asks
-                fits &= (NUMERATOR + DENOMINATOR) * np.minimum(rooms, most[g]) >= NUMERATOR * (sizes + low[g])
+                fits &= (numerator + denominator) * np.minimum(rooms, most[g]) >= numerator * (sizes + low[g])
                 members = mine == g
                 if not (fits & ~members).any() and (fits & members).sum() < 2:
                     continue
@@ -284,7 +294,8 @@ def _asked(entries: DataFrame) -> DataFrame:
 class _Group:
     """The members of an open group with the union of their shingles."""
 
-    def __init__(self, members: list[tuple[bytes, np.ndarray]]) -> None:
+    def __init__(self, members: list[tuple[bytes, np.ndarray]], similarity: tuple[int, int]) -> None:
+        self.similarity = similarity
         self.names = [x for x, _ in members]
         self.sizes = np.array([len(x) for _, x in members])
         tokens = np.concatenate([x for _, x in members])
@@ -305,13 +316,13 @@ class _Group:
         """Links of a query that the forest so far doesn't have."""
         at = np.searchsorted(self.union, found)
         at = at[(at < len(self.union)) & (self.union[np.minimum(at, len(self.union) - 1)] == found)]
-        if len(at) < least_overlap(len(found), int(self.sizes.min())):
+        if len(at) < least_overlap(len(found), int(self.sizes.min()), self.similarity):
             return []  # not even with all of the group
         first, count = self.first[at], self.last[at] - self.first[at]
         place = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
         shared = np.bincount(self.owner[place], minlength=len(self.names))
         out, joined = [], -1
-        for k in np.flatnonzero(DENOMINATOR * shared >= NUMERATOR * (len(found) + self.sizes - shared)).tolist():
+        for k in np.flatnonzero(linked(len(found), self.sizes, shared, self.similarity)).tolist():
             if joined < 0:
                 joined = self.root(k)
                 if self.names[k] != name:
@@ -333,13 +344,14 @@ def _spread(asked: DataFrame) -> DataFrame:
     return spread.withColumn("query", F.col("home") == F.col("part")).drop("home")
 
 
-def _bounded(asked: DataFrame, entries: DataFrame) -> DataFrame:
+def _bounded(asked: DataFrame, entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Those of the asked rows, for queries and members alike, that have a partner in the
     group by the bound of their histograms."""
     sent = _spread(asked.join(entries.select("fp", "n", "ranges"), "fp"))
     sent = sent.select("gid", "part", "own", "query", "fp", "rep", "n", "ranges").repartition("gid", "part").sortWithinPartitions("gid", "part", F.desc("own"), "fp")
     schema = "fp binary, gid long, rep long, own boolean"
     types = arrow_types(asked, schema)
+    numerator, denominator = similarity
     ship(asked.sparkSession)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +366,7 @@ def _bounded(asked: DataFrame, entries: DataFrame) -> DataFrame:
             mine, step, hit = folded(own, size), max(1, (1 << 21) // size), False
             for at in range(0, len(members), step):
                 most = np.minimum(matrix[size][at : at + step], mine).sum(1)
-                may = np.flatnonzero((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (matrix["n"][at : at + step] + n)) + at
+                may = np.flatnonzero((numerator + denominator) * most >= numerator * (matrix["n"][at : at + step] + n)) + at
                 for k in may.tolist():
                     if members[k][0] != name:
                         matrix["wanted"][k] = hit = True
@@ -395,7 +407,7 @@ def _bounded(asked: DataFrame, entries: DataFrame) -> DataFrame:
     return sent.mapInArrow(bound, schema).distinct()
 
 
-def _opened(documents: DataFrame, asked: DataFrame) -> DataFrame:
+def _opened(documents: DataFrame, asked: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """The links ``a, b`` (fingerprints) of a spanning forest inside each opened group."""
     spark = asked.sparkSession
     asked = settled(asked)
@@ -413,7 +425,7 @@ def _opened(documents: DataFrame, asked: DataFrame) -> DataFrame:
         key, members, group, out, last = None, [], None, [], None
         for batch in _text_slices(batches):
             gids, parts, owns, queries, fps = (batch.column(k).to_pylist() for k in range(5))
-            for gid, part, own, query, fp, found in zip(gids, parts, owns, queries, fps, shingles(batch.column(5).to_pylist()), strict=True):
+            for gid, part, own, query, fp, found in zip(gids, parts, owns, queries, fps, shingles(batch.column(5).to_pylist(), size), strict=True):
                 if blake2b(found.tobytes(), digest_size=16).digest() != fp or (gid, part, fp) == last:
                     continue  # another text under the same id, or the same row again
                 last = (gid, part, fp)
@@ -423,7 +435,7 @@ def _opened(documents: DataFrame, asked: DataFrame) -> DataFrame:
                 if own:
                     members.append((fp, found, query))
                 elif members:
-                    group = group or _Group([x[:2] for x in members])
+                    group = group or _Group([x[:2] for x in members], similarity)
                     out += group.links(fp, found)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], schema=types)
             out = []
@@ -434,7 +446,7 @@ def _opened(documents: DataFrame, asked: DataFrame) -> DataFrame:
         """The links among the members themselves."""
         if len(members) < 2:
             return []
-        group = group or _Group([x[:2] for x in members])
+        group = group or _Group([x[:2] for x in members], similarity)
         return [link for fp, found, query in members if query for link in group.links(fp, found)]
 
     return sent.mapInArrow(open_groups, schema)
@@ -459,11 +471,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def classes(documents: DataFrame) -> DataFrame:
+def classes(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    signed = settled(signatures(documents))
-    entries = _grouped(signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("common").alias("common"), F.first("low").alias("low"), F.first("lead").alias("lead"), F.first("ranges").alias("ranges")))
-    forest = _opened(documents, _bounded(settled(_asked(entries)), entries))
+    signed = settled(signatures(documents, size, similarity))
+    entries = _grouped(signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("common").alias("common"), F.first("low").alias("low"), F.first("lead").alias("lead"), F.first("ranges").alias("ranges")), similarity)
+    forest = _opened(documents, _bounded(settled(_asked(entries, similarity)), entries, similarity), size, similarity)
     roots = components(forest)
     reps = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     rooted = reps.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -472,11 +484,11 @@ def classes(documents: DataFrame) -> DataFrame:
     return signed.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(by_set, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("fp").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The documents with one of each component left, the one with the smallest id;
     documents without words and rows without an id all stay. Of rows that repeat the id
     that stays, one of each text does."""
-    judged = settled(classes(documents))
+    judged = settled(classes(documents, size, similarity))
     gone = judged.filter("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     twice = judged.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_gone"))
     gone = settled(gone)

@@ -104,3 +104,19 @@ def test_components(spark):
     got = {bytes(r["v"]).decode(): bytes(r["root"]).decode() for r in nj.components(df).collect()}
     assert got == {"b": "a", "c": "a", "g": "a", "h": "a", "e": "d"}
     assert nj.components(df.limit(0)).count() == 0
+
+
+def test_size_and_similarity_are_parameters(spark, frame, words):
+    """Five words and 0.8 by brute force, other than three words and 0.9."""
+    draw = random.Random(3)
+    rows = []
+    for k in range(40):
+        base = [draw.choice(words) for _ in range(draw.choice([4, 60, 200]))]
+        rows.append((2 * k, " ".join(base)))
+        rows.append((2 * k + 1, " ".join(base + [draw.choice(words) for _ in range(len(base) * draw.choice([0, 5, 18, 24, 30]) // 100)])))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for _, t in rows)]
+    want = {(k, rows[k & ~1][0] if 100 * len(sets[k] & sets[k & ~1]) >= 80 * len(sets[k] | sets[k & ~1]) else k) for k, _ in rows}
+    got = {(r["doc_id"], r["component_id"]) for r in nj.classes(frame(rows), 5, (80, 100)).collect()}
+    assert got == want
+    kept = {r["doc_id"] for r in nj.keep_one(frame(rows), size=5, similarity=(80, 100)).collect()}
+    assert kept == {k for k, c in want if k == c} < {r["doc_id"] for r in nj.keep_one(frame(rows)).collect()}

@@ -38,3 +38,11 @@ def test_pipeline_by_stages(spark, words, tmp_path):
     again = pipeline.run(spark, folder)
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, again.collect())) == sorted(map(key, frame.collect()))
+
+
+def test_stage_links_at_five_words_and_four_fifths(spark, words):
+    draw = random.Random(4)
+    base = [draw.choice(words) for _ in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + [draw.choice(words) for _ in range(18)])), (3, " ".join(base[:70]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
