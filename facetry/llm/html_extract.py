@@ -3,9 +3,11 @@
 A page is cut into text blocks, each with its root-to-leaf path of block elements.
 Per path, text length and punctuation are summed and divided by the path's blocks; the
 two ratios are smoothed along the page, fused into one score, and paths over a
-threshold are selected. The selected paths vote for the container that holds most of
-their text; blocks below it are the main text. Elements that can't hold it (menus,
-forms, scripts ...) and those whose class, id or role says so are left out before.
+threshold are selected. The blocks of all selected paths are main text, with headings
+below their lowest common container; the container that holds most of their text gives
+its other blocks too, and an article or main element around it holds all of the main
+text. Elements that can't hold it (menus, forms, scripts ...) and hidden ones are left
+out before; a class, id or role that says so lowers the scores below.
 
 Edge cases: null or empty html gives empty text and zero characters; unclosed,
 misnested and cut-off markup is read as far as it goes; repeated rows give repeated
@@ -24,6 +26,8 @@ from facetry.llm.common import arrow_map
 
 #: Paths score as content from this share of the best path's score.
 THRESHOLD = 0.1
+#: A class, id or role that says no main text multiplies the scores below it by this.
+MARKED = 0.02
 #: Weights of a block's neighbours, nearest first, in smoothing.
 SMOOTHING = (0.25, 0.1)
 #: A container holds at least this share of the selected text.
@@ -49,12 +53,15 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：，¿¡]")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _hidden(attributes: str) -> bool:
+    low = attributes.lower()
+    return ("hidden" in low or "display" in low) and bool(_HIDDEN.search(attributes))
+
+
 def _marked(attributes: str, inside: bool) -> bool:
     """Whether class, id or role say no main text; inside an article its own header
     counts as text."""
     low = attributes.lower()
-    if ("hidden" in low or "display" in low) and _HIDDEN.search(attributes):
-        return True
     if "class" not in low and "id" not in low and "role" not in low:
         return False
     for found in _ATTRIBUTE.finditer(attributes):
@@ -64,12 +71,13 @@ def _marked(attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """``(path, text, characters inside links)`` of the text blocks that may be main
-    text, in page order. A path has the block elements from the root on."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    # element, path with it, whether it or one above is left out, links around it
-    stack: list[tuple[str, tuple[str, ...], bool, int]] = [("", (), False, 0)]
+def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, int]]:
+    """``(path, text, characters inside links, marks)`` of the text blocks that may be
+    main text, in page order. A path has the block elements from the root on; marks are
+    the elements around whose class, id or role says no main text."""
+    out: list[tuple[tuple[str, ...], str, int, int]] = []
+    # element, path with it, whether it or one above is left out, links around it, marks
+    stack: list[tuple[str, tuple[str, ...], bool, int, int]] = [("", (), False, 0, 0)]
     parts: list[str] = []
     linked = 0
 
@@ -78,12 +86,12 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((stack[-1][1], text, linked))
+                out.append((stack[-1][1], text, linked, stack[-1][4]))
             parts.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
-        if any(stack[i][0] in _BLOCK for i in range(k, len(stack))):
+        if any(stack[i][0] in _BLOCK for i in range(k, len(stack))) or stack[-1][4] != stack[k - 1][4]:
             flush()
         del stack[k:]
 
@@ -112,12 +120,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             if name == "br":
                 parts.append(" ")
             return
-        _, path, left_out, links = stack[-1]
+        _, path, left_out, links, marks = stack[-1]
         inside = "article" in path or "main" in path
-        out_here = left_out or name in _OUT or (name == "header" and not inside) or (name not in ("html", "body") and _marked(attributes, inside))
+        out_here = left_out or name in _OUT or (name == "header" and not inside) or (name not in ("html", "body") and _hidden(attributes))
         if name == "header" and inside and not left_out:
             out_here = False
-        stack.append((name, path + (name,) if block else path, out_here, links + (name == "a")))
+        says_out = name not in ("html", "body") and _marked(attributes, inside) and not (name == "header" and inside)
+        if says_out and not block:
+            flush()
+        stack.append((name, path + (name,) if block else path, out_here, links + (name == "a"), marks + says_out))
 
     def closed(name: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -154,21 +165,21 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         else:
             opened(name, found[3])
             if found[3].endswith("/") and name not in _VOID and name not in _BLOCK and len(stack) > 1:
-                stack.pop()
+                pop_to(len(stack) - 1)
     flush()
     return out
 
 
-def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
+def path_scores(found: list[tuple[tuple[str, ...], str, int, int]]) -> dict[tuple[str, ...], float]:
     """The fused, smoothed length and punctuation ratio of each path."""
     totals: dict[tuple[str, ...], list[int]] = {}
-    for path, text, _ in found:
+    for path, text, *_ in found:
         total = totals.setdefault(path, [0, 0, 0])
         total[0] += len(text)
         total[1] += len(_PUNCTUATION.findall(text))
         total[2] += 1
-    length = [totals[p][0] / totals[p][2] for p, _, _ in found]
-    marks = [totals[p][1] / totals[p][2] for p, _, _ in found]
+    length = [totals[p][0] / totals[p][2] for p, *_ in found]
+    marks = [totals[p][1] / totals[p][2] for p, *_ in found]
 
     def smooth(values: list[float]) -> list[float]:
         out = []
@@ -183,7 +194,7 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str
         return out
 
     scores: dict[tuple[str, ...], float] = {}
-    for (path, _, _), a, b in zip(found, smooth(length), smooth(marks), strict=True):
+    for (path, *_), a, b in zip(found, smooth(length), smooth(marks), strict=True):
         scores[path] = scores.get(path, 0.0) + a * (0.1 + b)
     return {p: s / totals[p][2] for p, s in scores.items()}
 
@@ -193,33 +204,43 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
-    scores = path_scores(found)
+    # scores by marks and path; marked text has no part in the smoothing of other text
+    scores = {(m, p): s * MARKED**m for m in {x[3] for x in found} for p, s in path_scores([x for x in found if x[3] == m]).items()}
     best = max(scores.values())
-    selected = {p for p, s in scores.items() if s >= THRESHOLD * best}
+    selected = {x for x, s in scores.items() if s >= THRESHOLD * best}
+    least = min(m for m, _ in selected)
     size: dict[tuple[str, ...], int] = {}
     total = 0
-    for path, text, links in found:
-        if path in selected:
+    around: tuple[str, ...] | None = None  # the lowest container of all selected text
+    for path, text, links, marks in found:
+        if marks == least and (marks, path) in selected:
             mass = max(0, len(text) - 2 * links)
             total += mass
             for k in range(len(path)):
                 size[path[:k]] = size.get(path[:k], 0) + mass
+            if mass:
+                around = path[:-1] if around is None else around[: next((k for k, (a, b) in enumerate(zip(around, path, strict=False)) if a != b), min(len(around), len(path)))]
     holders = [p for p, s in size.items() if s >= MAJORITY * total] or [()]
     holder = max(holders, key=lambda p: (len(p), p))
-    marks = [k for k, x in enumerate(holder) if x == "article"] or [k for k, x in enumerate(holder) if x == "main"]
-    if marks:
-        holder = holder[: marks[0] + 1]
+    semantic = [k for k, x in enumerate(holder) if x == "article"] or [k for k, x in enumerate(holder) if x == "main"]
+    if semantic:
+        around = holder = holder[: semantic[0] + 1]
     else:
-        heads = {p[:-1] for p, _, _ in found if p and p[-1] in _HEADINGS}
+        heads = {p[:-1] for p, *_ in found if p and p[-1] in _HEADINGS}
         for k in range(len(holder) - 1, 0, -1):  # up to the box that has the heading too
             if holder[k - 1] not in ("html", "body") and holder[:k] in heads and holder not in heads:
                 holder = holder[:k]
-    semantic = bool(marks)
+        around = holder if around is None else around
     kept = []
-    for path, text, links in found:
-        if path[: len(holder)] != holder:
-            continue
-        if semantic or path in selected and links * 2 <= len(text) or path and path[-1] in _HEADINGS or holder and holder[-1] not in ("html", "body") and links * 2 <= len(text):
+    for path, text, links, marks in found:
+        below, inside, linked = path[: len(around)] == around, path[: len(holder)] == holder, links * 2 > len(text)
+        if semantic:
+            wanted = inside and (marks <= least or (marks, path) in selected and not linked)
+        elif marks > least:
+            wanted = (marks, path) in selected and not linked
+        else:
+            wanted = (marks, path) in selected and not linked or (below or inside) and bool(path) and path[-1] in _HEADINGS or inside and bool(holder) and holder[-1] not in ("html", "body") and not linked
+        if wanted:
             kept.append(text)
     return "\n".join(kept)
 

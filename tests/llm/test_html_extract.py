@@ -32,3 +32,19 @@ def test_frame(spark):
     rows = extract_pages(pages).orderBy("page_id").collect()
     assert [r["n_chars"] for r in rows] == [len(main_text(PAGE))] * 2 + [0]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+LONG = "A sentence, long enough, and more of it. " * 8
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<div><h1>T</h1><p>{LONG[:164]}</p><section><h2>Head</h2><p>{LONG}</p></section></div>", f"T\n{LONG[:164].strip()}\nHead\n{LONG.strip()}"),
+        (f"<div><p>{LONG}</p><ul><li>{LONG * 2}</li></ul></div>", f"{LONG.strip()}\n{(LONG * 2).strip()}"),
+        (f"<div class='content has-sidebar'><p>{LONG}</p><div class='sidebar'><p>Look, here.</p></div></div>", LONG.strip()),
+        (f"<div class='content has-sidebar'><p>{LONG}</p></div><p>All rights.</p>", LONG.strip()),
+    ],
+)
+def test_selected_text_stays(page, text):
+    assert main_text(page) == text
