@@ -38,8 +38,8 @@ FIRST_DAY, DAYS = date(1900, 1, 1), 73_049  # to 2099-12-31
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9À-ɏ][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
     |(?P<secret>(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?(?P<value>[0-9A-Za-z_\-]{8,})(?![0-9A-Za-z_\-]))
-    |(?P<iban>(?<![\w])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![\w]))
-    |(?P<date>(?<![\w.])(?:\d{4}(?P<s1>[-/])\d{2}(?P=s1)\d{2}|\d{2}(?P<s2>[./-])\d{2}(?P=s2)\d{4})(?![\w]))
+    |(?P<iban>(?<![\w])(?-i:[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?)(?![\w]))
+    |(?P<date>(?<![\w.])(?:\d{4}(?P<s1>[-/])\d{2}(?P=s1)\d{2}(?=T\d{2}|(?!\w))|\d{2}(?P<s2>[./-])\d{2}(?P=s2)\d{4}(?![\w])))
     |(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w])\d(?:[\ -]?\d){12,18}(?![\w]))
@@ -50,6 +50,8 @@ _PATTERN = re.compile(
 #: A text without these has nothing to find.
 _ANY = re.compile(r"[0-9@=:]")
 _IBAN_CASE = re.compile(r"[A-Z0-9 ]+")
+_RUN = re.compile(r"\d(?:[ -]?\d)*")
+_DIGITS = re.compile(r"\d+")
 
 
 class Feistel:
@@ -182,23 +184,62 @@ def pseudonymise(text: str, feistel: Feistel) -> tuple[str, list[tuple[int, int,
     it was."""
     if not _ANY.search(text):
         return text, []
-    out, spans, at = [], [], 0
-    for found in _PATTERN.finditer(text):
+    out, spans, at, pos = [], [], 0, 0
+    cards, run_end = {}, 0  # the cards of the digit groups up to there
+    while found := _PATTERN.search(text, pos):
         kind = next(k for k in ("email", "secret", "iban", "date", "ipv4", "ssn", "card", "phone") if found[k] is not None)
         start, stop = found.span("value" if kind == "secret" else kind)
         whole = text[start:stop]
         if kind == "secret":
             new = (_hex(feistel, whole) if re.fullmatch("[0-9a-f]+|[0-9A-F]+", whole) else feistel.symbols("secret", whole)) if any(map(str.isdigit, whole)) else None
+        elif kind == "card" and start < run_end:
+            stop = cards.get(start, stop)
+            new = _replace(feistel, kind, text[start:stop]) if start in cards else None
         else:
             new = _replace(feistel, kind, whole)
+            if new is None and kind == "card":
+                cards, run_end = _cards(text, start)
+                stop = cards.get(start, stop)
+                new = _replace(feistel, kind, text[start:stop]) if start in cards else None
+            elif new is None and kind in ("iban", "phone"):
+                # what follows the value may have been taken for its end
+                for stop in [k for k in range(stop - 1, start, -1) if text[k - 1].isalnum() and not (text[k].isalnum() or text[k] == "_")]:
+                    if (new := _replace(feistel, kind, text[start:stop])) is not None:
+                        break
         if new is None:
+            pos = found.start() + 1
             continue
         out += (text[at:start], new)
-        at = stop
+        at = pos = stop
         spans.append((start, stop, kind))
     return "".join(out) + text[at:], spans
 
 
+def _cards(text: str, start: int) -> tuple[dict[int, int], int]:
+    """The card numbers made of whole digit groups in the run of groups at ``start``, as
+    start and stop, and the end of the run. Of overlapping ones the longest counts, then
+    the first."""
+    end = _RUN.match(text, start).end()
+    groups = [m.span() for m in _DIGITS.finditer(text, start, end)]
+    if text[end : end + 1].isalnum() or text[end : end + 1] == "_":
+        groups.pop()
+    valid = []
+    for i in range(len(groups)):
+        digits = ""
+        for j in range(i, len(groups)):
+            digits += text[slice(*groups[j])]
+            if len(digits) > 19:
+                break
+            if len(digits) > 12 and len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]:
+                valid.append((-len(digits), i, j))
+    taken, chosen = set(), {}
+    for _, i, j in sorted(valid):
+        if taken.isdisjoint(range(i, j + 1)):
+            taken.update(range(i, j + 1))
+            chosen[groups[i][0]] = groups[j][1]
+    return chosen, end
+
+
 def _hex(feistel: Feistel, text: str) -> str:
     value = feistel.number("hex", int(text, 16), 16 ** len(text))
     out = f"{value:x}".zfill(len(text))

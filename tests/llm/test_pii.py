@@ -58,3 +58,13 @@ def test_frame(spark, frame):
     report = {(r["doc_id"], r["n_found"], r["kinds"]) for r in pii.pii_report(docs).collect()}
     assert (1, 1, "email:1") in report and (2, 0, "") in report
     assert pii.pii_report(docs.limit(0)).count() == 0
+
+
+INSIDE = [("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"), ("No 7 4111 1111 1111 1111", "4111 1111 1111 1111", "card"), ("1234 4111 1111 1111 1111", "4111 1111 1111 1111", "card"), ("AT611904300234573201 is due", "AT611904300234573201", "iban"), ("AT61 1904 3002 3457 3201 2024", "AT61 1904 3002 3457 3201", "iban"), ("AB12 AT611904300234573201", "AT611904300234573201", "iban"), ("2024-01-05T10:00", "2024-01-05", "date"), ("+49 30 1234 5678 2024 2025", "+49 30 1234 5678", "phone"), ("4111 1111 1111 1112 123-45-6789", "123-45-6789", "ssn"), ("secret: somebody@mail.example.com", "somebody@mail.example.com", "email")]
+
+
+@pytest.mark.parametrize("text,value,kind", INSIDE)
+def test_values_inside_failed_matches(text, value, kind):
+    new, spans = pii.pseudonymise(f"x {text} y", F)
+    start = 2 + text.index(value)
+    assert (start, start + len(value), kind) in spans and value not in new and len(new) == len(text) + 4
