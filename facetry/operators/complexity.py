@@ -122,27 +122,59 @@ def _pair_rows(data: Data) -> DataFrame:
 def f4(data: Data):
     """Share of rows left in the overlap when columns are used up one by one, of each
     pair of classes."""
-    pairs, names = _pairs(data), [c for c, _ in data.classes]
+    ship(data.spark)
+    pairs, d = _pairs(data), data.d
+    names = {c: k for k, (c, _) in enumerate(data.classes)}
+    rows = settled(data.matrix.select("_y", "x"))
+    used, low, high = np.zeros((len(pairs), d), bool), np.zeros((len(pairs), d)), np.zeros((len(pairs), d))
+    share, total, active = np.ones(len(pairs)), np.zeros(len(pairs)), list(range(len(pairs)))
 
-    def shrink(table: pa.Table) -> pa.Table:
-        pair = table.column("pair")[0].as_py()
-        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        first = np.array([v == names[pairs[pair][0]] for v in table.column("y").to_pylist()])
-        total, left = len(x), list(range(x.shape[1]))
-        while left and len(x):
-            one, two = x[first][:, left], x[~first][:, left]
-            if len(one) and len(two):
-                inside = (x[:, left] >= np.maximum(one.min(0), two.min(0))) & (x[:, left] <= np.minimum(one.max(0), two.max(0)))
-            else:  # a class is used up: nothing overlaps
-                inside = np.zeros((len(x), len(left)), bool)
-            best = int(inside.sum(0).argmin())
-            keep = inside[:, best]
-            x, first = x[keep], first[keep]
-            del left[best]
-        return pa.table({"pair": pa.array([pair], pa.int32()), "share": [len(x) / total]})
-
-    found = {r["pair"]: r["share"] for r in _pair_rows(data).groupBy("pair").applyInArrow(shrink, "pair int, share double").collect()}
-    return [(_name(data, *p), found[k]) for k, p in enumerate(pairs)]
+    def tally(inside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By pair, class and column of the rows left: minima, maxima and rows; ``inside``
+        counts those within the bounds of each column."""
+        of = {k: [i for i in active if k in pairs[i]] for k in names.values()}
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lo, hi, n = np.full((len(pairs), 2, d), np.inf), np.full((len(pairs), 2, d), -np.inf), np.zeros((len(pairs), 2, d), np.int64)
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                y = np.array([names.get(v, -1) for v in batch.column("_y").to_pylist()])
+                for k in np.unique(y[y >= 0]).tolist():
+                    own = x[y == k]
+                    for i in of[k]:
+                        u, side = used[i], pairs[i].index(k)
+                        left = own[((own[:, u] >= low[i, u]) & (own[:, u] <= high[i, u])).all(1)]
+                        if inside:
+                            n[i, side] += ((left >= low[i]) & (left <= high[i])).sum(0)
+                        elif len(left):
+                            lo[i, side], hi[i, side] = np.minimum(lo[i, side], left.min(0)), np.maximum(hi[i, side], left.max(0))
+                            n[i, side] += len(left)
+            yield pa.RecordBatch.from_pydict({"place": pa.array(range(n.size), pa.int32()), "lo": lo.ravel(), "hi": hi.ravel(), "n": n.ravel()})
+
+        lo, hi, n = np.full(len(pairs) * 2 * d, np.inf), np.full(len(pairs) * 2 * d, -np.inf), np.zeros(len(pairs) * 2 * d, np.int64)
+        for r in rows.mapInArrow(work, "place int, lo double, hi double, n long").groupBy("place").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).collect():
+            lo[r["place"]], hi[r["place"]], n[r["place"]] = r["lo"], r["hi"], r["n"]
+        return lo.reshape(-1, 2, d), hi.reshape(-1, 2, d), n.reshape(-1, 2, d)
+
+    for step in range(d):
+        lo, hi, n = tally(False)
+        if not step:
+            total = n[:, :, 0].sum(1)
+        for i in [i for i in active if not n[i, :, 0].all()]:  # a class is used up: nothing overlaps
+            share[i] = 0.0
+            active.remove(i)
+        for i in active:
+            low[i], high[i] = np.where(used[i], low[i], lo[i].max(0)), np.where(used[i], high[i], hi[i].min(0))
+        if not active:
+            break
+        left = tally(True)[2].sum(1)
+        for i in active:
+            best = int(np.where(used[i], np.iinfo(np.int64).max, left[i]).argmin())
+            used[i, best], share[i] = True, left[i, best] / total[i]
+        active = [i for i in active if share[i] > 0]
+        if not active:
+            break
+    return [(_name(data, *p), float(v)) for p, v in zip(pairs, share, strict=True)]
 
 
 def _machines(data: Data, max_iter: int, seed: int | None) -> list[dict]:
