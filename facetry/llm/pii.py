@@ -8,11 +8,16 @@ the kind and the value only, so equal values have equal pseudonyms in all docume
 different values different ones.
 
 A permutation of ``range(n)`` is a balanced Feistel network on the next even number of
-bits, walked until it is back in the range; rounds are keyed BLAKE2b.
+bits, walked until it is back in the range; rounds are keyed BLAKE2b. A value of more
+than ``SHORT`` symbols (long secrets and addresses) goes through a Feistel network on its
+two halves of symbols, each added to a key stream of the other, in time that grows with
+its length only.
 
 Edge cases: null texts stay null with no finds; texts without finds stay as they are;
-repeated rows have repeated results; empty tables give empty results; all other columns
-pass through ``pseudonymise_texts``.
+very long texts are searched whole and a find may have any length; where several finds
+start at one place the kind that is listed first in the pattern counts; repeated rows
+have repeated results; empty tables give empty results; all other columns pass through
+``pseudonymise_texts``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +38,8 @@ from facetry.session import ship
 
 ROUNDS = 8
 KEY_SETTING = "spark.facetry.pii.key"
-DEFAULT_KEY = b"set spark.facetry.pii.key"
+#: Symbols of a value that is permuted as one number, at most.
+SHORT = 48
 FIRST_DAY, DAYS = date(1900, 1, 1), 73_049  # to 2099-12-31
 
 _PATTERN = re.compile(
@@ -70,12 +77,30 @@ class Feistel:
         while True:
             left, right = value >> half, value & mask
             for turn in range(ROUNDS):
-                mixed = blake2b(b"%d|%d|" % (turn, right) + salt, key=self.key, digest_size=(half + 7) // 8 + 4).digest()
+                mixed = self._stream(b"%d|%d|" % (turn, right) + salt, (half + 7) // 8 + 4)
                 left, right = right, left ^ (int.from_bytes(mixed, "big") & mask)
             value = left << half | right
             if value < size:
                 return value
 
+    def _stream(self, about: bytes, size: int) -> bytes:
+        """``size`` keyed bytes: one digest, or for more than it holds a counter's."""
+        if size <= 64:
+            return blake2b(about, key=self.key, digest_size=size).digest()
+        seed = blake2b(about, key=self.key).digest()
+        return b"".join(blake2b(b"%d" % k, key=seed).digest() for k in range(-(-size // 64)))[:size]
+
+    def vector(self, name: str, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The image of a row of symbols, each in a range of its own size."""
+        half = len(values) // 2
+        parts, ranges = [values[:half], values[half:]], [sizes[:half], sizes[half:]]
+        for turn in range(ROUNDS):
+            own, other = turn % 2, 1 - turn % 2
+            about = b"%d/%s/" % (turn, name.encode()) + parts[other].astype(np.uint8).tobytes()
+            keys = np.frombuffer(self._stream(about, 8 * len(parts[own])), "<u8") % ranges[own].astype(np.uint64)
+            parts[own] = (parts[own] + keys.astype(np.int64)) % ranges[own]
+        return np.concatenate(parts)
+
     def until(self, name: str, value: int, size: int, valid: Callable[[int], bool]) -> int:
         """The image of a valid value among the valid ones."""
         while True:
@@ -87,6 +112,8 @@ class Feistel:
         """Digits and ASCII letters permuted as one number of mixed radix; case and all
         other characters stay."""
         sizes = [10 if c.isdigit() and c.isascii() else 26 if c.isalpha() and c.isascii() else 1 for c in text]
+        if len(text) > SHORT:
+            return self._long(name, text, sizes)
         value, total = 0, 1
         for c, n in zip(text, sizes, strict=True):
             if n > 1:
@@ -102,6 +129,16 @@ class Feistel:
             out.append(c)
         return "".join(reversed(out))
 
+    def _long(self, name: str, text: str, sizes: list[int]) -> str:
+        """``symbols`` of a long text."""
+        places = [k for k, n in enumerate(sizes) if n > 1]
+        values = np.array([ord(text[k]) - 48 if sizes[k] == 10 else ord(text[k].lower()) - 97 for k in places], np.int64)
+        shape = blake2b("".join("d" if n == 10 else "a" if n == 26 else c for c, n in zip(text, sizes, strict=True)).encode("utf-8", "surrogatepass")).hexdigest()
+        out = list(text)
+        for k, v in zip(places, self.vector(name + shape, values, np.array([sizes[k] for k in places], np.int64)).tolist(), strict=True):
+            out[k] = chr(48 + v) if sizes[k] == 10 else chr(97 + v).upper() if text[k].isupper() else chr(97 + v)
+        return "".join(out)
+
 
 def luhn_digit(digits: str) -> str:
     """The check digit that follows ``digits``."""
@@ -241,14 +278,22 @@ def _cards(text: str, start: int) -> tuple[dict[int, int], int]:
 
 
 def _hex(feistel: Feistel, text: str) -> str:
+    if len(text) > SHORT:
+        digits = np.array([int(c, 16) for c in text], np.int64)
+        out = "".join(f"{v:x}" for v in feistel.vector(f"hex{len(text)}", digits, np.full(len(text), 16)).tolist())
+        return out.upper() if text.isupper() else out
     value = feistel.number("hex", int(text, 16), 16 ** len(text))
     out = f"{value:x}".zfill(len(text))
     return out.upper() if text.isupper() else out
 
 
-def key_of(spark) -> bytes:
-    """The key from the session's settings."""
-    return spark.conf.get(KEY_SETTING, "").encode() or DEFAULT_KEY
+def key_of(spark, otherwise: bytes | None = None) -> bytes:
+    """The key from the session's settings. Without one, and without a key that the
+    caller names for tests, there are no pseudonyms: a public key could undo them."""
+    key = spark.conf.get(KEY_SETTING, "").encode() or otherwise
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} or pass a key")
+    return key
 
 
 def pseudonymise_texts(documents: DataFrame, key: bytes | None = None, report: bool = False) -> DataFrame:
@@ -277,6 +322,6 @@ def pseudonymise_texts(documents: DataFrame, key: bytes | None = None, report: b
     return documents.mapInArrow(work, schema)
 
 
-def pii_report(documents: DataFrame) -> DataFrame:
+def pii_report(documents: DataFrame, key: bytes | None = None) -> DataFrame:
     """``doc_id, text, n_found, kinds`` of every document."""
-    return pseudonymise_texts(documents.select("doc_id", F.col("text")), report=True)
+    return pseudonymise_texts(documents.select("doc_id", F.col("text")), key, report=True)
