@@ -51,10 +51,11 @@ def test_main_path_has_no_python(spark, frame, words):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_shuffled_join_gives_the_same(spark, frame, words, monkeypatch):
-    monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
+def test_shuffled_join_gives_the_same(spark, frame, words):
     docs, items = fixture(words)
-    got = decontam.contamination(frame(docs), frame(items, "item_id long, text string"))
+    bench = frame(items, "item_id long, text string")
+    got = decontam.contamination(frame(docs), bench, broadcast_bytes=-1)
+    assert sorted(map(str, decontam.remove_contaminated(frame(docs), bench, broadcast_bytes=-1).collect())) == sorted(map(str, decontam.remove_contaminated(frame(docs), bench).collect()))
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()), key=repr) == brute(docs, items)
 
 
@@ -68,3 +69,17 @@ def test_removal(spark, frame, words):
     rest = kept - clean
     assert sorted(k for k, _ in rest) == [2, 8] and not any(b[2] for b in brute(list(rest), items))
     assert dict(rest)[8].startswith("x x x") and dict(rest)[2].endswith(words[398])
+
+
+def test_columns_of_any_name_pass_through(spark, frame, words):
+    docs, items = fixture(words)
+    names = ["_id", "_digest", "_text_digest", "_n_hit", "_spans", "start", "rows", "key", "at", "w", "m", "size", "window", "a.b"]
+    wide = frame(docs)
+    for k, name in enumerate(names):
+        wide = wide.withColumn(name, wide.doc_id * 100 + k)
+    bench = frame(items, "item_id long, text string")
+    kept = decontam.remove_contaminated(wide, bench)
+    assert kept.columns == wide.columns
+    for row in kept.collect():
+        assert [row[name] for name in names] == [None if row["doc_id"] is None else row["doc_id"] * 100 + k for k in range(len(names))]
+    assert decontam.contamination(wide, bench).count() == len(docs)
