@@ -108,7 +108,7 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> winner THEN winner END AS refers_to,
        array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key,
-       1704067200 + page_id AS captured
+       1704067200 + (coalesce(page_id, 0) % 31536000 + 31536000) % 31536000 AS captured
 FROM w
 """,
     "op8_url_filters": r"""

@@ -8,14 +8,15 @@ own. Of the rules that fit, that with more host labels wins, then that with the
 path, then ``block``; a url without one gets the filter's default verdict.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path and get the
-default; repeated rows give repeated results; empty tables give empty results; further
-columns are ignored. The rule list is held by each task, so ``compile_rules`` refuses
-lists over ``max_rules``.
+default; repeated rows give repeated results; very long urls are read whole; empty tables give empty results;
+further columns are ignored. Of rules that tie in labels and path, block wins. The rules
+are broadcast and made a trie once a worker, so lists over ``max_rules`` are refused.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,10 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_LOWER), found[2]) if found else ("", "")
 
 
+#: The trie that this worker made last.
+_TRIES: dict[str, _Node] = {}
+
+
 class _Node:
     __slots__ = ("below", "paths", "here")
 
@@ -97,9 +102,14 @@ def judge(root: _Node, host: str, path: str, default: str = "allow") -> tuple[st
 
 def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row."""
-    root = compile_rules(rules)
+    compile_rules(rules)  # refuses lists that are too long before anything is sent
+    name, held = uuid.uuid4().hex, pages.sparkSession.sparkContext.broadcast(tuple(rules))
 
     def work(batch: pa.RecordBatch) -> dict:
+        if name not in _TRIES:
+            _TRIES.clear()
+            _TRIES[name] = compile_rules(held.value)
+        root = _TRIES[name]
         parts = [split_url(x) for x in batch.column("url").to_pylist()]
         said = [judge(root, host, path, default) for host, path in parts]
         return {"page_id": batch.column("page_id"), "host": [x[0] for x in parts], "path": [x[1] for x in parts], "rule": [x[0] for x in said], "verdict": [x[1] for x in said]}
