@@ -1,23 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers over a clause are composed. The *insult* and *threat* transducers are
-character automata of words and word stems (a stem takes any ending) that emit weights;
-*target*, *negation* and *reported speech* emit marks for tokens. The composed grammar
-walks a clause once: negation holds for the next tokens, reported speech for the rest of
-its clause, a target holds around it; what the first two match is emitted with the kind
-of clause it stands in. A clause counts with its strongest match, so the score is made
+Five transducers read the tokens of a clause. *Target*, *negation* and *reported speech*
+mark the matches of a word list that they reach; a match may also promise a target among
+the next tokens, on a path that ends where none comes. *Insult* and *threat* are character
+automata of words and word stems (a stem takes any ending) that weigh tokens, each
+followed by a machine that picks one match and emits the kind of clause that its marks
+tell. ``compose`` makes one machine of the four that stand in a row, for insults and for
+threats; the best path through it is the clause's strongest match, so the score is made
 of matched clauses and not of words.
 
 Stems and their weights (log odds of toxic documents) and the weight of each kind of
-clause are learned from at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled rows, the
-first ``SAMPLE_CHARS`` characters of each; this bounded sample is all that doesn't grow
-with the table. Seed words have prior counts, kinds of clause prior weights, so the
-grammar works without labels too.
-
-Edge cases: null and empty texts get the score of a text without matches; repeated rows
-get repeated results; several labels of one document count as their maximum; an empty
-``labels`` leaves the priors, an empty table gives an empty result; further columns are
-ignored.
+clause are learned from at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled documents,
+each read whole; this bounded sample is all that doesn't grow with the table. The driver
+sees the sample's distinct words and its clauses' weights, not its texts. Seed words have
+prior counts, kinds of clause prior weights, so the grammar works without labels too.
+
+Edge cases: null and empty texts get the score of a text without matches; very long texts
+are read whole and all of their clauses count; of equally strong matches of a clause the
+heavier word counts, then the first kind; repeated rows get repeated results; of rows that
+repeat an id the sample has one, that with the least hash; several labels of one document
+count as their maximum; an empty ``labels`` leaves the priors, an empty table gives an
+empty result; further columns are ignored (``keep_clean`` passes them on).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.common import arrow_types
-from facetry.session import ship
+from facetry.session import settled, ship
 
 SAMPLE_TOXIC = 2500
 SAMPLE_CLEAN = 2500
-SAMPLE_CHARS = 20_000
 #: Learned stems at most, their shortest and longest length, toxic sample documents that
 #: must have one, and the share of its documents that must be toxic.
 MAX_STEMS, STEM_FROM, STEM_TO, LEAST_SUPPORT, LEAST_PRECISION = 400, 3, 12, 4, 0.8
@@ -52,11 +54,15 @@ NEGATIONS = "not no never nobody isnt arent dont wont nicht kein keine nie ne pa
 REPORTS = "said says say told tells claimed wrote called calls reported quoted sagte sagt schrieb nannte dit disait écrit dijo dice escribió llamó".split()
 
 KINDS = ("plain", "targeted", "negated", "reported")
-#: Prior weight of a clause's evidence by kind, and how firmly it is held.
-PRIOR = np.array([1.0, 1.2, 0.6, 0.6])
+#: Prior weights of a clause's evidence by kind, of insults and then of threats, and how
+#: firmly they are held.
+PRIOR = np.array([1.0, 1.2, 0.6, 0.6, 0.8, 1.4, 0.4, 0.4])
 PRIOR_STRENGTH = 2.0
 PRIOR_INTERCEPT = -1.5
 
+#: What a token may be, and the marks of the transducers.
+TARGET, NEGATION, REPORT, MATCH, TARGETED, NEGATED, REPORTED = (1 << k for k in range(7))
+
 _APART = {ord(x): " " for x in "\t\n\r\v\f!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~«»“”„…¡¿–—"} | {ord("'"): None, ord("’"): None}
 _CLAUSE = re.compile(r"[^.!?;:|\n…]+")
 
@@ -71,81 +77,206 @@ def plain(text: str) -> str:
     return " " + text.lower().translate(_APART) + " "
 
 
-class Grammar:
-    """The composed transducers. ``stems`` gives a weight to each word (with a blank at
-    its end) or stem."""
+class Transducer:
+    """States from 0, the start; ``arcs[state, symbol]`` are ``(next, symbol out, kind)``,
+    ``kind`` that of a picked match or -1. Symbols are sets of the bits above."""
+
+    def __init__(self, arcs: dict[tuple[int, int], list[tuple[int, int, int]]], finals: frozenset[int]) -> None:
+        self.arcs, self.finals = arcs, finals
+
+
+def _transducer(states: Iterable[Hashable], final: Callable[[Hashable], bool], rule: Callable[[Hashable, int], list[tuple]], symbols: int) -> Transducer:
+    """A machine whose ``rule(state, symbol)`` gives the arcs; the first state starts."""
+    number = {s: k for k, s in enumerate(states)}
+    arcs = {(k, x): [(number[n], out, kind) for n, out, kind in rule(s, x)] for s, k in number.items() for x in range(symbols)}
+    return Transducer(arcs, frozenset(k for s, k in number.items() if final(s)))
+
+
+def target_marks() -> Transducer:
+    """Marks matches near a target. States are the tokens that the last target still
+    reaches, the tokens among which none may come (an unmarked match denied one), and
+    those among which one must (a marked match promised one), so of all paths of a clause
+    only the true one lasts."""
+
+    def rule(state: tuple[int, int, int], x: int) -> list[tuple[tuple[int, int, int], int, int]]:
+        after, denied, promised = state
+        marked = x | TARGETED if x & MATCH else x
+        if x & TARGET:
+            return [] if denied else [((REACH, 0, 0), marked, -1)]
+        if after:
+            return [((after - 1, 0, 0), marked, -1)]
+        if promised == 1:
+            return []
+        denied, promised = max(denied - 1, 0), max(promised - 1, 0)
+        if not x & MATCH:
+            return [((0, denied, promised), x, -1)]
+        return [((0, denied, promised or REACH), marked, -1)] + ([] if promised else [((0, REACH, 0), x, -1)])
+
+    states = [(0, 0, 0), *((a, 0, 0) for a in range(1, REACH + 1)), *((0, d, q) for d in range(REACH + 1) for q in range(REACH + 1) if d or q)]
+    return _transducer(states, lambda s: not s[2], rule, MATCH << 1)
+
+
+def negation_marks() -> Transducer:
+    """Marks matches up to some tokens after a negation."""
+
+    def rule(state: int, x: int) -> list[tuple[int, int, int]]:
+        near = REACH + 1 if x & NEGATION else state
+        return [(max(near - 1, 0), x | NEGATED if near and x & MATCH else x, -1)]
+
+    return _transducer(range(REACH + 1), lambda s: True, rule, TARGETED << 1)
+
+
+def report_marks() -> Transducer:
+    """Marks matches after a verb of speech."""
+
+    def rule(state: int, x: int) -> list[tuple[int, int, int]]:
+        said = int(state or x & REPORT > 0)
+        return [(said, x | REPORTED if said and x & MATCH else x, -1)]
+
+    return _transducer(range(2), lambda s: True, rule, NEGATED << 1)
+
+
+def picked_match() -> Transducer:
+    """Picks one match and emits the kind that its marks tell."""
+
+    def rule(state: int, x: int) -> list[tuple[int, int, int]]:
+        kind = 3 if x & REPORTED else 2 if x & NEGATED else 1 if x & TARGETED else 0
+        return [(state, x, -1)] + ([(1, x, kind)] if x & MATCH and not state else [])
+
+    return _transducer(range(2), lambda s: s == 1, rule, REPORTED << 1)
+
+
+def compose(one: Transducer, two: Transducer) -> Transducer:
+    """The machine that feeds what ``one`` puts out to ``two``."""
+    number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
+    symbols = 1 + max(x for _, x in one.arcs)
+    while todo:
+        a, b = pair = todo.pop()
+        for x in range(symbols):
+            out = []
+            for to_a, between, kind in one.arcs[a, x]:
+                for to_b, last, other in two.arcs[b, between]:
+                    to = (to_a, to_b)
+                    if to not in number:
+                        number[to] = len(number)
+                        todo.append(to)
+                    out.append((number[to], last, max(kind, other)))
+            arcs[number[pair], x] = out
+    return Transducer(arcs, frozenset(k for (a, b), k in number.items() if a in one.finals and b in two.finals))
+
+
+def grammar_machine() -> Transducer:
+    """Target, negation, reported speech and the pick in a row."""
+    return compose(compose(compose(target_marks(), negation_marks()), report_marks()), picked_match())
+
 
-    def __init__(self, stems: dict[str, float], kinds: np.ndarray = PRIOR, intercept: float = PRIOR_INTERCEPT) -> None:
+MACHINE = grammar_machine()
+
+
+class Lexicon:
+    """A character automaton of weighted words (with a blank at their end) and stems."""
+
+    def __init__(self, stems: dict[str, float]) -> None:
         import ahocorasick
 
-        self.stems, self.kinds, self.intercept = stems, kinds, intercept
-        self.machine = ahocorasick.Automaton()
+        self.stems, self.machine = stems, ahocorasick.Automaton()
         for stem, weight in stems.items():
             self.machine.add_word(" " + stem, (len(stem) + 1, weight))
         if stems:
             self.machine.make_automaton()
-        self.targets, self.negations, self.reports = frozenset(TARGETS), frozenset(NEGATIONS), frozenset(REPORTS)
 
-    def clause(self, said: str) -> tuple[int, float] | None:
-        """Kind and weight of the clause's strongest match (``said`` as by ``plain``)."""
+    def found(self, said: str) -> bool:
+        return bool(self.stems) and next(self.machine.iter(said), None) is not None
+
+    def weights(self, said: str) -> dict[int, float]:
+        """The weight of the match at each place (of the blank before a token)."""
         hits: dict[int, float] = {}
-        for end, (size, weight) in self.machine.iter(said):
-            start = end - size + 1
-            hits[start] = max(hits.get(start, -math.inf), weight)
+        if self.stems:
+            for end, (size, weight) in self.machine.iter(said):
+                start = end - size + 1
+                hits[start] = max(hits.get(start, -math.inf), weight)
+        return hits
+
+
+class Grammar:
+    """The composed machine over the lexicons of insults and threats."""
+
+    def __init__(self, insults: dict[str, float], threats: dict[str, float], kinds: np.ndarray = PRIOR, intercept: float = PRIOR_INTERCEPT) -> None:
+        self.lexicons = (Lexicon(insults), Lexicon(threats))
+        self.kinds, self.intercept = kinds, intercept
+        self.role = {x: bit for bit, some in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for x in some}
+
+    def clause(self, said: str, which: int) -> tuple[int, float] | None:
+        """Kind and weight of the clause's strongest insult (0) or threat (1); ``said`` is
+        as by ``plain``. The best path, token by token."""
+        hits = self.lexicons[which].weights(said)
         if not hits:
             return None
-        best, at = None, 0
-        reported, negated, targeted = False, -REACH - 1, -REACH - 1
-        tokens = []
-        for k, token in enumerate(said.split()):
+        kinds, arcs, at = self.kinds[which * len(KINDS) :], MACHINE.arcs, 0
+        best: dict[int, tuple] = {0: (0.0, 0.0, 1)}  # state: strength, weight and -kind of the pick
+        for token in said.split():
             place = said.index(" " + token, at)
             at = place + len(token)
-            tokens.append(token)
-            reported |= token in self.reports
-            if token in self.negations:
-                negated = k
-            if token in self.targets:
-                targeted = k
-            if place in hits:
-                kind = 3 if reported else 2 if k - negated <= REACH else 1 if k - targeted <= REACH else 0
-                found = (self.kinds[kind] * hits[place], kind, hits[place], k)
-                best = max(best, found) if best else found
-        if best is None:
+            weight, symbol = hits.get(place), self.role.get(token, 0)
+            if weight is not None:
+                symbol |= MATCH
+            now: dict[int, tuple] = {}
+            for state, value in best.items():
+                for to, _, kind in arcs[state, symbol]:
+                    new = value if kind < 0 else (float(kinds[kind]) * weight, weight, -kind)
+                    if to not in now or new > now[to]:
+                        now[to] = new
+            best = now
+        ends = [v for state, v in best.items() if state in MACHINE.finals]
+        if not ends:
             return None
-        _, kind, weight, k = best
-        if kind == 0 and any(x in self.targets for x in said.split()[k + 1 : k + 1 + REACH]):
-            kind = 1
-        return kind, weight
+        _, weight, kind = max(ends)
+        return -kind, weight
 
     def evidence(self, text: str) -> np.ndarray:
-        """By kind, the weights of all matched clauses, the n-th strongest of its kind divided
-        by n, so that clauses of one kind never push those of another down."""
-        out = np.zeros(len(KINDS))
-        if not self.stems or next(self.machine.iter(plain(text)), None) is None:
+        """By insult and threat and kind, the weights of all matched clauses, the n-th
+        strongest of its kind divided by n, so that clauses of one kind never push those of
+        another down."""
+        out = np.zeros(2 * len(KINDS))
+        whole = plain(text)
+        some = [which for which, lexicon in enumerate(self.lexicons) if lexicon.found(whole)]
+        if not some:
             return out
-        found = [x for x in (self.clause(plain(c)) for c in _CLAUSE.findall(text)) if x]
-        ranks = [0] * len(KINDS)
+        found = []
+        for part in _CLAUSE.findall(text):
+            said = plain(part)
+            for which in some:
+                if match := self.clause(said, which):
+                    found.append((which * len(KINDS) + match[0], match[1]))
+        ranks = [0] * len(out)
         for kind, weight in sorted(found, key=lambda x: -x[1]):
             ranks[kind] += 1
             out[kind] += weight / ranks[kind]
         return out
 
+    def parts(self) -> tuple:
+        """What makes the grammar again: at most ``MAX_STEMS`` stems and the seeds."""
+        return (self.lexicons[0].stems, self.lexicons[1].stems, self.kinds, self.intercept)
+
     def score(self, text: str) -> float:
         """Probability that the text is toxic."""
         x = self.intercept + float(self.kinds @ self.evidence(text))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def _features(text: str) -> set[str]:
-    words = set(plain(text).split())
+def _features(words: Iterable[str]) -> set[str]:
     out = {w + " " for w in words}
     for w in words:
         out.update(w[:n] for n in range(STEM_FROM, min(len(w), STEM_TO) + 1))
     return out
 
 
-def learn(sample: list[tuple[str, int]]) -> Grammar:
-    """A grammar from ``(text, toxic)`` rows."""
+def distinct_words(text: str) -> list[str]:
+    return sorted(set(plain(text).split()))
+
+
+def learn_stems(sample: list[tuple[list[str], int]]) -> Grammar:
+    """A grammar with prior weights of kinds from ``(distinct words, toxic)`` rows."""
     total = (sum(1 for _, y in sample if y), sum(1 for _, y in sample if not y))
     seeds = {w + " ": 4.0 for w in INSULTS} | {w + " ": 2.0 for w in THREATS}
     # features are counted by their hashes first, so that only common ones are kept
@@ -157,7 +288,7 @@ def learn(sample: list[tuple[str, int]]) -> Grammar:
     toxic, clean_parts = [], []
     for text, y in sample:
         if y:
-            own = [f for f in _features(text) if f in place or hash(f) in common]
+            own = sorted(f for f in _features(text) if f in place or hash(f) in common)
             toxic.append(np.array([place.setdefault(f, len(place)) for f in own], np.int32))
     for text, y in sample:
         if not y:
@@ -184,14 +315,50 @@ def learn(sample: list[tuple[str, int]]) -> Grammar:
     for f in seeds:
         if f not in stems and odds[place[f]] > 0:
             stems[f] = float(odds[place[f]])
-    grammar = Grammar(stems)
-    x = np.array([grammar.evidence(t) for t, _ in sample]).reshape(-1, len(KINDS))
-    y = np.array([t for _, t in sample], float)
+    # a learned stem is a threat where it and a threat's seed begin with each other
+    threats = {f for f in stems if any(w.startswith(f.strip()) or f.startswith(w) for w in THREATS)}
+    return Grammar({f: w for f, w in stems.items() if f not in threats}, {f: w for f, w in stems.items() if f in threats})
+
+
+def fit_kinds(grammar: Grammar, evidence: list[tuple[list[float], int]]) -> Grammar:
+    """The grammar with weights of kinds fitted to ``(evidence, toxic)`` rows."""
+    x = np.array([e for e, _ in evidence], float).reshape(-1, 2 * len(KINDS))
+    y = np.array([t for _, t in evidence], float)
     if 0 < y.sum() < len(y):
         grammar.kinds, grammar.intercept = _fit(x, y)
     return grammar
 
 
+def learn(sample: list[tuple[str, int]]) -> Grammar:
+    """A grammar from ``(text, toxic)`` rows in memory."""
+    grammar = learn_stems([(distinct_words(t), y) for t, y in sample])
+    return fit_kinds(grammar, [(grammar.evidence(t).tolist(), y) for t, y in sample])
+
+
+def trained(documents: DataFrame, labels: DataFrame) -> Grammar:
+    """A grammar from the bounded sample of labelled documents; tasks read the texts."""
+    rows = settled(sample(documents, labels))
+    ship(documents.sparkSession)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"words": [" ".join(distinct_words(x or "")) for x in batch.column("text").to_pylist()], "toxic": batch.column("toxic").cast(pa.int32())})
+
+    # in an order of its own, so that equally good stems are chosen alike in every run
+    found = rows.mapInArrow(words, "words string, toxic int").orderBy("toxic", "words").collect()
+    grammar = learn_stems([(r["words"].split(" ") if r["words"] else [], r["toxic"]) for r in found])
+    del found
+    held = documents.sparkSession.sparkContext.broadcast(grammar.parts())
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Grammar(*held.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"evidence": [own.evidence(x or "").tolist() for x in batch.column("text").to_pylist()], "toxic": batch.column("toxic").cast(pa.int32())})
+
+    weighed = rows.mapInArrow(weigh, "evidence array<double>, toxic int").orderBy("toxic", "evidence").collect()
+    return fit_kinds(grammar, [(list(r["evidence"]), r["toxic"]) for r in weighed])
+
+
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression with the prior weights, by Newton steps."""
     a = np.hstack([x, np.ones((len(x), 1))])
@@ -215,22 +382,23 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return np.maximum(w[:-1], 0.0), float(w[-1])
 
 
-def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded training sample: ids first, by hash, then their texts."""
-    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bounded training sample ``text, toxic``: labelled ids by hash, at most
+    ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``, and one whole text of each."""
+    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
     rows = marked.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     slots = F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)
     chosen = rows.groupBy("toxic", F.pmod(F.col("h"), slots).alias("slot")).agg(F.min_by("doc_id", F.struct("h", "doc_id")).alias("doc_id"))
     picked = chosen.select("doc_id", "toxic")  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
-    found = documents.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")
-    return [(r["text"] or "", int(r["toxic"])) for r in found.orderBy("doc_id", F.xxhash64("text")).limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()]
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def scored(documents: DataFrame, grammar: Grammar, columns: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``columns`` of the documents with the score and the prediction, named ``names``."""
     spark = documents.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast((grammar.stems, grammar.kinds, grammar.intercept))  # at most MAX_STEMS and the seeds
+    held = spark.sparkContext.broadcast(grammar.parts())
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + f", {names[0]} double, {names[1]} int"
     types = arrow_types(documents, schema)
 
@@ -247,12 +415,12 @@ def scored(documents: DataFrame, grammar: Grammar, columns: list[str], names: tu
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    grammar = learn(sample(documents, labels))
+    grammar = trained(documents, labels)
     return scored(documents, grammar, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns."""
-    grammar = learn(sample(documents, labels))
+    grammar = trained(documents, labels)
     names = tuple(f"_{x}_{uuid.uuid4().hex[:8]}" for x in ("score", "predicted"))  # no column is called so
     return scored(documents, grammar, documents.columns, names).filter(f"{names[1]} = 0").drop(*names)
