@@ -11,13 +11,17 @@ code wins; the score is its share of probability with code lengths tempered by t
 text's length.
 
 Training reads, per language, at most ``SAMPLE_DOCUMENTS`` documents chosen by a hash
-of their id and text, and of them at most ``SAMPLE_BYTES`` each; this bounded sample is
-the only thing that doesn't grow with the table.
+of their id and text, each whole; this bounded sample is the only thing that doesn't grow
+with the table. Tasks count its byte runs; only those counts reach the driver.
 
-Edge cases: texts that are null or have no letter are ``und`` with score 0; without a
-language to learn from all are ``und``; ties go to the language that sorts first;
-repeated rows give repeated results; an empty table gives an empty result; further
-columns are ignored.
+Costs are kept for the (context, byte) pairs that some language has seen; any other pair
+pays its contexts' escapes down to a shorter one that has, so memory grows with what was
+seen and not with contexts x bytes x languages.
+
+Edge cases: texts that are null or have no letter are ``und`` with score 0; very long
+texts are coded whole, in parts that overlap by a context; without a language to learn
+from all are ``und``; ties go to the language that sorts first; repeated rows give
+repeated results; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.common import arrow_types
@@ -35,10 +39,9 @@ from facetry.session import ship
 
 ORDER = 3
 SAMPLE_DOCUMENTS = 400
-SAMPLE_BYTES = 4000
-#: Successors of a context in training, at least, for the longest contexts.
-LEAST_SEEN = 2
 UNKNOWN = "und"
+#: Numbers that the costs of the positions coded at once take at most.
+ROOM = 1 << 22
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,77 +49,117 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def sample(documents: DataFrame, documents_each: int = SAMPLE_DOCUMENTS) -> list[tuple[str, bytes]]:
-    """The bounded training sample as ``(lang, text bytes)``."""
-    rows = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", "text").alias("h"), "doc_id")
-    # the first of each language by hash; partial top-k before the shuffle
-    top = rows.groupBy("lang", F.pmod(F.col("h"), F.lit(documents_each)).alias("slot")).agg(F.min_by("text", F.struct("h", "doc_id")).alias("text"))
-    chosen = top.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("slot"))).filter(F.col("k") <= documents_each)
-    return [(r["lang"], r["text"].encode("utf-8", "surrogatepass")[:SAMPLE_BYTES]) for r in chosen.orderBy("lang", "slot").collect()]
+def sample(documents: DataFrame, documents_each: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """The bounded training sample ``lang, text``."""
+    rows = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), "doc_id")
+    # the first of each slot by hash, chosen by ids and hashes before any text moves
+    chosen = rows.groupBy("lang", F.pmod(F.col("h"), F.lit(documents_each)).alias("slot")).agg(F.min(F.struct("h", "doc_id")).alias("first")).select("lang", F.col("first.h").alias("h"))
+    return rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def byte_runs(raw: bytes) -> np.ndarray:
+    """The code of every byte with the ``ORDER`` before it, base 257, the nearest lowest;
+    256 stands for what is before the text."""
+    symbols = np.concatenate([np.full(ORDER, 256, np.int64), np.frombuffer(raw, np.uint8).astype(np.int64)])
+    code = np.zeros(len(raw), np.int64)
+    for back in range(ORDER, -1, -1):
+        code = code * 257 + symbols[ORDER - back : len(symbols) - back]
+    return code
+
+
+def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and how often they come in all of the parts."""
+    codes, index = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(index, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+
+def counts_of(trained: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By language, the byte runs of ``lang, text`` rows with their counts."""
+    ship(trained.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.unique(byte_runs(text.encode("utf-8", "surrogatepass")), return_counts=True)
+                total[lang] = merged_counts([total[lang], own]) if lang in total else own
+        for lang, (codes, times) in total.items():
+            for at in range(0, len(codes), 65536):
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(codes[at : at + 65536]), "code": codes[at : at + 65536], "n": times[at : at + 65536]})
+
+    summed = trained.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    lang, code, n = (summed.column(k).to_numpy() for k in range(3))
+    return {x: (code[lang == x], n[lang == x]) for x in sorted(set(lang.tolist()))}
 
 
 class PartialMatching:
     """Frozen context trees of all languages over one alphabet of seen bytes.
 
-    ``node[c3, c2, c1]`` numbers the context that a byte is coded in (the longest one
-    kept), ``cost[node, byte, language]`` is the code length in bits."""
-
-    def __init__(self, trained: list[tuple[str, bytes]], order: int = ORDER) -> None:
-        self.languages = sorted({x for x, _ in trained})
-        self.order = order
-        seen = np.zeros(256, bool)
-        for _, raw in trained:
-            seen[np.frombuffer(raw, np.uint8)] = True
-        self.size = int(seen.sum()) + 1
-        self.alphabet = np.zeros(256, np.int64)  # 0: never seen
-        self.alphabet[np.flatnonzero(seen)] = np.arange(1, self.size)
-        self._count(trained)
-
-    def _count(self, trained: list[tuple[str, bytes]]) -> None:
-        a, languages = self.size, self.languages
-        pads = [0] * self.order
-        # symbols of each language, texts apart by unseen bytes
-        lines = [np.concatenate([np.concatenate([pads, self.alphabet[np.frombuffer(raw, np.uint8)]]) for lang, raw in trained if lang == name] or [np.array(pads)]).astype(np.int64) for name in languages]
-        keep = [s[self.order :] > 0 for s in lines]
-        # contexts that are kept as nodes: all of order 0 to 2 that occur, and of order 3 those with some successors
-        keys: list[np.ndarray] = []
-        for order in range(1, self.order + 1):
-            found = []
-            for s, ok in zip(lines, keep, strict=True):
-                k = self._context(s, order)[ok]
-                values, times = np.unique(k, return_counts=True)
-                found.append(values[times >= (LEAST_SEEN if order == self.order else 1)])
-            keys.append(np.unique(np.concatenate(found)))
-        starts = np.cumsum([1, *map(len, keys)])
-        self.nodes = int(starts[-1])
-        cost = np.empty((self.nodes, a, len(languages)), np.float32)
-        for li, (s, ok) in enumerate(zip(lines, keep, strict=True)):
-            now = s[self.order :][ok]
-            bits = np.full((1, a), 8.0)
-            parent = np.zeros(0, np.int64)
-            for order in range(self.order + 1):
-                if order == 0:
-                    counts = np.bincount(now, minlength=a).reshape(1, a).astype(np.float64)
-                    below = bits
-                else:
-                    node = np.searchsorted(keys[order - 1], k := self._context(s, order)[ok])
-                    there = (node < len(keys[order - 1])) & (keys[order - 1][np.minimum(node, len(keys[order - 1]) - 1)] == k)
-                    counts = np.bincount(node[there] * a + now[there], minlength=len(keys[order - 1]) * a).reshape(-1, a).astype(np.float64)
-                    shorter = keys[order - 1] % a ** (order - 1)
-                    parent = np.zeros(len(shorter), np.int64) if order == 1 else np.searchsorted(keys[order - 2], shorter)
-                    below = bits[parent]
-                total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    coded = -np.log2(counts / (total + distinct))
-                    escape = -np.log2(distinct / (total + distinct))
-                bits = np.where(total == 0, below, np.where(counts > 0, coded, escape + below))
-                cost[(0 if order == 0 else starts[order - 1]) : starts[order] if order else 1, :, li] = bits
-        self.cost = cost.reshape(self.nodes * a, len(languages))
-        node = np.zeros(a**self.order, np.int32)
-        for order in range(1, self.order + 1):  # longer contexts overwrite shorter ones
-            number = np.arange(starts[order - 1], starts[order], dtype=np.int32)
-            node.reshape(-1, a**order)[:, keys[order - 1]] = number[None, :]
-        self.node = node
+    For each order, ``node[context]`` numbers the contexts that some language has seen (-1
+    for others) and ``pair[node, byte]`` the pairs; ``bits[pair, language]`` is the code
+    length of a pair in bits and ``escape[node, language]`` that of leaving a context."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.languages = sorted(counts)
+        self.order = ORDER
+        codes, times = (np.concatenate([counts[x][k] for x in self.languages]) for k in range(2))
+        owner = np.repeat(np.arange(len(self.languages)), [len(counts[x][0]) for x in self.languages])
+        seen = np.zeros(257, bool)
+        seen[codes % 257] = True
+        self.size = a = int(seen.sum()) + 1
+        self.alphabet = np.zeros(257, np.int64)  # 0: never seen
+        self.alphabet[np.flatnonzero(seen)] = np.arange(1, a)
+        symbols = [self.alphabet[codes // 257**k % 257] for k in range(ORDER + 1)]  # the byte, then those before it
+        self.node, self.pair, self.bits, self.escape = [], [], [], []
+        for order in range(ORDER + 1):
+            context = sum((symbols[k] * a ** (k - 1) for k in range(1, order + 1)), np.zeros(len(codes), np.int64))
+            pairs, where = np.unique(context * a + symbols[0], return_inverse=True)
+            contexts, of = np.unique(pairs // a, return_inverse=True)
+            n = np.bincount(where * len(self.languages) + owner, times, len(pairs) * len(self.languages)).reshape(len(pairs), -1)
+            total, distinct = np.zeros((2, len(contexts), len(self.languages)))
+            np.add.at(total, of, n)
+            np.add.at(distinct, of, n > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
+                coded = -np.log2(n / (total + distinct)[of])
+            # the same byte in the next shorter context is a pair as well
+            below = self.bits[-1][self.pair[-1][self.node[-1][(pairs // a) % a ** (order - 1)], pairs % a]] if order else np.full(n.shape, 8.0)
+            bits = np.where(n > 0, coded, escape[of] + below)
+            node = np.full(a**order, -1, np.int32)
+            node[contexts] = np.arange(len(contexts))
+            pair = np.full((len(contexts) + 1, a), -1, np.int32)  # the last row is that of no context
+            pair[of, pairs % a] = np.arange(len(pairs))
+            self.node.append(node)
+            self.pair.append(pair)
+            # a last row of zeros for what isn't there, so that -1 finds it
+            self.bits.append(np.vstack([bits, np.zeros((1, len(self.languages)))]))
+            self.escape.append(np.vstack([escape, np.zeros((1, len(self.languages)))]))
+        self.bits = [x.astype(np.float32) for x in self.bits]
+        self.escape = [x.astype(np.float32) for x in self.escape]
+
+    @classmethod
+    def of(cls, trained: list[tuple[str, bytes]]) -> PartialMatching:
+        """The model of ``(lang, text bytes)`` rows in memory."""
+        names = sorted({x for x, _ in trained})
+        return cls({x: merged_counts([np.unique(byte_runs(raw), return_counts=True) for lang, raw in trained if lang == x]) for x in names})
+
+    def _coded(self, symbols: np.ndarray) -> np.ndarray:
+        """Bits of each symbol from place ``self.order`` on, in each language."""
+        context, byte = self._context(symbols, self.order), symbols[self.order :]
+        node = self.node[self.order][context]
+        row = self.pair[self.order][node, byte]
+        out = self.bits[self.order][row]
+        left = np.flatnonzero(row < 0)
+        for order in range(self.order - 1, -1, -1):
+            if not len(left):
+                return out
+            out[left] += self.escape[order + 1][node[left] if order + 1 == self.order else node]
+            node = self.node[order][context[left] % self.size**order]
+            row = self.pair[order][node, byte[left]]
+            out[left] += self.bits[order][row]
+            node, left = node[row < 0], left[row < 0]
+        out[left] += self.escape[0][node] + 8.0
+        return out
 
     def _context(self, symbols: np.ndarray, order: int) -> np.ndarray:
         """The contexts before each symbol from place ``self.order`` on; the nearest
@@ -130,25 +173,28 @@ class PartialMatching:
         """Bits of each text in each language."""
         out = np.zeros((len(texts), len(self.languages)))
         sizes = np.array([len(x) for x in texts])
-        at = 0
-        while at < len(texts):  # some MB of text at a time
+        at, most = 0, self._most()
+        while at < len(texts):  # some MB of costs at a time
             end, room = at, 0
-            while end < len(texts) and (end == at or room + sizes[end] <= 1 << 20):
+            while end < len(texts) and (end == at or room + sizes[end] <= most):
                 room += sizes[end]
                 end += 1
             out[at:end] = self._some(texts[at:end], sizes[at:end])
             at = end
         return out
 
+    def _most(self) -> int:
+        return max(1 << 12, ROOM // len(self.languages))
+
     def _some(self, texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        a, step = self.size, self.order
+        step, most = self.order, self._most()
         total = np.zeros((len(texts), len(self.languages)))
-        if len(texts) == 1 and sizes[0] > 1 << 20:  # a very long text, in parts that overlap by a context
+        if len(texts) == 1 and sizes[0] > most:  # a very long text, in parts that overlap by a context
             raw = np.frombuffer(texts[0], np.uint8)
             before = np.zeros(step, np.int64)
-            for start in range(0, len(raw), 1 << 20):
-                symbols = np.concatenate([before, self.alphabet[raw[start : start + (1 << 20)]]])
-                total[0] += self.cost[self.node[self._context(symbols, step)].astype(np.int64) * a + symbols[step:]].sum(0, dtype=np.float64)
+            for start in range(0, len(raw), most):
+                symbols = np.concatenate([before, self.alphabet[raw[start : start + most]]])
+                total[0] += self._coded(symbols).sum(0, dtype=np.float64)
                 before = symbols[-step:]
             return total
         symbols = np.zeros(int(sizes.sum()) + step * (len(texts) + 1), np.int64)
@@ -159,7 +205,7 @@ class PartialMatching:
             inside[starts - back] = False
         inside[len(symbols) - step :] = False
         symbols[inside] = raw
-        bits = self.cost[self.node[self._context(symbols, step)].astype(np.int64) * a + symbols[step:]]
+        bits = self._coded(symbols)
         bits[~inside[step:]] = 0
         some = np.flatnonzero(sizes > 0)
         if len(some):
@@ -183,13 +229,14 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text[:200])) or any(map(str.isalpha, text[200:]))
 
 
-def identify(documents: DataFrame, trained: list[tuple[str, bytes]] | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every document."""
+def identify(documents: DataFrame, trained: DataFrame | None = None) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every document; learned from ``trained``
+    (``lang, text`` rows), else from the documents' own sample."""
     spark = documents.sparkSession
     ship(spark)
-    trained = sample(documents) if trained is None else trained
+    counts = counts_of(sample(documents) if trained is None else trained)
     name = uuid.uuid4().hex
-    held = spark.sparkContext.broadcast(trained)  # at most languages x documents x bytes of the sample
+    held = spark.sparkContext.broadcast(counts)  # the byte runs that the sample has
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
     types = arrow_types(documents, schema)
 

@@ -27,13 +27,6 @@ def code_length(trained, lang, raw):
                     context = tuple([-1] * max(0, order - i)) + tuple(text[max(0, i - order) : i])
                     counts.setdefault(context, {}).setdefault(text[i], 0)
                     counts[context][text[i]] += 1
-    common: dict = {}
-    for name in {x for x, _ in trained}:
-        for _, text in [t for t in trained if t[0] == name]:
-            for i in range(len(text)):
-                context = tuple([-1] * max(0, langid.ORDER - i)) + tuple(text[max(0, i - langid.ORDER) : i])
-                common.setdefault(context, {}).setdefault(name, 0)
-                common[context][name] += 1
     seen = {b for _, t in trained for b in t}
     total = 0.0
     for i, b in enumerate(raw):
@@ -42,7 +35,7 @@ def code_length(trained, lang, raw):
                 return 8.0
             context = tuple([-1] * max(0, order - i)) + tuple(x if x in seen else -1 for x in raw[max(0, i - order) : i])
             own = counts.get(context)
-            if not own or order == langid.ORDER and max(common[context].values()) < langid.LEAST_SEEN:
+            if not own:
                 return bits(order - 1)
             n, distinct = sum(own.values()), len(own)
             return -math.log2(own[b] / (n + distinct)) if b in own else -math.log2(distinct / (n + distinct)) + bits(order - 1)
@@ -53,7 +46,7 @@ def code_length(trained, lang, raw):
 
 def test_code_lengths_are_exact():
     trained = [(lang, text.encode()[:120]) for _, text, lang in corpus(12)]
-    model = langid.PartialMatching(trained)
+    model = langid.PartialMatching.of(trained)
     texts = [b"the ung q", "ß eau 中".encode(), b"", b"x", b"theandtheand"]
     found = model.lengths(texts)
     for k, raw in enumerate(texts):
@@ -78,10 +71,24 @@ def test_held_out_accuracy(spark, frame):
 
 
 def test_long_texts_in_parts():
-    model = langid.PartialMatching([(lang, text.encode()) for _, text, lang in corpus(20)])
+    model = langid.PartialMatching.of([(lang, text.encode()) for _, text, lang in corpus(20)])
     text = ("the und eau " * 120_000).encode()
     whole = model.lengths([text])[0]
     cut = (1 << 20) - 7
     parts = model.lengths([text[:cut]])[0]
     assert len(text) > 1 << 20 and (parts < whole).all()
     assert np.allclose(whole / len(text), parts / cut, rtol=1e-3)
+
+
+def test_sample_is_whole_texts(spark, frame):
+    """A language that shows beyond any prefix is learned; counts equal those in memory."""
+    rows = [(k, "x" * 30_000 + text, lang) for k, text, lang in corpus(40)]
+    docs = frame(rows + rows[:5], "doc_id long, text string, lang string")
+    picked = langid.sample(docs)
+    texts = [(r["lang"], r["text"].encode()) for r in picked.collect()]
+    assert max(len(t) for _, t in texts) > 30_000 and len(set(texts)) == len(texts)
+    one, two = langid.counts_of(picked), {x: langid.merged_counts([np.unique(langid.byte_runs(t), return_counts=True) for lang, t in texts if lang == x]) for x in {lang for lang, _ in texts}}
+    assert set(one) == set(two)
+    for x, (codes, n) in one.items():
+        order = np.argsort(codes)
+        assert (codes[order] == two[x][0]).all() and (n[order] == two[x][1]).all()
