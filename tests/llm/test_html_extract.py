@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from facetry.llm.html_extract import extract_pages, main_text
@@ -48,3 +51,72 @@ LONG = "A sentence, long enough, and more of it. " * 8
 )
 def test_selected_text_stays(page, text):
     assert main_text(page) == text
+
+
+NAMED = [
+    (f"<article class='post comments-open'><p>{LONG}</p></article>", LONG.strip()),
+    (f"<article class='comments sidebar' id='ad'><p>{LONG}</p></article><p>Footer words.</p>", LONG.strip()),
+    (f"<body><form action='x.aspx'><div class='menu'><a href=x>One</a></div><div><h1>T</h1><p>{LONG}</p></div><input></form></body>", f"T\n{LONG.strip()}"),
+    (f"<article><p>{LONG}</p><form><p>Your mail, please.</p></form></article>", LONG.strip()),
+    (f"<article><p>{LONG}</p><p class='notice-period'>Three months, at least.</p></article>", f"{LONG.strip()}\nThree months, at least."),
+    (f"<article><p>{LONG}</p><div class='cookie-notice-box'>We use cookies.</div></article>", LONG.strip()),
+    (f"<div class='text'><p>{LONG}</p><p><a href=x>This sentence is a link, mostly</a>, but not all.</p><p>{LONG}</p><ul><li>One, here.</li><li>Two, there.</li></ul></div>", f"{LONG.strip()}\nThis sentence is a link, mostly, but not all.\n{LONG.strip()}\nOne, here.\nTwo, there."),
+    (f"<div class='text'><p>{LONG}</p><ul><li><a href=x>Next page</a></li><li><a href=y>Last page</a></li></ul></div>", LONG.strip()),
+]
+
+
+@pytest.mark.parametrize("page,text", NAMED)
+def test_names_and_forms_are_weighed(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<div>text, here. ", "<a ", '<a "', "<ul><li>x ", "</script", "<a '>'", "<form>x ", "<table><tr><td>x, y. ", "<b></i>"])
+def test_time_grows_with_the_length(piece):
+    """Ten thousand unclosed elements of any kind take a moment, and twice as many no more
+    than some times that."""
+    began = time.perf_counter()
+    main_text(piece * 10_000)
+    assert time.perf_counter() - began < 10
+    if piece.startswith("<div"):
+        assert main_text(piece * 10_000) == "\n".join(["text, here."] * 10_000)
+
+
+def _tree(draw, words):
+    """A page as a tree of ``(name, attributes, children or text)`` and its main text, told
+    by a walk over the tree."""
+    sentence = lambda n: " ".join(draw.choice(words) for _ in range(n)).capitalize() + ", and so on."
+    article = [("h1", "", sentence(4))]
+    for _ in range(draw.randint(2, 6)):
+        article.append(draw.choice([("p", "", sentence(draw.randint(12, 60))), ("blockquote", "", [("p", "", sentence(20))]), ("p", "", sentence(30))]))
+    inner = [("div", "class='ad'", sentence(8)), ("aside", "", sentence(10)), ("script", "", "if (a < b) { x('</p>') }"), ("form", "", [("p", "", sentence(3))]), ("section", "id='comments'", [("p", "", sentence(15))])]
+    body = list(article)
+    for extra in inner:
+        if draw.random() < 0.5:
+            body.insert(draw.randint(1, len(body)), extra)
+    name, attributes = draw.choice([("article", "class='post no-sidebar'"), ("main", ""), ("div", "class='content with-comments'")])
+    menu = ("ul", "", [("li", "", [("a", "href=x", draw.choice(words))]) for _ in range(6)])
+    around = [("nav", "", [menu]), ("header", "", sentence(5)), (name, attributes, body), ("div", "class='sidebar-left'", [("p", "", sentence(9))]), ("footer", "", sentence(12))]
+    tree = ("body", "", [("form", "id=aspnet", around)] if draw.random() < 0.3 else around)
+
+    def read(node):
+        if node in article:
+            return [x[2] for x in node[2]] if isinstance(node[2], list) else [node[2]]
+        return [x for child in node[2] for x in read(child)] if isinstance(node[2], list) else []
+
+    return tree, "\n".join(read(tree))
+
+
+def _markup(node, draw):
+    name, attributes, inside = node
+    inner = inside if isinstance(inside, str) else "".join(_markup(x, draw) for x in inside)
+    if isinstance(inside, str) and name != "script":
+        inner = inner.replace(" and ", draw.choice([" and ", "  and\n", " <b>and</b> ", " &#97;nd "]))
+    close = "" if name in ("p", "li") and draw.random() < 0.5 else f"</{name}>"
+    return f"<{name} {attributes}>{inner}{close}{draw.choice(['', chr(10), '<!-- x -->'])}"
+
+
+def test_pages_by_a_tree_reading(words):
+    draw = random.Random(17)
+    for _ in range(300):
+        tree, text = _tree(draw, words)
+        assert main_text(_markup(tree, draw)) == text
