@@ -6,10 +6,11 @@ import numpy as np
 
 
 class Tree:
-    """A classification tree grown to purity on Gini impurity: nodes in preorder as
-    parallel arrays. Of equally good splits the first column and lowest threshold win."""
+    """A classification tree on Gini impurity, grown to purity within the limits given:
+    nodes in preorder as parallel arrays. Of equally good splits the first column and the
+    lowest threshold win."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, classes: int, max_depth: int | None = None) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, classes: int, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0) -> None:
         self.feature: list[int] = []
         self.threshold: list[float] = []
         self.left: list[int] = []
@@ -30,7 +31,8 @@ class Tree:
             self.samples.append(len(rows))
             self.depth.append(depth)
             self.impurity.append(1 - ((counts / len(rows)) ** 2).sum())
-            split = None if (counts > 0).sum() < 2 or depth == max_depth else _best_split(x[rows], y[rows], classes)
+            ended = (counts > 0).sum() < 2 or depth == max_depth or len(rows) < max(min_samples_split, 2 * min_samples_leaf)
+            split = None if ended else _best_split(x[rows], y[rows], classes, min_samples_leaf, min_impurity_decrease * len(y))
             self.feature.append(split[0] if split else -1)
             self.threshold.append(split[1] if split else 0.0)
             self.left.append(-1)
@@ -57,13 +59,16 @@ class Tree:
         return out / out.sum() if out.sum() > 0 else out
 
 
-def _best_split(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[int, float] | None:
+def _best_split(x: np.ndarray, y: np.ndarray, classes: int, least_rows: int = 1, least_fall: float = 0.0) -> tuple[int, float] | None:
+    """Column and threshold, leaving ``least_rows`` on either side; the impurity times rows
+    falls by at least ``least_fall``."""
     n, best = len(y), None
     hot = np.eye(classes)[y]
     for f in range(x.shape[1]):
         order = np.argsort(x[:, f], kind="stable")
         v = x[order, f]
         cut = np.flatnonzero(v[1:] - v[:-1] > 1e-7)
+        cut = cut[(cut + 1 >= least_rows) & (n - cut - 1 >= least_rows)]
         if not cut.size:
             continue
         upto = hot[order].cumsum(0)
@@ -74,6 +79,8 @@ def _best_split(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[int, float]
         if best is None or gain[k] > best[0] + 1e-9:
             middle = (v[cut[k]] + v[cut[k] + 1]) / 2
             best = (gain[k], f, v[cut[k]] if middle == v[cut[k] + 1] else middle)
+    if best and best[0] - (np.bincount(y) ** 2).sum() / n < least_fall - 1e-9:
+        return None
     return best[1:] if best else None
 
 

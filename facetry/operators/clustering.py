@@ -7,14 +7,14 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from facetry.operators.pairwise import row_statistics
+from facetry.operators.pairwise import shared_statistics
 from facetry.plans.data import NAN, Data
 from facetry.plans.registry import measure
 
 
 def _class_pairs(data: Data, metric: str):
     """Distances by ordered pair of classes."""
-    stats = row_statistics(data, metric)
+    stats = shared_statistics(data, metric)
     return {(r["y"], r["c"]): r for r in stats.groupBy("y", "c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("q").alias("q")).collect()}
 
 
@@ -57,9 +57,8 @@ def int_(data: Data, dist_metric: str = "euclidean"):
 def sil(data: Data, dist_metric: str = "euclidean", sample_frac: float | None = None):
     """Mean silhouette."""
     if sample_frac is not None:
-        kept = data.df.orderBy(F.xxhash64(F.lit(data.seed or 0), data.row_id)).limit(int(sample_frac * data.n))
-        data = Data(kept, data.target, data.attributes, data.row_id, data.categorical, data.encode)
-    stats = row_statistics(data, dist_metric)
+        data = data.subsample(sample_frac)
+    stats = shared_statistics(data, dist_metric)
     mean = F.col("s") / F.col("n")
     rows = stats.groupBy("i", "y").agg(F.max(F.when(F.col("c") == F.col("y"), mean)).alias("a"), F.min(F.when(F.col("c") != F.col("y"), mean)).alias("b"))
     value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.kernels import linear_svm, standardise
-from facetry.operators.pairwise import Block, block_pairs, blocks, distances, nearest, neighbours, row_statistics
+from facetry.operators.pairwise import Block, block_pairs, blocks, distances, nearest, neighbours, shared_blocks, shared_statistics
 from facetry.plans.data import NAN, Data
-from facetry.plans.registry import measure
+from facetry.plans.registry import NotConverged, TooLarge, measure
 from facetry.session import settled, ship
 
 #: Rows at most for what one task has to hold (t1; the class pairs of l1, l2, l3).
@@ -113,7 +113,7 @@ def _pair_rows(data: Data) -> DataFrame:
     pairs, names = _pairs(data), [c for c, _ in data.classes]
     for a, b in pairs:
         if data.classes[a][1] + data.classes[b][1] > MAX_TASK_ROWS:
-            raise ValueError(f"classes {_name(data, a, b)} have more rows than one task may hold ({MAX_TASK_ROWS})")
+            raise TooLarge(f"classes {_name(data, a, b)} have more rows than one task may hold ({MAX_TASK_ROWS})")
     to = F.array(*[F.when(F.col("_y").isin(names[a], names[b]), F.lit(k)) for k, (a, b) in enumerate(pairs)])
     return data.matrix.select(F.explode(F.filter(to, lambda p: p.isNotNull())).alias("pair"), "_id", F.col("_y").alias("y"), "x")
 
@@ -234,8 +234,8 @@ def n1(data: Data, metric: str = "gower", p: float = 2):
     one and the same in every run."""
     state = {r["_id"]: r["_id"] for r in data.source.select("_id").collect()} if data.n <= MAX_TASK_ROWS else None
     if state is None:
-        raise ValueError(f"n1 labels at most {MAX_TASK_ROWS} rows")
-    packed = blocks(data, True)
+        raise TooLarge(f"n1 labels at most {MAX_TASK_ROWS} rows")
+    packed = shared_blocks(data, True)
     edges: set[tuple[int, int]] = set()
     border: set[int] = set()
     spark = data.spark
@@ -282,7 +282,7 @@ def n1(data: Data, metric: str = "gower", p: float = 2):
 @measure("complexity", supervised=True)
 def n2(data: Data, metric: str = "gower", p: float = 2):
     """Per row, distance to the nearest row of the class over that to another class."""
-    stats = settled(row_statistics(data, metric, p, scaled=True))
+    stats = shared_statistics(data, metric, p, scaled=True)
     own, other = nearest(stats, False).select("i", F.col("d").alias("own")), nearest(stats, True).select("i", F.col("d").alias("other"))
     ratio = F.when(F.col("other") > 0, F.col("own") / F.col("other"))
     value = F.coalesce(1 - 1 / (1 + ratio), F.when(F.col("own") > 0, 1.0), F.lit(NAN))
@@ -292,7 +292,7 @@ def n2(data: Data, metric: str = "gower", p: float = 2):
 @measure("complexity", supervised=True)
 def n3(data: Data, metric: str = "gower", p: float = 2):
     """Per row, whether its nearest neighbour has another class."""
-    best = row_statistics(data, metric, p, scaled=True).groupBy("i", "y").agg(F.min_by("c", F.struct("lo", "at")).alias("c"))
+    best = shared_statistics(data, metric, p, scaled=True).groupBy("i", "y").agg(F.min_by("c", F.struct("lo", "at")).alias("c"))
     return best.select(F.col("i").cast("string").alias("key"), (F.col("c") != F.col("y")).cast("double").alias("value"))
 
 
@@ -316,7 +316,7 @@ def interpolated(data: Data) -> DataFrame:
 @measure("complexity", supervised=True)
 def n4(data: Data, metric: str = "gower", p: float = 2, n_neighbors: int = 1):
     """Per interpolated row, whether its nearest neighbours vote for another class."""
-    left, right = blocks(data, True, interpolated(data)), blocks(data, True)
+    left, right = blocks(data, True, interpolated(data)), shared_blocks(data, True)
 
     def kernel(a: Block, b: Block) -> dict[str, np.ndarray]:
         dist = distances(a.x, b.x, metric, p)
@@ -354,9 +354,9 @@ def t1(data: Data, metric: str = "gower", p: float = 2, agglomeration_metric: st
     if agglomeration_metric not in ("mass", "radius") or agglomeration_reference not in ("center", "border"):
         raise ValueError("agglomeration is by mass or radius, from the center or the border")
     if data.n > 20_000:
-        raise ValueError("t1 holds a bit for each pair of rows; at most 20,000 rows")
-    packed = blocks(data, True)
-    enemies = nearest(row_statistics(data, metric, p, left=packed, right=packed), True)
+        raise TooLarge("t1 holds a bit for each pair of rows; at most 20,000 rows")
+    packed = shared_blocks(data, True)
+    enemies = nearest(shared_statistics(data, metric, p, scaled=True), True)
     rows = sorted((r["i"], r["at"], r["d"]) for r in enemies.collect())
     radius: dict[int, float] = {}
     near = {i: (at, d) for i, at, d in rows}
@@ -422,7 +422,7 @@ def t4(data: Data):
 @measure("complexity", scalar=True, supervised=True)
 def lsc(data: Data, metric: str = "gower", p: float = 2):
     """One less the mean share of rows nearer than a row's nearest enemy."""
-    enemy = nearest(row_statistics(data, metric, p, scaled=True), True).select(F.col("i").alias("_id"), F.col("d").alias("enemy"))
+    enemy = nearest(shared_statistics(data, metric, p, scaled=True), True).select(F.col("i").alias("_id"), F.col("d").alias("enemy"))
     packed = blocks(data, True, data.matrix.join(enemy, "_id"), "enemy")
 
     def kernel(a: Block, b: Block) -> dict[str, np.ndarray]:
@@ -433,9 +433,12 @@ def lsc(data: Data, metric: str = "gower", p: float = 2):
 
 def _edges(data: Data, metric: str, p: float, radius_frac: float) -> DataFrame:
     """``u, v``: neighbours of a class, each pair once (zero distances are no edges)."""
-    k = max(1, int(round(data.n * radius_frac) if 0 < radius_frac < 1 else radius_frac))
-    near = neighbours(data, k, metric, p).filter("y = c AND d > 0")
-    return settled(near.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct())
+    store, key = data.__dict__.setdefault("_edges", {}), (metric, p, radius_frac)
+    if key not in store:
+        k = max(1, int(round(data.n * radius_frac) if 0 < radius_frac < 1 else radius_frac))
+        near = neighbours(data, k, metric, p).filter("y = c AND d > 0")
+        store[key] = settled(near.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct())
+    return store[key]
 
 
 @measure("complexity", scalar=True, supervised=True)
@@ -457,18 +460,48 @@ def cls_coef(data: Data, metric: str = "gower", p: float = 2.0, radius_frac: flo
     return 1 - 3 * triangles / triples if triples else NAN
 
 
+def leading_vector(multiply: Callable[[np.ndarray], np.ndarray], n: int, basis: int = 24, restarts: int = 40, tolerance: float = 1e-8) -> np.ndarray:
+    """The eigenvector of the largest eigenvalue of a symmetric matrix without negative
+    entries, by restarted Lanczos steps from a vector of ones; the largest entry is 1.
+    Raises ``NotConverged`` if the residual doesn't get below ``tolerance``."""
+    start = np.ones(n) / np.sqrt(max(n, 1))
+    for _ in range(restarts):
+        q, along = [start], []
+        beta = []
+        for k in range(min(basis, n)):
+            w = multiply(q[k])
+            along.append(float(q[k] @ w))
+            for v in q:  # twice is enough
+                w = w - (v @ w) * v
+            for v in q:
+                w = w - (v @ w) * v
+            size = float(np.linalg.norm(w))
+            if size < 1e-12:
+                break
+            beta.append(size)
+            q.append(w / size)
+        m = len(along)
+        values, vectors = np.linalg.eigh(np.diag(along) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1))
+        start = np.abs(np.array(q[:m]).T @ vectors[:, -1])  # the leading one has no two signs
+        start /= np.linalg.norm(start)
+        if np.linalg.norm(multiply(start) - values[-1] * start) <= tolerance * max(abs(values[-1]), 1e-300):
+            return start / start.max()
+    raise NotConverged(f"the leading eigenvector wasn't found in {restarts} rounds of {basis} products")
+
+
 @measure("complexity", supervised=True)
 def hubs(data: Data, metric: str = "gower", p: float = 2.0, radius_frac: float = 0.15):
-    """Per row, one less its hub score in the neighbour graph (power iteration on the
-    adjacency lists; only the score vector is sent out)."""
+    """Per row, one less its hub score in the neighbour graph: the leading eigenvector of
+    the adjacency lists, whose products with a vector are one job each (a score for each
+    row is sent out and comes back, so rows are bounded)."""
     if data.n > 5_000_000:
-        raise ValueError("hubs sends a score for each row to every task; at most 5,000,000 rows")
+        raise TooLarge("hubs sends a score for each row to every task; at most 5,000,000 rows")
     edges = _edges(data, metric, p, radius_frac)
     ship(data.spark)
     lists = settled(edges.unionAll(edges.select("v", "u")).groupBy("u").agg(F.collect_list("v").alias("near")))
     ids = np.array(sorted(r["_id"] for r in data.source.select("_id").collect()), np.int64)
-    score = np.ones(len(ids))
-    for _ in range(100):
+
+    def multiply(score: np.ndarray) -> np.ndarray:
         held = data.spark.sparkContext.broadcast((ids, score))
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,13 +512,11 @@ def hubs(data: Data, metric: str = "gower", p: float = 2.0, radius_frac: float =
                 starts = near.offsets.to_numpy()[:-1] - near.offsets.to_numpy()[0]
                 yield pa.RecordBatch.from_pydict({"u": batch.column("u"), "s": pa.array(np.add.reduceat(flat, starts) if len(starts) else np.zeros(0))})
 
-        # two steps along edges are one of the hub iteration
-        new = np.zeros(len(ids))
+        out = np.zeros(len(ids))
         for r in lists.mapInArrow(step, "u long, s double").collect():
-            new[np.searchsorted(ids, r["u"])] = r["s"]
-        new = (new / new.max() if new.max() > 0 else new) if len(new) else new
-        new = (new + score * (new > 0)) / max((new + score * (new > 0)).max(), 1e-300) if new.max() > 0 else new
-        if np.abs(new - score).max() < 1e-9:
-            break
-        score = new
+            out[np.searchsorted(ids, r["u"])] = r["s"]
+        held.destroy()
+        return out
+
+    score = leading_vector(multiply, len(ids)) if not lists.isEmpty() else np.zeros(len(ids))
     return data.spark.createDataFrame([(str(i), float(1 - s)) for i, s in zip(ids, score, strict=True)], "key string, value double")

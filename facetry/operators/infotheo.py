@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from facetry.plans.data import Data
 from facetry.plans.registry import measure
+from facetry.session import settled
 
 EPSILON = 1e-8
 
@@ -63,15 +64,12 @@ def attr_conc(data: Data, max_attr_num: int = 12):
     if max_attr_num and len(names) > max_attr_num:
         drawn = np.random.RandomState(data.seed).choice(len(names), max_attr_num, replace=False)
         names = [names[k] for k in drawn]
-    columns = data.categories
-    pairs = [F.struct(F.lit(f"{a},{b}").alias("key"), columns[a].alias("x"), columns[b].alias("y")) for i, a in enumerate(names) for b in names[:i]]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[:i]]
     if not pairs:
         return []
-    half = data.source.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").groupBy("key", "x", "y").agg(F.count("*").alias("n"))
-    half = half.persist()
-    turned = half.select(F.concat_ws(",", F.split("key", ",")[1], F.split("key", ",")[0]).alias("key"), F.col("y").alias("x"), F.col("x").alias("y"), "n")
-    found = _per_key(concentration(half.unionByName(turned), data.n))
-    half.unpersist()
+    half = settled(data.contingency(pairs))
+    both = half.select(F.concat_ws(",", "a", "b").alias("key"), "x", "y", "n").unionByName(half.select(F.concat_ws(",", "b", "a").alias("key"), F.col("y").alias("x"), F.col("x").alias("y"), "n"))
+    found = _per_key(concentration(both, data.n))
     return [(f"{a},{b}", found[f"{a},{b}"]) for a in names for b in names if a != b]
 
 

@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.kernels import Tree
 from facetry.functions.scoring import score_table
 from facetry.operators.pairwise import Block, block_pairs, blocks, distances
 from facetry.plans.data import Data
-from facetry.plans.registry import measure
+from facetry.plans.registry import TooLarge, measure
 from facetry.session import settled, ship
 
 #: Rows that one task may hold for the exact tree learners.
@@ -39,21 +39,22 @@ def allocation(data: Data, folds: int) -> dict[str, np.ndarray]:
     return out
 
 
-def folded(data: Data, num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0) -> DataFrame:
-    """``_id, _y, x, fold``: stratified folds in id order (or in a seeded hash's)."""
+def sampled(data: Data, lm_sample_frac: float) -> Data:
+    """The rows that the learners see, with all options of the dataset; made once."""
     if not 0.5 <= lm_sample_frac <= 1:
         raise ValueError("lm_sample_frac is from 0.5 to 1")
-    if lm_sample_frac < 1:
-        size = int(lm_sample_frac * data.n)
-        kept = data.df.orderBy(F.xxhash64(F.lit(data.seed or 0), data.row_id), data.row_id).limit(size)
-        data = Data(kept, data.target, data.attributes, data.row_id, data.categorical, data.encode, seed=data.seed)
+    store = data.__dict__.setdefault("_sampled", {})
+    if lm_sample_frac not in store:
+        store[lm_sample_frac] = data.subsample(lm_sample_frac) if lm_sample_frac < 1 else data
+    return store[lm_sample_frac]
+
+
+def folded(data: Data, num_cv_folds: int = 10, shuffle_cv_folds: bool = False) -> DataFrame:
+    """``_id, _y, x, fold``: stratified folds in id order (or in a seeded hash's)."""
     key = ("_folds", num_cv_folds, shuffle_cv_folds)
     store = data.__dict__.setdefault("_folded", {})
     if key not in store:
-        ranks = data.ranked("_y")
-        if shuffle_cv_folds:
-            mixed = Window.partitionBy("_y").orderBy(F.xxhash64(F.lit(data.seed or 0), "_id"), "_id")
-            ranks = data.source.select("_id", "_y", (F.row_number().over(mixed) - 1).alias("rank"))
+        ranks = data.ranked("_y", shuffle_cv_folds)
         fold = F.lit(None).cast("int")
         for c, counts in allocation(data, num_cv_folds).items():
             place = F.lit(0)
@@ -105,7 +106,8 @@ def _linear_scores(data: Data, rows: DataFrame, models: dict[int, tuple], decide
 @measure("landmarking", supervised=True)
 def naive_bayes(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0):
     """Scores of Gaussian naive Bayes."""
-    rows = folded(data, num_cv_folds, shuffle_cv_folds, lm_sample_frac)
+    data = sampled(data, lm_sample_frac)
+    rows = folded(data, num_cv_folds, shuffle_cv_folds)
     models = {}
     for f, parts in _training(data, rows).items():
         n = np.array([p[0] for p in parts], float)
@@ -128,7 +130,8 @@ def naive_bayes(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shu
 def linear_discr(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0):
     """Scores of the linear discriminant. Columns are scaled by their deviation inside
     classes; directions without spread are left out by rank."""
-    rows = folded(data, num_cv_folds, shuffle_cv_folds, lm_sample_frac)
+    data = sampled(data, lm_sample_frac)
+    rows = folded(data, num_cv_folds, shuffle_cv_folds)
     models = {}
     for f, parts in _training(data, rows).items():
         n = np.array([p[0] for p in parts], float)
@@ -171,7 +174,8 @@ def _nearest(data: Data, rows: DataFrame, columns: dict[int, int] | None) -> Dat
 @measure("landmarking", supervised=True)
 def one_nn(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0):
     """Scores of the nearest neighbour."""
-    rows = folded(data, num_cv_folds, shuffle_cv_folds, lm_sample_frac)
+    data = sampled(data, lm_sample_frac)
+    rows = folded(data, num_cv_folds, shuffle_cv_folds)
     return _scores(data, _nearest(data, rows, None), score)
 
 
@@ -179,7 +183,7 @@ def _per_fold(data: Data, rows: DataFrame, learn) -> DataFrame:
     """``learn(x, y, test, fold)`` for each fold in a task of its own; it gives rows for
     the tests (or one row)."""
     if data.n > MAX_TASK_ROWS:
-        raise ValueError(f"the exact tree learners hold a fold's training rows in one task; at most {MAX_TASK_ROWS} rows")
+        raise TooLarge(f"the exact tree learners hold a fold's training rows in one task; at most {MAX_TASK_ROWS} rows")
     ship(data.spark)
     folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
     names = {c: k for k, (c, _) in enumerate(data.classes)}
@@ -203,14 +207,16 @@ def _per_fold(data: Data, rows: DataFrame, learn) -> DataFrame:
 @measure("landmarking", supervised=True)
 def best_node(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0):
     """Scores of a tree with one split on any column."""
-    rows = folded(data, num_cv_folds, shuffle_cv_folds, lm_sample_frac)
+    data = sampled(data, lm_sample_frac)
+    rows = folded(data, num_cv_folds, shuffle_cv_folds)
     return _scores(data, _per_fold(data, rows, lambda x, y, t, _, k: Tree(x, y, k, 1).predict(t)), score)
 
 
 @measure("landmarking", supervised=True)
 def random_node(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0):
     """Scores of a tree with one split on one drawn column."""
-    rows = folded(data, num_cv_folds, shuffle_cv_folds, lm_sample_frac)
+    data = sampled(data, lm_sample_frac)
+    rows = folded(data, num_cv_folds, shuffle_cv_folds)
     drawn = int(np.random.RandomState(data.seed or 0).randint(0, data.d))
     return _scores(data, _per_fold(data, rows, lambda x, y, t, _, k: Tree(x[:, [drawn]], y, k, 1).predict(t[:, [drawn]])), score)
 
@@ -227,13 +233,15 @@ def worst_node(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuf
         column = [int(_ranking(x, y, k)[0])]
         return Tree(x[:, column], y, k, 1).predict(t[:, column])
 
-    rows = folded(data, num_cv_folds, shuffle_cv_folds, lm_sample_frac)
+    data = sampled(data, lm_sample_frac)
+    rows = folded(data, num_cv_folds, shuffle_cv_folds)
     return _scores(data, _per_fold(data, rows, learn), score)
 
 
 @measure("landmarking", supervised=True)
 def elite_nn(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0):
     """Scores of the nearest neighbour on the most important column of each fold."""
-    rows = folded(data, num_cv_folds, shuffle_cv_folds, lm_sample_frac)
+    data = sampled(data, lm_sample_frac)
+    rows = folded(data, num_cv_folds, shuffle_cv_folds)
     best = _per_fold(data, rows, lambda x, y, t, _, k: int(_ranking(x, y, k)[-1])).collect()
     return _scores(data, _nearest(data, rows, {r["fold"]: int(r["p"]) for r in best}), score)

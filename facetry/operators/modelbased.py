@@ -1,7 +1,9 @@
 """Measures of a decision tree.
 
-The tree is an exact numpy one up to ``MAX_EXACT_ROWS`` rows (grown by one Arrow task,
-not by the driver) or Spark's own, and becomes a small table of nodes."""
+The tree is an exact one, grown by one Arrow task and not by the driver, at every size up
+to ``MAX_EXACT_ROWS`` rows; more raise ``TooLarge``. Who wants a tree of more rows asks
+for it: ``kind="binned"`` among the dataset's ``tree`` options gives Spark's own, with 256
+bins a column, at any size. Either becomes a small table of nodes."""
 
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions.kernels import Tree
 from facetry.plans.data import NAN, Data
-from facetry.plans.registry import measure
+from facetry.plans.registry import TooLarge, measure
 from facetry.session import ship
 
 MAX_EXACT_ROWS = 1_000_000
@@ -38,23 +40,33 @@ class Nodes:
         return [d for f, d in zip(self.feature, self.depth, strict=True) if f < 0]
 
 
-def nodes(data: Data, kind: str | None = None) -> Nodes:
-    """The tree of a dataset, fitted once. ``kind``: exact or binned (Spark ML)."""
-    kind = kind or ("exact" if data.n <= MAX_EXACT_ROWS else "binned")
-    store = data.__dict__.setdefault("_trees", {})
-    if kind not in store:
-        store[kind] = _exact(data) if kind == "exact" else _binned(data)
-    return store[kind]
+#: Options of the tree: its kind and limits.
+OPTIONS = ("kind", "max_depth", "min_samples_split", "min_samples_leaf", "min_impurity_decrease")
 
 
-def _exact(data: Data) -> Nodes:
+def nodes(data: Data) -> Nodes:
+    """The tree of a dataset, fitted once, by the dataset's ``tree`` options."""
+    if "_tree" not in data.__dict__:
+        limits = {k: v for k, v in data.tree.items() if v is not None}
+        if unknown := set(limits) - set(OPTIONS):
+            raise ValueError(f"unknown options of the tree: {', '.join(sorted(unknown))}")
+        kind = limits.pop("kind", "exact")
+        if kind not in ("exact", "binned"):
+            raise ValueError("a tree is exact or binned")
+        data.__dict__["_tree"] = _exact(data, limits) if kind == "exact" else _binned(data, limits)
+    return data.__dict__["_tree"]
+
+
+def _exact(data: Data, limits: dict) -> Nodes:
+    if data.n > MAX_EXACT_ROWS:
+        raise TooLarge(f"an exact tree is grown by one task, of at most {MAX_EXACT_ROWS} rows; ask for kind='binned'")
     ship(data.spark)
     names = {c: k for k, (c, _) in enumerate(data.classes)}
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("_id")
         x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        tree = Tree(x, np.array([names[y] for y in table.column("_y").to_pylist()]), len(names))
+        tree = Tree(x, np.array([names[y] for y in table.column("_y").to_pylist()]), len(names), **limits)
         yield pa.RecordBatch.from_pydict({"feature": [tree.feature], "depth": [tree.depth], "samples": [tree.samples], "predicted": [[int(c.argmax()) for c in tree.counts]], "importances": [tree.importances().tolist()]})
 
     schema = "feature array<long>, depth array<long>, samples array<long>, predicted array<long>, importances array<double>"
@@ -62,13 +74,16 @@ def _exact(data: Data) -> Nodes:
     return Nodes(*[list(v) for v in r], data.d)
 
 
-def _binned(data: Data) -> Nodes:
+def _binned(data: Data, limits: dict) -> Nodes:
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.functions import array_to_vector
 
     names = F.create_map(*[z for k, (c, _) in enumerate(data.classes) for z in (F.lit(c), F.lit(float(k)))])
     rows = data.matrix.select(array_to_vector("x").alias("features"), F.element_at(names, F.col("_y")).alias("label"))
-    return nodes_of(DecisionTreeClassifier(maxDepth=30, maxBins=256, seed=data.seed or 0).fit(rows))
+    if "min_samples_split" in limits:
+        raise ValueError("a binned tree has no min_samples_split")
+    learner = DecisionTreeClassifier(maxDepth=limits.get("max_depth", 30), maxBins=256, minInstancesPerNode=limits.get("min_samples_leaf", 1), minInfoGain=limits.get("min_impurity_decrease", 0.0), seed=data.seed or 0)
+    return nodes_of(learner.fit(rows))
 
 
 def nodes_of(model) -> Nodes:

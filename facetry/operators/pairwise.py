@@ -3,7 +3,8 @@
 Rows become blocks of some hundred, in id order; every pair of blocks is one unit of
 work for an Arrow kernel that reduces distances to statistics per row and class at once.
 No distance matrix and no row per pair is ever made. The work is quadratic by the
-measures' definition; it spreads over (blocks x blocks) tasks.
+measures' definition; it spreads over the cells of a grid of blocks. Measures of the same
+distances share one pass.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from facetry.plans.data import Data
 from facetry.session import settled, ship
 
 ROWS = 512
+#: Bytes of the left blocks of a cell, and those that are worth a cell of their own.
+CELL, LEAST = 64 << 20, 1 << 18
 METRICS = ("euclidean", "gower", "cityblock", "chebyshev", "minkowski", "sqeuclidean")
 
 
@@ -29,7 +32,7 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str, p: float = 2.0) -> np.n
     for k in range(0, len(a), step):
         gap = np.abs(a[k : k + step, None, :] - b[None, :, :])
         if metric in ("euclidean", "sqeuclidean"):
-            out[k : k + step] = (gap * gap).sum(-1)
+            out[k : k + step] = np.einsum("ijk,ijk->ij", gap, gap)
         elif metric == "gower":
             out[k : k + step] = gap.mean(-1)
         elif metric == "cityblock":
@@ -85,20 +88,57 @@ class Block:
 
 
 def block_pairs(left: DataFrame, right: DataFrame, kernel: Callable[[Block, Block], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """``kernel`` on every pair of a left and a right block."""
-    ids = [r["b"] for r in right.select("b").orderBy("b").collect()]  # one number a block
-    to = left.select(*[F.col(c).alias(f"l_{c}") for c in ("ids", "ys", "xs", "es")], F.explode(F.array(*[F.lit(x) for x in ids]).cast("array<bigint>")).alias("b"))
-    both = to.join(right, "b").select("l_ids", "l_ys", "l_xs", "l_es", "ids", "ys", "xs", "es")
+    """``kernel`` on every pair of a left and a right block.
+
+    Blocks are dealt to the rows (left) and columns (right) of a square grid; a cell is a
+    task's work: it holds its left blocks, some ``CELL`` bytes, and streams its right ones
+    past them. So a block is sent once for each row or column of the grid, and not once
+    for each other block."""
+    weight = F.sum(F.length("xs") + F.length("ids"))
+    size = max(left.agg(weight).first()[0] or 0, right.agg(weight).first()[0] or 0)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # at least a cell for each task, as long as there are blocks for them
+    grid = max(1, -(-size // CELL), min(int(np.ceil(np.sqrt(tasks))), -(-size // LEAST)))
+    place = lambda salt: F.pmod(F.xxhash64("b", F.lit(salt)), F.lit(grid))
+    every = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+    rows = left.select(place(1).cast("int").alias("i"), every.alias("j"), F.lit(0).alias("side"), "b", "ids", "ys", "xs", "es")
+    columns = right.select(every.alias("i"), place(2).cast("int").alias("j"), F.lit(1).alias("side"), "b", "ids", "ys", "xs", "es")
+    cell = (F.col("i") * grid + F.col("j")).cast("int")
+    dealt = rows.unionByName(columns).withColumn("cell", cell).repartitionById(grid * grid, "cell").sortWithinPartitions("side", "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Block] = []
         for batch in batches:
             for k in range(batch.num_rows):
-                raw = [batch.column(i)[k].as_py() for i in range(8)]
-                found = kernel(Block(*raw[:4]), Block(*raw[4:]))
-                if found and len(next(iter(found.values()))):
-                    yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in found.items()})
+                block = Block(*[batch.column(c)[k].as_py() for c in ("ids", "ys", "xs", "es")])
+                if batch.column("side")[k].as_py() == 0:
+                    held.append(block)
+                    continue
+                for other in held:
+                    found = kernel(other, block)
+                    if found and len(next(iter(found.values()))):
+                        yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in found.items()})
 
-    return both.mapInArrow(work, schema)
+    return dealt.mapInArrow(work, schema)
+
+
+def shared_statistics(data: Data, metric: str = "euclidean", p: float = 2.0, scaled: bool = False, alphas: tuple[float, float, float] = (2.0, 1.0, 1e-9)) -> DataFrame:
+    """``row_statistics`` of a dataset with itself, computed once for all measures that ask
+    for the same distances."""
+    store = data.__dict__.setdefault("_statistics", {})
+    key = (metric, p, scaled, alphas)
+    if key not in store:
+        packed = shared_blocks(data, scaled)
+        store[key] = settled(row_statistics(data, metric, p, scaled, packed, packed, alphas))
+    return store[key]
+
+
+def shared_blocks(data: Data, scaled: bool) -> DataFrame:
+    """The dataset's own blocks, packed once."""
+    store = data.__dict__.setdefault("_blocks", {})
+    if scaled not in store:
+        store[scaled] = blocks(data, scaled)
+    return store[scaled]
 
 
 def row_statistics(data: Data, metric: str = "euclidean", p: float = 2.0, scaled: bool = False, left: DataFrame | None = None, right: DataFrame | None = None, alphas: tuple[float, float, float] = (2.0, 1.0, 1e-9)) -> DataFrame:
@@ -139,7 +179,7 @@ def nearest(stats: DataFrame, enemy: bool) -> DataFrame:
 
 def neighbours(data: Data, k: int, metric: str, p: float, scaled: bool = True) -> DataFrame:
     """``i, y, j, c, d``: the ``k`` nearest other rows of each row (least id of equals)."""
-    right = blocks(data, scaled)
+    right = shared_blocks(data, scaled)
 
     def kernel(a: Block, b: Block) -> dict[str, np.ndarray]:
         dist = distances(a.x, b.x, metric, p)

@@ -1,29 +1,37 @@
 """Bootstrap confidence intervals.
 
-Each replicate draws as many rows as there are, with replacement: a row's number of
-copies is a Poisson(1) count from a hash of seed, replicate and row id, so a draw is a
-projection (no shuffle, the same in every run and partitioning). Replicates of one
-extraction are independent jobs on explode-by-weight frames."""
+Each replicate draws exactly as many rows as there are, with replacement: draw ``i`` of a
+replicate takes the row whose rank (by id) is a hash of seed, replicate and ``i``, so a
+draw is the same in every run and partitioning. Ranks are made once for all replicates,
+which then run some at a time, as their jobs are independent."""
 
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.plans.data import Data
+from facetry.session import settled
 
-def replicate(df: DataFrame, row_id: str, number: int, seed: int) -> DataFrame:
-    """One resample of ``df``; copies get ids of their own."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(number), F.col(row_id)), F.lit(1 << 40)) / float(1 << 40)
-    copies, mass, total = F.lit(0), math.exp(-1), 0.0
-    for k in range(1, 12):
-        total += mass
-        copies = copies + (u >= F.lit(total)).cast("int")
-        mass /= k
-    marked = df.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return marked.withColumn(row_id, F.col(row_id).cast("long") * 16 + F.col("_copy")).drop("_copies", "_copy")
+#: Replicates that run at a time.
+AT_ONCE = 8
+
+
+def numbered(data: Data) -> DataFrame:
+    """The rows with their rank ``_rank``, stored."""
+    ranks = data.ranked().select(F.col("_id").alias("_its"), F.col("rank").alias("_rank"))
+    return settled(data.df.join(ranks, F.col(data.row_id).cast("long") == F.col("_its")).drop("_its"))
+
+
+def replicate(rows: DataFrame, n: int, row_id: str, number: int, seed: int) -> DataFrame:
+    """A resample of ``numbered`` rows; its ids are the numbers of the draws."""
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("_draw"), F.pmod(F.xxhash64(F.lit(seed), F.lit(number), F.col("id")), F.lit(n)).alias("_rank"))
+    drawn = draws.join(rows.drop(row_id), "_rank")
+    return drawn.withColumnRenamed("_draw", row_id).drop("_rank").select(*[F.col(f"`{c}`") for c in rows.columns if c != "_rank"])
 
 
 def intervals(point: float, sample: np.ndarray, confidences: list[float]) -> list[tuple[float, float]]:
@@ -35,8 +43,9 @@ def intervals(point: float, sample: np.ndarray, confidences: list[float]) -> lis
     return out
 
 
-def with_confidence(extractor, sample_num: int = 128, confidence=0.95, arguments: dict | None = None) -> DataFrame:
-    """``name, value, confidence, low, high`` of an extractor that has a dataset."""
+def with_confidence(extractor, sample_num: int = 128, confidence=0.95, arguments: dict | None = None, verbose: int = 0) -> DataFrame:
+    """``name, value, confidence, low, high`` (and ``time`` of the values, if it is
+    measured) of an extractor that has a dataset."""
     from facetry.plans.extractor import Extractor
 
     levels = list(confidence) if isinstance(confidence, (list, tuple)) else [confidence]
@@ -47,14 +56,24 @@ def with_confidence(extractor, sample_num: int = 128, confidence=0.95, arguments
         raise TypeError("fit a dataset first")
     if not data.row_id:
         raise ValueError("bootstrap needs a row id")
-    point = {r["name"]: r["value"] for r in extractor.extract(arguments).collect()}
-    sample: dict[str, list[float]] = {x: [] for x in point}
-    seed = extractor.random_state or 0
-    for k in range(sample_num):
+    found = extractor.extract(arguments, verbose=verbose).collect()
+    point = {r["name"]: r["value"] for r in found}
+    seed, rows = extractor.random_state or 0, numbered(data)
+
+    def run(k: int) -> dict[str, float]:
         own = Extractor(extractor.groups, [m.name for m in extractor.measures], extractor.summary, random_state=seed + k, suppress_warnings=True, **extractor.folds)
-        own.fit(replicate(data.df, data.row_id, k, seed), data.target, attributes=data.attributes, row_id=data.row_id, categorical=data.categorical, encode=data.encode, discretise=data.discretise, rescale=data.rescale)
-        found = {r["name"]: r["value"] for r in own.extract(arguments).collect()}
-        for x in sample:
-            sample[x].append(found.get(x, math.nan))
-    rows = [(x, point[x], c, low, high) for x, v in sample.items() for c, (low, high) in zip(levels, intervals(point[x], np.array(v, float), levels), strict=True)]
-    return data.spark.createDataFrame(rows, "name string, value double, confidence double, low double, high double").orderBy("name", "confidence")
+        own.data = data.derive(replicate(rows, data.n, data.row_id, k, seed), seed=seed + k)
+        got = {r["name"]: r["value"] for r in own.extract(arguments).collect()}
+        if verbose:
+            print(f"replicate {k + 1} of {sample_num}", flush=True)
+        return got
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        replicates = list(pool.map(run, range(sample_num)))
+    sample = {x: [got.get(x, math.nan) for got in replicates] for x in point}
+    out = [(x, point[x], c, low, high) for x, v in sample.items() for c, (low, high) in zip(levels, intervals(point[x], np.array(v, float), levels), strict=True)]
+    made = data.spark.createDataFrame(out, "name string, value double, confidence double, low double, high double")
+    if extractor.measure_time:
+        times = data.spark.createDataFrame([(r["name"], r["time"]) for r in found], "name string, time double")
+        made = made.join(F.broadcast(times), "name")
+    return made.orderBy("name", "confidence")

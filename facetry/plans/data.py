@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from facetry.session import settled, ship
 
 NAN = float("nan")
+#: The arguments of each rescaling.
+RESCALE_ARGS = {"standard": ("with_mean", "with_std"), "min-max": ("feature_range",), "robust": ("with_centering", "with_scaling", "quantile_range")}
 #: Levels of a categorical column that may become columns of their own.
 MAX_LEVELS = 10_000
 #: Values that the last pass of a selection counts whole.
@@ -31,15 +33,35 @@ class Data:
 
     ``categorical`` is ``"auto"`` (by type), a list of names, or empty for none;
     ``encode`` one of gray, one-hot, one-hot-full and None; ``rescale`` one of standard,
-    min-max, robust and None. The row id must be unique; it orders rows."""
-
-    def __init__(self, df: DataFrame, target: str | None = None, attributes: list[str] | None = None, row_id: str | None = None, categorical="auto", encode: str | None = "gray", discretise: bool = True, rescale: str | None = None, check_bool: bool = False, seed: int | None = None) -> None:
+    min-max, robust and None, with ``rescale_args``: ``feature_range`` of min-max,
+    ``with_mean`` and ``with_std`` of standard, ``with_centering``, ``with_scaling`` and
+    ``quantile_range`` (in per cent) of robust. ``tree`` are the model-based group's
+    hyper-parameters. The row id must be unique; it orders rows."""
+
+    def __init__(
+        self,
+        df: DataFrame,
+        target: str | None = None,
+        attributes: list[str] | None = None,
+        row_id: str | None = None,
+        categorical="auto",
+        encode: str | None = "gray",
+        discretise: bool = True,
+        rescale: str | None = None,
+        check_bool: bool = False,
+        seed: int | None = None,
+        rescale_args: dict | None = None,
+        tree: dict | None = None,
+    ) -> None:
         if encode not in ("gray", "one-hot", "one-hot-full", None):
             raise ValueError(f"unknown encoding {encode!r}")
         if rescale not in ("standard", "min-max", "robust", None):
             raise ValueError(f"unknown rescaling {rescale!r}")
         self.df, self.target, self.row_id = df, target, row_id
         self.encode, self.discretise, self.rescale, self.seed = encode, discretise, rescale, seed
+        self.rescale_args, self.tree = dict(rescale_args or {}), dict(tree or {})
+        if unknown := set(self.rescale_args) - set(RESCALE_ARGS.get(rescale, ())):
+            raise ValueError(f"rescale {rescale!r} has no arguments {', '.join(sorted(unknown))}")
         self.attributes = attributes or [c for c in df.columns if c not in (target, row_id)]
         kinds = {f.name: f.dataType for f in df.schema}
         for c in self.attributes:
@@ -62,6 +84,25 @@ class Data:
     def spark(self):
         return self.df.sparkSession
 
+    def derive(self, df: DataFrame, **changed) -> Data:
+        """Another dataset of the same roles and options."""
+        own = {k: getattr(self, k) for k in ("target", "attributes", "row_id", "categorical", "encode", "discretise", "rescale", "seed", "rescale_args", "tree")}
+        return Data(df, **(own | changed))
+
+    def subsample(self, share: float) -> Data:
+        """The dataset of ``share`` of the rows, those with the least seeded hashes of their
+        ids. The hash that parts them is found by counting, not by a sort."""
+        self.needs_id()
+        size = int(share * self.n)
+        if size >= self.n:
+            return self
+        # 53 bits are exact in a double
+        code = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed or 0), F.col(self.row_id)), 11).cast("double")
+        if size < 1:
+            return self.derive(self.df.limit(0))
+        middle = order_statistics(self.df, {"h": code}, [(size - 0.5) / (self.n - 1)])["h"][0]
+        return self.derive(self.df.filter(code <= middle))
+
     @cached_property
     def source(self) -> DataFrame:
         """``_id, _y`` and the attributes; the id is null without a row id."""
@@ -123,19 +164,27 @@ class Data:
     def numeric_columns(self) -> dict[str, Column]:
         if not self.rescale:
             return self.encoded
-        plain = Data(self.df, self.target, self.attributes, self.row_id, self.categorical, self.encode)
+        plain, given = self.derive(self.df, rescale=None, rescale_args=None), self.rescale_args
         moments = plain.moments
-        quarters = plain.quantiles((0.25, 0.5, 0.75)) if self.rescale == "robust" else {}
+        lower, upper = given.get("quantile_range", (25.0, 75.0))
+        quarters = plain.quantiles((lower / 100, 0.5, upper / 100)) if self.rescale == "robust" else {}
+        low, high = given.get("feature_range", (0.0, 1.0))
+        if not low < high or not 0 <= lower < upper <= 100:
+            raise ValueError("ranges go from a lower to a higher value")
         out = {}
         for name, x in self.encoded.items():
             m = moments[name]
             if self.rescale == "standard":
-                shift, scale = m["mean"], math.sqrt(m["var"])
+                shift = m["mean"] if given.get("with_mean", True) else 0.0
+                scale = math.sqrt(m["var"]) if given.get("with_std", True) else 1.0
             elif self.rescale == "min-max":
                 shift, scale = m["min"], m["max"] - m["min"]
             else:
-                shift, scale = quarters[name][1], quarters[name][2] - quarters[name][0]
+                shift = quarters[name][1] if given.get("with_centering", True) else 0.0
+                scale = quarters[name][2] - quarters[name][0] if given.get("with_scaling", True) else 1.0
             out[name] = (x - F.lit(float(shift))) / F.lit(float(scale) or 1.0)
+            if self.rescale == "min-max" and (low, high) != (0.0, 1.0):
+                out[name] = out[name] * F.lit(float(high - low)) + F.lit(float(low))
         return out
 
     @cached_property
@@ -318,25 +367,86 @@ class Data:
     @cached_property
     def counts(self) -> DataFrame:
         """``key, v, y, n``: the contingency of every category column with the target."""
-        return settled(self.long(self.categories, None, "_y").groupBy("key", "v", F.col("_y").alias("y")).agg(F.count("*").alias("n")))
+        found = self.contingency([(c, None) for c in self.categories])
+        return settled(found.select(F.col("a").alias("key"), F.col("x").alias("v"), "y", "n"))
+
+    def contingency(self, pairs: list[tuple[str, str | None]]) -> DataFrame:
+        """``a, b, x, y, n``: how often the values of two category columns meet; a second
+        one of None is the target. Each task codes its rows once (a numeric column by its
+        cuts) and counts all pairs by arrays, so only counts are shuffled."""
+        ship(self.spark)
+        used = [c for c in self.categories if any(c in p for p in pairs)]
+        numbers = [c for c in used if c not in self.categorical]
+        cuts = {c: np.array(self.cuts[c], np.float64) for c in numbers}
+        columns = [F.col(c).cast("double" if c in cuts else "string").alias(f"c{k}") for k, c in enumerate(used)]
+        place = {c: k for k, c in enumerate(used)} | {None: len(used)}
 
-    def ranked(self, by: str | None = None) -> DataFrame:
-        """The row ids with ``rank`` (from 0) by id, within ``by`` (``_y``) if given, and
-        ``_y``. Ranks are made by ranges and a prefix sum of their counts, so no class or
-        table is sorted in one task."""
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # levels by order of appearance in the task, the null first; codes of numbers are fixed
+            levels: list[dict] = [{None: 0} for _ in range(len(used) + 1)]
+            total: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+            for batch in batches:
+                codes = []
+                for k, c in enumerate([*used, None]):
+                    own = batch.column(k)
+                    if c in cuts:
+                        v = own.to_numpy(zero_copy_only=False).astype(np.float64)
+                        code = np.searchsorted(cuts[c], v, side="left")
+                        codes.append(np.where(own.is_null().to_numpy(zero_copy_only=False), 0, code))
+                    else:
+                        found = own.dictionary_encode()
+                        known = np.array([levels[k].setdefault(x, len(levels[k])) for x in found.dictionary.to_pylist()] + [0], np.int64)
+                        codes.append(known[found.indices.fill_null(-1).to_numpy(zero_copy_only=False)])
+                for a, b in pairs:
+                    i, j = place[a], place[b]
+                    met = np.unique(codes[i].astype(np.int64) << 32 | codes[j], return_counts=True)
+                    parts = total.setdefault((i, j), [])
+                    parts.append(met)
+                    if sum(len(x) for x, _ in parts) > 1 << 18:
+                        total[i, j] = [_added(parts)]
+            names = [None if k < len(used) and used[k] in cuts else list(x) for k, x in enumerate(levels)]
+            for (i, j), parts in total.items():
+                codes, n = _added(parts)
+                for at in range(0, len(codes), 65536):
+                    left, right = (codes[at : at + 65536] >> 32).tolist(), (codes[at : at + 65536] & (1 << 32) - 1).tolist()
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "i": pa.array([i] * len(left), pa.int32()),
+                            "j": pa.array([j] * len(left), pa.int32()),
+                            "x": pa.array([str(v) if names[i] is None else names[i][v] for v in left], pa.string()),
+                            "y": pa.array([str(v) if names[j] is None else names[j][v] for v in right], pa.string()),
+                            "n": pa.array(n[at : at + 65536], pa.int64()),
+                        }
+                    )
+
+        counted = self.source.select(*columns, F.col("_y")).mapInArrow(work, "i int, j int, x string, y string, n long")
+        name = F.array(*[F.lit(c) for c in used], F.lit(None).cast("string"))
+        return counted.groupBy("i", "j", "x", "y").agg(F.sum("n").alias("n")).select(F.get(name, "i").alias("a"), F.get(name, "j").alias("b"), "x", "y", "n")
+
+    def ranked(self, by: str | None = None, mixed: bool = False) -> DataFrame:
+        """The row ids with ``rank`` (from 0) by id (or ``mixed``, by a seeded hash of it),
+        within ``by`` (``_y``) if given, and ``_y``. Ranks are made by ranges and a prefix
+        sum of their counts, so no class or table is sorted in one task."""
         self.needs_id()
-        keys = ([by] if by else []) + ["_id"]
+        place = F.xxhash64(F.lit(self.seed or 0), "_id") if mixed else F.lit(0).cast("long")
+        keys = ([by] if by else []) + ["_place", "_id"]
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = settled(self.source.select("_id", "_y").repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+        dealt = settled(self.source.select("_id", "_y", place.alias("_place")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
         group = ["_part"] + ([by] if by else [])
         sizes = dealt.groupBy(*group).agg(F.count("*").alias("rows"))
         over = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy("_part")
         before = sizes.withColumn("before", F.sum("rows").over(over) - F.col("rows")).drop("rows")
-        own = dealt.withColumn("within", F.row_number().over(Window.partitionBy(*group).orderBy("_id")) - 1)
+        own = dealt.withColumn("within", F.row_number().over(Window.partitionBy(*group).orderBy("_place", "_id")) - 1)
         joined = own.join(before, group)
         return joined.select("_id", "_y", (F.col("within") + F.col("before")).alias("rank"))
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with their counts over all parts."""
+    codes, where = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+
 def _passed(x: Column, cuts: Column) -> Column:
     """Number of cuts below ``x``."""
     return F.size(F.filter(cuts, lambda cut: cut < x))

@@ -2,8 +2,11 @@
 
     Extractor(groups="all", summary=["mean", "sd"]).fit(df, target="y", row_id="id").extract()
 
-gives a DataFrame ``name, value``. Measures share the jobs of their dataset; all
-vectors are summarised by one aggregation."""
+gives a DataFrame ``name, value`` (or a tuple, dict or pandas frame). Measures share the
+jobs of their dataset; all vectors are summarised by one aggregation. A measure that fails
+has no value, but a dataset beyond a measure's documented bound (``TooLarge``) and an
+iteration without result (``NotConverged``) end the extraction: they are no missing
+values."""
 
 from __future__ import annotations
 
@@ -26,7 +29,7 @@ import facetry.operators.modelbased
 import facetry.operators.statistical  # noqa: F401
 from facetry.functions import summaries as S
 from facetry.functions.scoring import SCORES, score_table
-from facetry.operators.modelbased import Nodes, nodes_of
+from facetry.operators.modelbased import OPTIONS, Nodes, nodes_of
 from facetry.operators.relative import relative
 from facetry.plans.data import NAN, Data
 from facetry.plans.registry import DEFAULT_GROUPS, GROUPS, MEASURES, NEEDS, Measure
@@ -95,11 +98,54 @@ def as_frame(spark, values) -> DataFrame:
     return spark.createDataFrame([(str(k), None if v is None else float(v)) for k, v in rows], VALUES)
 
 
+#: How times are given.
+TIMES = ("avg", "avg_summ", "total", "total_summ")
+
+
+def check_out_type(out_type) -> None:
+    import pandas as pd
+
+    if out_type not in (DataFrame, tuple, dict, pd.DataFrame):
+        raise TypeError("out_type is Spark's or pandas' DataFrame, tuple or dict")
+
+
+def formatted(found: DataFrame, out_type):
+    """The rows of an extraction in the form asked for."""
+    if out_type is DataFrame:
+        return found
+    rows = found.collect()  # a row for each value
+    lists = {c: [r[c] for r in rows] for c in found.columns}
+    if out_type is dict:
+        return lists
+    if out_type is tuple:
+        return tuple(lists.values())
+    import pandas as pd
+
+    wide = [c for c in found.columns if c not in ("name", "confidence")]
+    return pd.DataFrame([lists[c] for c in wide], columns=lists["name"], index=wide if len(wide) > 1 else None)
+
+
 class Extractor:
     """See the module. ``features`` and ``groups`` are ``"all"``, a name or names;
-    an empty ``summary`` gives the values themselves."""
-
-    def __init__(self, groups="default", features="all", summary=S.DEFAULT_SUMMARIES, score: str = "accuracy", num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0, measure_time: bool = False, random_state: int | None = None, suppress_warnings: bool = False) -> None:
+    an empty ``summary`` gives the values themselves. ``hypparam_model_dt`` are options of
+    the model-based group's tree. ``measure_time`` (True is ``total``) adds seconds: of the
+    measure's own jobs (``total``), also over its values (``avg``), and either with the
+    measure's share of the summaries' job (``total_summ``, ``avg_summ``)."""
+
+    def __init__(
+        self,
+        groups="default",
+        features="all",
+        summary=S.DEFAULT_SUMMARIES,
+        score: str = "accuracy",
+        num_cv_folds: int = 10,
+        shuffle_cv_folds: bool = False,
+        lm_sample_frac: float = 1.0,
+        measure_time: bool | str | None = False,
+        random_state: int | None = None,
+        suppress_warnings: bool = False,
+        hypparam_model_dt: dict | None = None,
+    ) -> None:
         self.groups = check_groups(groups)
         self.asked = {groups} if isinstance(groups, str) else set(groups)
         self.summary = S.check(summary)
@@ -120,13 +166,19 @@ class Extractor:
         if random_state is not None and not isinstance(random_state, int):
             raise ValueError("random_state is a whole number or None")
         self.folds = {"score": score, "num_cv_folds": num_cv_folds, "shuffle_cv_folds": shuffle_cv_folds, "lm_sample_frac": lm_sample_frac}
-        self.measure_time, self.random_state, self.quiet = measure_time, random_state, suppress_warnings
+        self.measure_time = {True: "total", False: None}.get(measure_time, measure_time) if isinstance(measure_time, bool) else measure_time or None
+        if self.measure_time not in (None, *TIMES):
+            raise ValueError(f"unknown time {measure_time!r}; known: {', '.join(TIMES)}")
+        if unknown := set(hypparam_model_dt or {}) - set(OPTIONS):
+            raise ValueError(f"unknown options of the tree: {', '.join(sorted(unknown))}")
+        self.tree = dict(hypparam_model_dt or {})
+        self.random_state, self.quiet = random_state, suppress_warnings
         self.data: Data | None = None
         self.times: dict[str, float] = {}
 
     def fit(self, df: DataFrame, target: str | None = None, **roles) -> Extractor:
         """Bind a dataset; ``roles`` as of :class:`~facetry.plans.data.Data`."""
-        self.data = Data(df, target, seed=self.random_state, **roles)
+        self.data = Data(df, target, seed=self.random_state, **({"tree": self.tree} | roles))
         return self
 
     def values(self, m: Measure, arguments: dict | None = None):
@@ -145,16 +197,27 @@ class Extractor:
         self.times[m.name] = time.perf_counter() - began
         return out
 
-    def extract(self, arguments: dict[str, dict] | None = None) -> DataFrame:
-        """``name, value``, sorted by name (and ``time``, seconds of the measure's own jobs,
-        if it is measured). ``arguments`` are hyper-parameters by measure or summary."""
+    def extract(self, arguments: dict[str, dict] | None = None, out_type=DataFrame, verbose: int = 0):
+        """``name, value``, sorted by name (and ``time``, if it is measured). ``arguments``
+        are hyper-parameters by measure or summary. ``out_type`` is Spark's DataFrame,
+        ``tuple`` (lists of names, values and times), ``dict`` (the same by ``name``,
+        ``value`` and ``time``) or pandas' DataFrame (one row); ``verbose`` 1 prints how far
+        the extraction is, 2 also each measure."""
+        check_out_type(out_type)
+        return formatted(self._extracted(arguments, verbose), out_type)
+
+    def _extracted(self, arguments: dict[str, dict] | None = None, verbose: int = 0) -> DataFrame:
         if self.data is None:
             raise TypeError("fit a dataset first")
         spark, arguments = self.data.spark, arguments or {}
         single, small, frames, names = [], [], [], []
-        for m in self.measures:
+        for done, m in enumerate(self.measures, 1):
             if m.supervised and self.data.target is None:
                 continue
+            if verbose >= 2:
+                print(f"{m.group}.{m.name}: {m.about}", flush=True)
+            if verbose >= 1:
+                print(f"{100 * done // len(self.measures)} % ({done} of {len(self.measures)})", flush=True)
             found = self.values(m, arguments.get(m.name))
             if m.scalar:
                 single.append((m.name, float(found)))
@@ -173,6 +236,11 @@ class Extractor:
             vectors = S.summarise(long.unionByName(held), self.summary, {k: v for k, v in arguments.items() if k in S.SUMMARIES})
         else:
             vectors = long.select(F.concat_ws(".", "name", "key").alias("name"), F.col("v").alias("value"))
+        summing = 0.0
+        if self.measure_time and self.measure_time.endswith("_summ"):
+            began = time.perf_counter()
+            vectors = settled(vectors)
+            summing = (time.perf_counter() - began) / max(1, len(names))
         out = scalars.unionByName(vectors)
         if "relative" in self.groups:
             out = settled(out)
@@ -182,8 +250,17 @@ class Extractor:
             kept = out if "landmarking" in self.asked or self.asked & {"all", "default"} else out.join(marks.select("name"), "name", "left_anti")
             out = kept.unionByName(ranks)
         if self.measure_time:
-            times = spark.createDataFrame(list(self.times.items()), "m string, time double")
-            out = out.join(times, F.split("name", r"\.")[0] == F.col("m"), "left").drop("m")
+            each = [(x, t + (summing if x in names else 0.0)) for x, t in self.times.items()]
+            times = spark.createDataFrame(each, "m string, time double")
+            out = out.withColumn("m", F.split("name", r"\.")[0])
+            if self.measure_time.startswith("avg"):
+                values = F.broadcast(out.groupBy("m").agg(F.count("*").alias("values")))  # a row for each measure
+                out = out.join(values, "m")
+                times = times.withColumnRenamed("time", "whole")
+                out = out.join(F.broadcast(times), "m", "left").withColumn("time", F.col("whole") / F.col("values")).drop("whole", "values")
+            else:
+                out = out.join(F.broadcast(times), "m", "left")
+            out = out.select("name", "value", "time")
         return out.orderBy("name")
 
     def extract_metafeature_names(self, supervised: bool = True) -> list[str]:
@@ -205,7 +282,7 @@ class Extractor:
             out += [f"{x}.relative" for x in out if x.split(".")[0] in marks]
         return sorted(out)
 
-    def extract_from_model(self, model, df: DataFrame | None = None) -> DataFrame:
+    def extract_from_model(self, model, df: DataFrame | None = None, arguments: dict | None = None, out_type=DataFrame, verbose: int = 0):
         """The model-based measures of a fitted ``DecisionTreeClassificationModel``."""
         if "model-based" not in self.groups:
             raise ValueError("the group model-based is needed")
@@ -213,15 +290,16 @@ class Extractor:
             raise TypeError("a fitted decision tree is needed")
         tree: Nodes = nodes_of(model)
         base = df if df is not None else model_frame(model)
-        inner = Extractor("model-based", [m.name for m in self.measures if m.group == "model-based"], self.summary, suppress_warnings=True)
+        inner = Extractor("model-based", [m.name for m in self.measures if m.group == "model-based"], self.summary, measure_time=self.measure_time, suppress_warnings=True)
         inner.data = _ModelData(base, tree)
-        return inner.extract()
+        return inner.extract(arguments, out_type, verbose)
 
-    def extract_with_confidence(self, sample_num: int = 128, confidence=0.95, arguments: dict | None = None) -> DataFrame:
+    def extract_with_confidence(self, sample_num: int = 128, confidence=0.95, arguments: dict | None = None, out_type=DataFrame, verbose: int = 0):
         """Measures with basic bootstrap intervals; see :mod:`facetry.plans.bootstrap`."""
         from facetry.plans.bootstrap import with_confidence
 
-        return with_confidence(self, sample_num, confidence, arguments)
+        check_out_type(out_type)
+        return formatted(with_confidence(self, sample_num, confidence, arguments, verbose), out_type)
 
 
 def model_frame(model) -> DataFrame:
@@ -238,4 +316,4 @@ class _ModelData(Data):
         self.target = "_model"
         self.__dict__["classes"] = [(str(k), 0) for k in range(max(tree.predicted) + 1)]
         self.__dict__["n"] = tree.samples[0]
-        self.__dict__["_trees"] = {"exact": tree, "binned": tree}
+        self.__dict__["_tree"] = tree

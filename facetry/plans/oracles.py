@@ -34,20 +34,30 @@ pr AS (SELECT a.key || ',' || b.key AS key, a.x - ma.m AS u, b.x - mb.m AS v FRO
 CORRELATIONS = "SELECT key, abs(sum(u * v) / sqrt(sum(u * u) * sum(v * v))) AS value FROM pr GROUP BY key"
 
 # category columns of lineitem in long form: the string column, and equal-frequency codes
-def codes(shares: int) -> str:
-    """Long categories with ``shares`` equal-frequency bins."""
-    parts = []
-    for c in NUMERIC:
-        qs = ", ".join(f"{k}.0 / {shares}" for k in range(1, shares + 1))
-        parts.append(f"q_{c} AS (SELECT list(q ORDER BY i) AS cuts FROM (SELECT i, q, lag(q) OVER (ORDER BY i) AS p FROM (SELECT unnest(range(1, {shares} + 1)) AS i, unnest(quantile_cont({c}, [{qs}])) AS q FROM lineitem)) WHERE p IS NULL OR abs(q - p) > 1e-8)")
+def bins(table: str) -> str:
+    """Rows and equal-frequency bins of a table."""
+    return f"bins AS (SELECT CAST(floor(power(count(*), 1.0 / 3)) AS INT) AS k, count(*) AS n FROM {table})"
+
+
+def cuts(table: str, c: str) -> str:
+    """The cut points of a column, as a list in ``q_<column>``."""
+    return (
+        f"o_{c} AS (SELECT CAST({c} AS DOUBLE) AS x, row_number() OVER (ORDER BY {c}) - 1 AS r FROM {table}), "
+        f"q_{c} AS (SELECT list(q ORDER BY i) AS cuts FROM (SELECT i, q, lag(q) OVER (ORDER BY i) AS p FROM (SELECT i, lo.x + (hi.x - lo.x) * (place - floor(place)) AS q "
+        f"FROM (SELECT i, CAST(i AS DOUBLE) / k * (n - 1) AS place FROM (SELECT k, n, unnest(range(1, k + 1)) AS i FROM bins)) "
+        f"JOIN o_{c} lo ON lo.r = CAST(floor(place) AS BIGINT) JOIN o_{c} hi ON hi.r = CAST(ceil(place) AS BIGINT))) WHERE p IS NULL OR abs(q - p) > 1e-8)"
+    )
+
+
+def codes() -> str:
+    """Long categories of lineitem with equal-frequency bins."""
+    parts = [bins("lineitem"), *(cuts("lineitem", c) for c in NUMERIC)]
     longs = ["SELECT rid, 'l_linestatus' AS key, l_linestatus AS v, l_returnflag AS y FROM base"]
     longs += [f"SELECT rid, '{c}' AS key, CAST(len(list_filter(cuts, lambda z: z < {c})) AS VARCHAR) AS v, l_returnflag AS y FROM base, q_{c}" for c in NUMERIC]
     return "WITH base AS (SELECT row_number() OVER () AS rid, * FROM lineitem), " + ", ".join(parts) + ", cat AS (" + " UNION ALL ".join(longs) + "), tot AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem), cells AS (SELECT key, v, y, CAST(count(*) AS DOUBLE) AS n FROM cat GROUP BY ALL)"
 
 
-#: int(n ** (1/3)) of the 60,000 rows that the driver compares on.
-BINS = 39
-CAT = codes(BINS)
+CAT = codes()
 ENTROPIES = """, ae AS (SELECT key, -sum(p * log2(p)) AS h FROM (SELECT key, v, sum(c.n) / any_value(t.n) AS p FROM cells c, tot t GROUP BY key, v) GROUP BY key),
 ce AS (SELECT -sum(p * log2(p)) AS h FROM (SELECT count(*) / (SELECT n FROM tot) AS p FROM lineitem GROUP BY l_returnflag)),
 k AS (SELECT count(DISTINCT l_returnflag) AS ky FROM lineitem),
@@ -139,14 +149,61 @@ ORACLES: dict[str, str] = {
     "complexity_c1": EMB + " " + out("SELECT '' AS key, -sum(k.n / t.n * ln(k.n / t.n)) / ln(count(*)) AS value FROM k, t"),
     "complexity_c2": EMB + " " + out("SELECT '' AS key, 1 - 1 / ((count(*) - 1) / CAST(count(*) AS DOUBLE) * sum(k.n / (t.n - k.n))) AS value FROM k, t"),
     "complexity_t2": EMB + " " + out("SELECT '' AS key, 64 / n AS value FROM t"),
-    "transform_discretise": "WITH s AS (SELECT CAST(floor(power(count(*), 1.0 / 3)) AS INT) AS k FROM part), " + ", ".join(f"q_{c} AS (SELECT list(q ORDER BY i) AS cuts FROM (SELECT i, q, lag(q) OVER (ORDER BY i) AS p FROM (SELECT unnest(range(1, 13)) AS i, unnest(quantile_cont({c}, [{', '.join(f'{i}.0 / 12' for i in range(1, 13))}])) AS q FROM part)) WHERE p IS NULL OR abs(q - p) > 1e-8)" for c in ("p_size", "p_retailprice")) + " " + " UNION ALL ".join(f"SELECT '{c}' AS key, CAST(len(list_filter(cuts, lambda z: z < {c})) AS VARCHAR) AS code, count(*) AS n FROM part, q_{c} GROUP BY ALL" for c in ("p_size", "p_retailprice")),
-    "transform_gray": out("SELECT 'p_brand=' || p_brand AS key, count(*) AS value FROM part GROUP BY p_brand"),
-    "transform_one_hot_full": out("SELECT 'p_brand=' || p_brand AS key, count(*) AS value FROM part GROUP BY p_brand"),
-    "transform_one_hot": out("SELECT 'p_brand=' || p_brand AS key, count(*) AS value FROM part WHERE p_brand <> (SELECT min(p_brand) FROM part) GROUP BY p_brand"),
+    "transform_discretise": f"WITH {bins('part')}, {cuts('part', 'p_size')}, {cuts('part', 'p_retailprice')} " + " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS key, CAST(len(list_filter(cuts, lambda z: z < {c})) AS VARCHAR) AS code FROM part, q_{c}" for c in ("p_size", "p_retailprice")),
+    "transform_gray": "SELECT p_partkey, 'p_brand=' || b AS key, CAST(p_brand = b AS DOUBLE) AS value FROM part, (SELECT DISTINCT p_brand AS b FROM part)",
+    "transform_one_hot_full": "SELECT p_partkey, 'p_brand=' || b AS key, CAST(p_brand = b AS DOUBLE) AS value FROM part, (SELECT DISTINCT p_brand AS b FROM part)",
+    "transform_one_hot": "SELECT p_partkey, 'p_brand=' || b AS key, CAST(p_brand = b AS DOUBLE) AS value FROM part, (SELECT DISTINCT p_brand AS b FROM part) WHERE b <> (SELECT min(p_brand) FROM part)",
     "relative_ranks": "WITH m AS (SELECT p_brand || '.mean' AS name, round(avg(p_size), 1) AS value FROM part GROUP BY p_brand) SELECT name || '.relative' AS name, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS value FROM m",
     "streaming_moments": f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(value) AS n, {rv('avg(value)')} AS mean, {rv('stddev_samp(value)')} AS sd, {rv('min(value)')} AS min, {rv('max(value)')} AS max FROM events GROUP BY ALL",
     "streaming_class_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+# neighbour graph of the embeddings: the nearest 15 % of the rows, edges inside classes
+EDGES = GOWER + ", nb AS (SELECT i, y, j, c, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place FROM p), e AS (SELECT DISTINCT least(i, j) AS u, greatest(i, j) AS v FROM nb, t WHERE place <= greatest(1, CAST(round_even(t.n * 0.15, 0) AS INT)) AND y = c AND d > 0)"
+ORACLES["complexity_density"] = EDGES + " " + out("SELECT '' AS key, 1 - 2.0 * (SELECT count(*) FROM e) / (t.n * (t.n - 1)) AS value FROM t")
+ORACLES["complexity_cls_coef"] = EDGES + ", tri AS (SELECT count(*) AS k FROM e a JOIN e b ON b.u = a.v JOIN e c ON c.u = a.u AND c.v = b.v), deg AS (SELECT count(*) AS k FROM (SELECT u FROM e UNION ALL SELECT v FROM e) GROUP BY u) " + out("SELECT '' AS key, 1 - 3.0 * (SELECT k FROM tri) / (SELECT sum(k * (k - 1) / 2) FROM deg) AS value")
+
+# landmarking on part: ten stratified folds by id, classes by their first row
+FOLDS = """WITH cls AS (SELECT p_type AS y, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1),
+o AS (SELECT y, n, sum(n) OVER (ORDER BY f) AS e FROM cls),
+a AS (SELECT y, f, greatest(0, ceil((e - f) / 10.0)) - greatest(0, ceil((e - n - f) / 10.0)) AS k FROM o, (SELECT unnest(range(0, 10)) AS f)),
+cum AS (SELECT y, f, sum(k) OVER (PARTITION BY y ORDER BY f) AS upto FROM a),
+ranked AS (SELECT p_partkey AS id, p_type AS y, p_size, p_retailprice, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS rk FROM part),
+rows_ AS (SELECT r.id, any_value(r.y) AS y, any_value(p_size) AS p_size, any_value(p_retailprice) AS p_retailprice, any_value(p_brand) AS p_brand, sum(CAST(rk >= upto AS INT)) AS fold FROM ranked r JOIN cum ON cum.y = r.y AND cum.f < 9 GROUP BY r.id),
+br AS (SELECT b, row_number() OVER (ORDER BY b) + 1 AS j FROM (SELECT DISTINCT p_brand AS b FROM part)),
+long AS (SELECT id, y, fold, 0 AS j, CAST(p_size AS DOUBLE) AS x FROM rows_ UNION ALL SELECT id, y, fold, 1, p_retailprice FROM rows_ UNION ALL SELECT id, y, fold, j, CAST(p_brand = b AS DOUBLE) FROM rows_, br)"""
+SCORES = "SELECT CAST(fold AS VARCHAR) AS key, avg(CAST(y = said AS DOUBLE)) AS value FROM said GROUP BY fold"
+ORACLES["landmarking_one_nn"] = FOLDS + ", said AS (SELECT a.id, any_value(a.fold) AS fold, any_value(a.y) AS y, arg_min(b.y, (power(a.p_size - b.p_size, 2) + power(a.p_retailprice - b.p_retailprice, 2) + CASE WHEN a.p_brand <> b.p_brand THEN 2 ELSE 0 END, b.id)) AS said FROM rows_ a JOIN rows_ b ON a.fold <> b.fold GROUP BY a.id) " + out(SCORES)
+ORACLES["landmarking_naive_bayes"] = (
+    FOLDS
+    + """, f AS (SELECT DISTINCT fold FROM rows_), st AS (SELECT f.fold, long.y, j, avg(x) AS m, var_pop(x) AS s, count(*) AS n FROM long JOIN f ON f.fold <> long.fold GROUP BY ALL),
+sm AS (SELECT fold, 1e-9 * max(s) AS s FROM (SELECT f.fold, j, var_pop(x) AS s FROM long JOIN f ON f.fold <> long.fold GROUP BY ALL) GROUP BY fold),
+tr AS (SELECT f.fold, count(*) AS n FROM rows_ JOIN f ON f.fold <> rows_.fold GROUP BY f.fold),
+ll AS (SELECT l.id, l.fold, any_value(l.y) AS y, st.y AS c, any_value(ln(st.n / CAST(tr.n AS DOUBLE))) - 0.5 * sum(ln(2 * pi() * (st.s + sm.s)) + power(x - m, 2) / (st.s + sm.s)) AS ll FROM long l JOIN st ON st.fold = l.fold AND st.j = l.j JOIN sm ON sm.fold = l.fold JOIN tr ON tr.fold = l.fold GROUP BY l.id, l.fold, st.y),
+said AS (SELECT id, any_value(fold) AS fold, any_value(y) AS y, arg_max(c, ll) AS said FROM ll GROUP BY id) """
+    + out(SCORES)
+)
+
+
+def stump(columns: str) -> str:
+    """Scores of the best split of the training rows on the columns."""
+    return (
+        FOLDS
+        + f""", f AS (SELECT DISTINCT fold FROM rows_), names AS (SELECT list(y ORDER BY y) AS y FROM cls),
+tr AS (SELECT f.fold, long.y, j, x, list_position(names.y, long.y) AS c FROM long JOIN f ON f.fold <> long.fold, names WHERE {columns}),
+g AS (SELECT fold, j, x, c, count(*) AS n FROM tr GROUP BY ALL),
+val AS (SELECT fold, j, x, {", ".join(f"sum(CASE WHEN c = {k} THEN n ELSE 0 END) AS c{k}" for k in range(1, 7))} FROM g GROUP BY fold, j, x),
+up AS (SELECT fold, j, x, lead(x) OVER (PARTITION BY fold, j ORDER BY x) AS nx, {", ".join(f"sum(c{k}) OVER (PARTITION BY fold, j ORDER BY x) AS l{k}, sum(c{k}) OVER (PARTITION BY fold, j) AS t{k}" for k in range(1, 7))} FROM val),
+gain AS (SELECT *, ({" + ".join(f"l{k} * l{k}" for k in range(1, 7))}) / CAST({" + ".join(f"l{k}" for k in range(1, 7))} AS DOUBLE) + ({" + ".join(f"(t{k} - l{k}) * (t{k} - l{k})" for k in range(1, 7))}) / CAST({" + ".join(f"(t{k} - l{k})" for k in range(1, 7))} AS DOUBLE) AS gain FROM up WHERE nx - x > 1e-7),
+best AS (SELECT *, (x + nx) / 2 AS cut, row_number() OVER (PARTITION BY fold ORDER BY round(gain, 7) DESC, j, x) AS place FROM gain),
+said AS (SELECT l.id, l.fold, l.y, names.y[CASE WHEN l.x <= cut THEN list_position([{", ".join(f"l{k}" for k in range(1, 7))}], greatest({", ".join(f"l{k}" for k in range(1, 7))})) ELSE list_position([{", ".join(f"t{k} - l{k}" for k in range(1, 7))}], greatest({", ".join(f"t{k} - l{k}" for k in range(1, 7))})) END] AS said FROM best JOIN long l ON l.fold = best.fold AND l.j = best.j, names WHERE place = 1) """
+        + out(SCORES)
+    )
+
+
+ORACLES["landmarking_best_node"] = stump("TRUE")
+#: The column that the seed 0 draws of the 27.
+ORACLES["landmarking_random_node"] = stump("j = 12")
+
 for _kind, _x in (("standard", "(x - (SELECT avg({c}) FROM part)) / (SELECT stddev_pop({c}) FROM part)"), ("min_max", "(x - (SELECT min({c}) FROM part)) / (SELECT max({c}) - min({c}) FROM part)"), ("robust", "(x - (SELECT median({c}) FROM part)) / (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM part)")):
     ORACLES[f"rescale_{_kind}"] = " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS key, {rv(_x.format(c=c))} AS value FROM (SELECT p_partkey, CAST({c} AS DOUBLE) AS x FROM part)" for c in ("p_size", "p_retailprice"))
 

@@ -3,7 +3,6 @@ relative ranks, bootstrap, streaming and extraction, with their DuckDB equivalen
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from facetry.operators.relative import relative
 from facetry.plans.data import Data
 from facetry.plans.extractor import Extractor, as_frame
 from facetry.plans.registry import MEASURES
-from facetry.session import drop_folder, shared_folder
+from facetry.session import drop_folder, settled, shared_folder
 from facetry.sources.tables import table
 from facetry.streaming import windows
 
@@ -65,15 +64,18 @@ def _summary(name: str) -> Callable:
 
 
 def transform_discretise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every equal-frequency code."""
+    """The equal-frequency code of every row and column."""
     data = part(spark, sf_dir)
-    return data.counts.filter(F.col("key").isin("p_size", "p_retailprice")).groupBy("key", F.col("v").alias("code")).agg(F.sum("n").alias("n"))
+    codes = {c: x for c, x in data.categories.items() if c in data.numeric}
+    return data.long(codes, None, "_id").select(F.col("_id").alias("p_partkey"), "key", F.col("v").alias("code"))
 
 
 def _encoding(kind: str) -> Callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The encoded value of every row and level."""
         data = part(spark, sf_dir, encode=kind)
-        return as_frame(spark, [(c, m["mean"] * m["n"]) for c, m in data.moments.items() if "=" in c]).select("key", rounded(F.col("value")).alias("value"))
+        levels = {c: x for c, x in data.encoded.items() if "=" in c}
+        return data.long(levels, None, "_id").select(F.col("_id").alias("p_partkey"), "key", F.col("v").alias("value"))
 
     return query
 
@@ -94,38 +96,51 @@ def relative_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relative_landmarking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landmarking results of two learners as relative ranks."""
-    found = Extractor(["relative"], ["naive_bayes", "linear_discr"], suppress_warnings=True)
+    """Landmarking results of all learners as relative ranks."""
+    found = Extractor(["relative"], suppress_warnings=True)
     found.data = part(spark, sf_dir)
     return found.extract().select("name", rounded(F.col("value")).alias("value"))
 
 
 def extract_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The general, statistical and information groups with two summaries."""
-    found = Extractor(["general", "statistical", "info-theory", "itemset"], summary=["mean", "sd"], suppress_warnings=True)
-    found.data = part(spark, sf_dir)
+    """The default groups with the default summaries."""
+    found = Extractor(random_state=1, suppress_warnings=True)
+    found.data = part(spark, sf_dir, seed=1)
     return found.extract().select("name", rounded(F.col("value")).alias("value"))
 
 
 def bootstrap_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of two measures from four replicates."""
-    found = Extractor(["general", "statistical"], ["freq_class", "mean"], summary=["mean"], suppress_warnings=True, random_state=1)
-    found.data = Data(table(spark, sf_dir, "customer"), "c_mktsegment", ["c_acctbal"], "c_custkey")
-    return found.extract_with_confidence(sample_num=4, confidence=[0.9])
+    """Intervals of the class frequencies and the means of the numeric columns, from the
+    default number of replicates."""
+    found = Extractor(["general", "statistical"], ["freq_class", "mean"], summary=["mean", "sd"], suppress_warnings=True, random_state=1)
+    found.data = Data(table(spark, sf_dir, "part"), "p_type", ["p_size", "p_retailprice"], "p_partkey", seed=1)
+    return found.extract_with_confidence(confidence=[0.9, 0.95])
+
 
+def _streamed(spark: SparkSession, sf_dir: str, make: Callable, keys: list[str]) -> DataFrame:
+    """Run a stream over ``events`` to its end and return the last state of each key.
 
-def _streamed(spark: SparkSession, sf_dir: str, make: Callable) -> DataFrame:
-    """Run a stream over ``events`` to its end and return what it wrote."""
+    Updates are written to the shared folder batch by batch, so windows behind the
+    watermark leave the state store and nothing is held by the driver."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    name = f"stream_{uuid.uuid4().hex[:12]}"
     stream = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{sf_dir}/events.parquet*")
-    folder = shared_folder(spark, "stream")
-    query = make(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.table(name)
-    drop_folder(spark, folder)
-    return out
+    state, updates = shared_folder(spark, "stream-state"), shared_folder(spark, "stream-updates")
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes its own folder again
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{updates}/batch={number}")
+
+    try:
+        query = make(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        written = spark.read.parquet(f"{updates}/batch=*")
+        rest = [c for c in written.columns if c not in keys]
+        last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last"))
+        return settled(last.select(*keys, *[F.col(f"_last.{c}") for c in rest if c != "_batch"]))
+    finally:
+        drop_folder(spark, state)
+        drop_folder(spark, updates)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -134,12 +149,12 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def streaming_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _streamed(spark, sf_dir, lambda s: windows.windowed_moments(s, "ts", "value", "event_type", "1 day"))
+    found = _streamed(spark, sf_dir, lambda s: windows.windowed_moments(s, "ts", "value", "event_type", "1 day"), ["start", "event_type"])
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", *[rounded(F.col(c)).alias(c) for c in ("mean", "sd", "min", "max")])
 
 
 def streaming_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _streamed(spark, sf_dir, lambda s: windows.windowed_class_counts(s, "ts", "event_type", "1 day"))
+    found = _streamed(spark, sf_dir, lambda s: windows.windowed_class_counts(s, "ts", "event_type", "1 day"), ["start", "class"])
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("class").alias("event_type"), "n")
 
 

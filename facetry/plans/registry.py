@@ -12,6 +12,15 @@ DEFAULT_GROUPS = ("general", "statistical", "info-theory", "model-based", "landm
 NEEDS = {"relative": ("landmarking",)}
 
 
+class TooLarge(Exception):
+    """A dataset is beyond a documented bound of a measure. Extraction never turns this into
+    a missing value: ask for another measure, a subsample, or another kind of it."""
+
+
+class NotConverged(Exception):
+    """An iteration ended without its result; extraction lets this through as well."""
+
+
 @dataclass(frozen=True)
 class Measure:
     """A measure: ``function(data, **hyper)`` gives a number, ``(key, value)`` rows, or a

@@ -15,11 +15,13 @@ _SHIPPED: set[str] = set()
 
 def checkpoint_ready(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable: keep the folder the cluster names in
-    ``spark.checkpoint.dir``; only where none is set (tests, a laptop) use a new
-    temporary folder that goes with the process."""
+    ``spark.checkpoint.dir``; only where none is set and Spark runs in this process (tests,
+    a laptop) use a new temporary folder that goes with it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if named is None:
             named = tempfile.mkdtemp(prefix="facetry-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -28,7 +30,9 @@ def checkpoint_ready(spark: SparkSession) -> None:
 
 def settled(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
-    The copies survive lost executors and go when the frame is no longer used."""
+    The copies survive lost executors. They go when the frame is no longer used if the
+    cluster sets ``spark.cleaner.referenceTracking.cleanCheckpoints``, else with the
+    folder."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -100,8 +100,83 @@ def test_bootstrap(flowers):
     assert rows[0]["high"] - rows[0]["low"] <= rows[1]["high"] - rows[1]["low"]
     with pytest.raises(ValueError):
         e.extract_with_confidence(2, confidence=1.0)
-    n = bootstrap.replicate(flowers, "id", 1, 7)
-    assert 60 < n.count() < 120 and n.select("id").distinct().count() == n.count()
+    rows = bootstrap.numbered(e.data)
+    n = bootstrap.replicate(rows, 90, "id", 1, 7)
+    assert n.columns == flowers.columns and n.select("id").distinct().count() == n.count() == 90
+    drawn = [r["a"] for r in n.collect()]
+    assert set(drawn) < {r["a"] for r in flowers.collect()} and 40 < len(set(drawn)) < 75
+    again = bootstrap.replicate(bootstrap.numbered(e.data.derive(flowers.repartition(5))), 90, "id", 1, 7)
+    assert sorted(drawn) == sorted(r["a"] for r in again.collect())
+
+
+def test_bootstrap_of_any_ids(spark):
+    wide = spark.createDataFrame([(2**62 + k, float(k), "ab"[k % 2]) for k in range(12)] + [(-(2**62), 1.0, "a")], "id long, a double, kind string")
+    e = X.Extractor("statistical", ["mean"], summary=["mean"], suppress_warnings=True).fit(wide, "kind", row_id="id")
+    assert e.extract_with_confidence(sample_num=2).count() == 1
+
+
+def test_bounds_are_no_missing_values(flowers, monkeypatch):
+    from facetry.operators import complexity, modelbased
+    from facetry.plans.registry import TooLarge
+
+    monkeypatch.setattr(complexity, "MAX_TASK_ROWS", 10)
+    monkeypatch.setattr(modelbased, "MAX_EXACT_ROWS", 10)
+    for group, name in (("complexity", "n1"), ("complexity", "l1"), ("model-based", "leaves")):
+        with pytest.raises(TooLarge):
+            X.Extractor(group, [name], suppress_warnings=True).fit(flowers, "kind", row_id="id").extract()
+    binned = X.Extractor("model-based", ["leaves"], suppress_warnings=True, hypparam_model_dt={"kind": "binned"}).fit(flowers, "kind", row_id="id")
+    assert binned.extract().first()["value"] > 2
+
+
+def test_output_forms(flowers, capsys):
+    import pandas as pd
+
+    e = X.Extractor("general", summary=["mean", "sd"], suppress_warnings=True).fit(flowers, "kind", row_id="id")
+    names, found = e.extract(out_type=tuple)
+    assert e.extract(out_type=dict) == {"name": names, "value": found} and len(names) == len(found) > 8
+    wide = e.extract(out_type=pd.DataFrame)
+    assert list(wide.columns) == names and wide.iloc[0].tolist() == pytest.approx(found)
+    assert not capsys.readouterr().out
+    e.extract(verbose=2)
+    assert "100 %" in (said := capsys.readouterr().out) and "general.nr_inst" in said
+    with pytest.raises(TypeError):
+        e.extract(out_type=list)
+    for kind in ("avg", "avg_summ", "total", "total_summ"):
+        timed = X.Extractor("general", summary=["mean", "sd"], measure_time=kind, suppress_warnings=True).fit(flowers, "kind", row_id="id")
+        parts = timed.extract(out_type=tuple)
+        assert len(parts) == 3 and all(t >= 0 for t in parts[2])
+    assert len(timed.extract_with_confidence(2, out_type=dict)) == 6
+    with pytest.raises(ValueError):
+        X.Extractor(measure_time="often")
+
+
+def test_rescaling_arguments(flowers):
+    of = lambda kind, **given: Data(flowers, "kind", row_id="id", encode=None, attributes=["a", "b"], rescale=kind, rescale_args=given)
+    plain = Data(flowers, "kind", row_id="id", encode=None, attributes=["a", "b"]).moments["a"]
+    moments = of("min-max", feature_range=(-2, 3)).moments
+    assert all(m["min"] == pytest.approx(-2) and m["max"] == pytest.approx(3) for m in moments.values())
+    assert of("standard", with_mean=False).moments["a"]["mean"] == pytest.approx(plain["mean"] / plain["var"] ** 0.5)
+    assert of("standard", with_std=False).moments["a"]["var"] == pytest.approx(plain["var"])
+    robust = of("robust", quantile_range=(10.0, 90.0))
+    low, high = robust.quantiles((0.1, 0.9))["a"]
+    assert high - low == pytest.approx(1)
+    assert of("robust", with_scaling=False).quantiles((0.5,))["a"] == pytest.approx([0])
+    with pytest.raises(ValueError):
+        of("standard", feature_range=(0, 1))
+
+
+def test_contingency(flowers, monkeypatch):
+    """Counts of pairs of category columns, by pandas."""
+    data = Data(flowers, "kind", row_id="id")
+    pdf = flowers.toPandas()
+    for c in ("a", "b"):
+        pdf[c] = [str(int(sum(cut < v for cut in data.cuts[c]))) for v in pdf[c]]
+    got = {(r["a"], r["b"], r["x"], r["y"]): r["n"] for r in data.contingency([("a", "b"), ("colour", "a"), ("b", None)]).collect()}
+    want = {}
+    for a, b, column in (("a", "b", "b"), ("colour", "a", "a"), ("b", None, "kind")):
+        for (x, y), n in pdf.groupby([a, column]).size().items():
+            want[a, b, x, y] = n
+    assert got == want
 
 
 def test_model_extraction(flowers):
