@@ -5,26 +5,35 @@ is at least ``similarity``, a fraction ``(numerator, denominator)``. The join is
 
 1. A counting sketch of all shingles gives one global order, rare shingles first. Two
    sets that link share one of their first ``n - ceil(t n) + 1`` shingles in any order.
-2. Equal sets are one entry. Entries are partitioned into groups by their commonest
-   shingle and a band of sizes; large groups are split by a minimum hash.
-3. The token-group matrix holds, per leading shingle, the groups it occurs in and their
-   sizes. An entry asks its leading shingles for groups that can hold a partner; entries
-   without a match are done.
-4. Histograms of the sets, of some bytes per shingle, bound the overlap of a query with
-   a group's members; a query opens only groups where some member's bound reaches the
-   overlap that a link needs, and only such queries and members bring their texts.
-5. In an open group, the query's overlap with the union of the members' shingles is a
-   second bound; then exact overlaps with all members follow. Only a spanning forest of
+2. Equal sets are one entry. Entries with an equal minimum hash and like sizes name a
+   leader, and those that link with it follow it; those left try again with further hashes.
+   So a family of near copies, however large, is told by a comparison or a few for each
+   member, and nothing compares its members with each other again.
+3. Entries are partitioned into groups of at most about ``GROUP_SIZE`` members and
+   ``GROUP_SHINGLES`` shingles: families by themselves, all others by their commonest
+   shingle and a band of sizes; what is larger is split by a hash of the set.
+4. The token-group matrix holds, per leading shingle, the groups it occurs in and their
+   sizes. An entry asks its leading shingles for groups that can hold a partner of another
+   family; a family asks as a whole and is a single row of the matrix.
+5. Each group's union of tokens is stored as a histogram, of some bytes per shingle. It
+   bounds the overlap of any query with any member: families whose unions can't overlap
+   enough are not asked further, and a query opens only groups whose union, and then some
+   member's own histogram, reaches the overlap that a link needs. Only such queries and
+   members bring their texts.
+6. In an open group, the query's overlap with the exact union of the members' shingles is
+   one more bound; then exact overlaps with all members follow. Only a spanning forest of
    the links leaves the task, so a group of copies never makes all pairs.
-6. Components of the forest are found by large-star and small-star rounds.
+7. Components of the forest are found by large-star and small-star rounds.
 
 A text is hashed by arrays: words by a polynomial over bytes, shingles by mixing the
 hashes of their words, all 64 bits.
 
 Edge cases: null and empty texts and those without words have no shingles and link with
-nothing; texts of fewer words than a shingle are one shingle; repeated rows are in one
-component; rows without an id get the component of their copies and partners; empty
-tables give empty results; further columns are ignored (``keep_one`` passes them on).
+nothing; texts of fewer words than a shingle are one shingle; very long texts are hashed
+whole, some MB at a time; shingles that tie in frequency are ordered by their hash, and of
+leaders that tie the greatest fingerprint counts; repeated rows are in one component; rows without an
+id get the component of their copies and partners; empty tables give empty results;
+further columns are ignored (``keep_one`` passes them on).
 """
 
 from __future__ import annotations
@@ -36,7 +45,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.llm.common import arrow_types
@@ -46,8 +55,12 @@ from facetry.session import settled, ship
 SHINGLE, SIMILARITY = 3, (90, 100)
 #: Counters of the sketch are 2 to this power.
 SKETCH_BITS = 20
-#: Members of a group, and queries that one task takes to a group, at about most.
-GROUP_SIZE, QUERY_SIZE = 1024, 4096
+#: Members of a group and their shingles, and queries that one task takes to a group, at
+#: about most.
+GROUP_SIZE, GROUP_SHINGLES, QUERY_SIZE = 1024, 1 << 22, 4096
+#: Minimum hashes by which near copies find a leader: the first in a round of its own, the
+#: others together in a second. More leave less to the matrix.
+HASHES = 4
 #: Rows of a side that is broadcast at most; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that are hashed at once.
@@ -69,6 +82,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTES[np.frombuffer(_SPACES, np.uint8)] = 0
+#: What minimum hashes are taken with.
+_SEEDS = _mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(_BASE))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[np.frombuffer(_SPACES, np.uint8)] = True
 
@@ -183,12 +198,13 @@ def folded(ranges: np.ndarray, size: int) -> np.ndarray:
     return ranges if ranges.shape[-1] == size else ranges.reshape(*ranges.shape[:-1], size, -1).sum(-1)
 
 
-SIGNATURES = "doc_id long, n long, fp binary, common long, low long, lead array<long>, ranges binary"
+SIGNATURES = "doc_id long, n long, fp binary, common long, usual double, lows array<long>, lead array<long>, ranges binary"
 
 
 def signatures(documents: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """Size, fingerprint, commonest shingle, minimum hash, leading shingles and histogram
-    of every document's set; all but the size are null for empty sets."""
+    """Size, fingerprint, commonest shingle, how common its shingles are at the mean,
+    minimum hashes, leading shingles and histogram of every document's set; all but the size
+    are null for empty sets."""
     spark = documents.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(levels(documents, size))
@@ -202,26 +218,121 @@ def signatures(documents: DataFrame, size: int, similarity: tuple[int, int]) ->
             for found in shingles([x or "" for x in batch.column(1).to_pylist()], size):
                 n = len(found)
                 if not n:
-                    rows.append((0, None, None, None, None, None))
+                    rows.append((0, None, None, None, None, None, None))
                     continue
                 rank = level[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 p = n - -(-numerator * n // denominator) + 1
                 order = np.argsort(rank, kind="stable")  # ties by hash, as the set ascends
                 common = found[np.flatnonzero(rank == rank.max())[0]]
-                rows.append((n, blake2b(found.tobytes(), digest_size=16).digest(), int(common.view(np.int64)), int(_mix(found).min().view(np.int64)), found[order[:p]].view(np.int64), histogram(found)))
+                rows.append((n, blake2b(found.tobytes(), digest_size=16).digest(), int(common.view(np.int64)), float(rank.mean()), [int(_mix(found ^ x).min().view(np.int64)) for x in _SEEDS[:HASHES]], found[order[:p]].view(np.int64), histogram(found)))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(types)[1:], strict=True)]], schema=types)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNATURES)
 
 
-def _grouped(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The entries with their group."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(similarity[1] / similarity[0]))).cast("int")
-    banded = entries.withColumn("band", band)
-    large = banded.groupBy("common", "band").agg(F.ceil(F.count("*") / GROUP_SIZE).cast("long").alias("parts")).filter("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    return banded.join(large, ["common", "band"], "left").withColumn("gid", F.xxhash64("common", "band", F.pmod("low", parts))).drop("common", "band", "parts", "low")
+def entries_of(signed: DataFrame) -> DataFrame:
+    """The distinct sets of the signatures, with an id ``rep`` that has each."""
+    return signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "common", "usual", "lows", "lead", "ranges")])
+
+
+def _band(similarity: tuple[int, int], shift: float = 0.0) -> Column:
+    """Bands of sizes, as wide as linked sets may differ."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(similarity[1] / similarity[0])) + F.lit(shift)).cast("int")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows of a number for each large group, stored: broadcast while there are at most
+    ``BROADCAST_ROWS``, so that the many rows of one group needn't meet in a task."""
+    stored = settled(rows)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
+def _families(documents: DataFrame, entries: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """The links ``a, b`` of entries with the leaders they follow."""
+    left = entries.select("fp", "rep", "n", "usual", "lows")
+    edges = None
+    for hashes in (range(1), range(1, HASHES)):
+        # bands are shifted from hash to hash, so that none parts a family in all
+        keys = F.array(*[F.xxhash64(F.col("lows")[k], _band(similarity, k / HASHES), F.lit(k)) for k in hashes])
+        near = left.select("fp", "rep", "usual", F.explode(keys).alias("gid"))
+        # of copies with edits of their own, the one with the commonest shingles has the
+        # fewest edits and is nearest to all others
+        heads = _small(near.groupBy("gid").agg(F.max(F.struct("usual", "fp", "rep")).alias("head"), F.count("*").alias("rows")).filter("rows > 1").select("gid", "head"))
+        own = heads.select("head.fp", "head.rep", "gid", F.lit(True).alias("own"))
+        asks = near.join(heads, "gid").filter(F.col("fp") != F.col("head.fp")).select("fp", "rep", "gid", F.lit(False).alias("own"))
+        found = settled(_opened(documents, _bounded(settled(own.unionByName(asks)), entries, similarity), size, similarity))
+        edges = found if edges is None else edges.unionByName(found)
+        left = left.join(found.select(F.col("a").alias("fp")).distinct(), "fp", "left_anti")
+    return edges
+
+
+def _grouped(entries: DataFrame, roots: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The entries with their family ``family`` (its root; their own fingerprint if they
+    have none), whether it is ``single``, and their group ``gid``."""
+    family = entries.join(roots.select(F.col("v").alias("fp"), F.col("root").alias("family")), "fp", "left")
+    # roots are no ends of their own, so they are told by those that follow them
+    heads = roots.select(F.col("root").alias("fp")).distinct().withColumn("leads", F.lit(True))
+    family = family.join(heads, "fp", "left").withColumn("single", F.col("family").isNull() & F.col("leads").isNull()).withColumn("family", F.coalesce("family", "fp")).drop("leads")
+    key = F.when(F.col("single"), F.xxhash64("common", _band(similarity))).otherwise(F.xxhash64("family"))
+    keyed = family.withColumn("key", key)
+    # so many members at the mean that five deviations more are GROUP_SIZE
+    usual = ((25 + 4 * GROUP_SIZE) ** 0.5 - 5) ** 2 / 4
+    by_size = F.when(F.count("*") > GROUP_SIZE, F.ceil(F.count("*") / F.lit(usual))).otherwise(1)
+    parts = F.greatest(by_size, F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("long")
+    large = _small(keyed.groupBy("key").agg(parts.alias("parts")).filter("parts > 1"))
+    part = F.pmod(F.xxhash64("fp", F.lit(1)), F.coalesce("parts", F.lit(1)))
+    return keyed.join(large, "key", "left").withColumn("gid", F.xxhash64("key", part)).drop("key", "parts")
+
+
+def _unions(members: DataFrame) -> DataFrame:
+    """``gid, least, ranges`` of groups ``gid, n, ranges``: the smallest member's size and
+    the union's histogram, in which any member's is contained."""
+    schema = "gid long, least long, ranges binary"
+    types = arrow_types(members, schema)
+    ship(members.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, least, most, out = None, 0, np.zeros(0, "<u2"), []
+        for batch in batches:
+            for gid, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(raw, "<u2").astype(np.int64)
+                if gid != key:
+                    if key is not None:
+                        out.append((key, least, np.minimum(most, 65535).astype("<u2").tobytes()))
+                    key, least, most = gid, n, own
+                else:
+                    size = min(len(most), len(own))
+                    least, most = min(least, n), np.maximum(folded(most, size), folded(own, size))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+                out = []
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((key, least, np.minimum(most, 65535).astype("<u2").tobytes()), types, strict=True)], schema=types)
+
+    sent = members.select("gid", "n", "ranges").repartition("gid").sortWithinPartitions("gid")
+    return sent.mapInArrow(work, schema)
+
+
+def _may_meet(pairs: DataFrame, unions: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs ``source, gid`` of groups whose unions overlap enough."""
+    numerator, denominator = similarity
+    one = unions.select(F.col("gid").alias("source"), F.col("least").alias("least_a"), F.col("ranges").alias("ranges_a"))
+    two = unions.select("gid", F.col("least").alias("least_b"), F.col("ranges").alias("ranges_b"))
+    types = arrow_types(pairs, "source long, gid long")
+    ship(pairs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source, gid, na, nb, a, b in zip(*(batch.column(c).to_pylist() for c in ("source", "gid", "least_a", "least_b", "ranges_a", "ranges_b")), strict=True):
+                a, b = (np.frombuffer(x, "<u2").astype(np.int64) for x in (a, b))
+                size = min(len(a), len(b))
+                if (numerator + denominator) * int(np.minimum(folded(a, size), folded(b, size)).sum()) >= numerator * (na + nb):
+                    out.append((source, gid))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], schema=types)
+
+    return pairs.join(one, "source").join(two, "gid").mapInArrow(work, "source long, gid long")
 
 
 def _asked(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -230,65 +341,83 @@ def _asked(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     spark = entries.sparkSession
     numerator, denominator = similarity
     ship(spark)
-    posted = entries.select("fp", "rep", "n", "gid", F.posexplode("lead").alias("pos", "token")).withColumn("room", F.col("n") - F.col("pos")).select("token", "fp", "rep", "n", "room", "gid").repartition("token").sortWithinPartitions("token")
-    schema = "fp binary, rep long, gid long, own boolean"
+    lead = entries.select("fp", "rep", "n", "gid", "family", "single", F.posexplode("lead").alias("pos", "token")).withColumn("most", F.col("n") - F.col("pos"))
+    lone = lead.filter("single").select("token", "gid", "fp", "rep", F.col("fp").alias("family"), F.col("n").alias("low"), F.col("n").alias("high"), "most")
+    whole = lead.filter("NOT single").groupBy("token", "gid").agg(F.first("family").alias("family"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most"))
+    posted = lone.unionByName(whole, allowMissingColumns=True).repartition("token").sortWithinPartitions("token")
+    schema = "fp binary, rep long, source long, gid long, own boolean"
     types = arrow_types(entries, schema)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # rows whose token may go on
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, now]).combine_chunks() if rest is not None else now
-            token = table.column("token").to_numpy()
+            token = batch.column("token").to_numpy()
             if not len(token):
                 continue
-            last = int(np.searchsorted(token, token[-1], side="left"))  # the last token may go on
-            rest = table.slice(last)
-            yield from work(table.slice(0, last))
-        if rest is not None:
-            yield from work(rest)
+            if held and held[0].column("token")[0].as_py() == token[-1]:
+                held.append(batch)  # one token so far: keep the slices, join them once
+                continue
+            last = int(np.searchsorted(token, token[-1], side="left"))
+            yield from work(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
+            held = [batch.slice(last)]
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows < 2:
             return
-        token, n, room, gid = (table.column(c).to_numpy() for c in ("token", "n", "room", "gid"))
+        token, low, high, most, gid = (table.column(c).to_numpy() for c in ("token", "low", "high", "most", "gid"))
+        lone = table.column("fp").is_valid().to_numpy()
+        family = np.unique(np.array(table.column("family").to_pylist(), dtype="S16"), return_inverse=True)[1]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(starts[1:], len(token))
-        some = ends - starts > 1
+        # tokens of one family only have nothing to ask
+        some = np.minimum.reduceat(family, starts) != np.maximum.reduceat(family, starts)
         rows, groups, own = [], [], []
         for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
-            sizes, names, rooms = n[a:b], gid[a:b], room[a:b]
             # the matrix row of this token: its groups with their smallest and largest entries
             # and the most shingles that an entry of each has from this one on
-            order = np.argsort(names, kind="stable")
-            there, first, count = np.unique(names[order], return_index=True, return_counts=True)
-            low, high = np.minimum.reduceat(sizes[order], first), np.maximum.reduceat(sizes[order], first)
-            most = np.maximum.reduceat(rooms[order], first)
-            mine = np.searchsorted(there, names)
-            for g in range(len(there)):
-                # of two groups, entries of the later ask the earlier
-                fits = (mine >= g) & (denominator * high[g] >= numerator * sizes) & (numerator * low[g] <= denominator * sizes)
+            order = np.argsort(gid[a:b], kind="stable") + a
+            there, first, count = np.unique(gid[order], return_index=True, return_counts=True)
+            lows, highs = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+            mosts = np.maximum.reduceat(most[order], first)
+            small, large, room, kin, is_lone = low[order], high[order], most[order], family[order], lone[order]
+            for g, at in enumerate(first.tolist()):
+                # of two groups, entries of the later ask the earlier; the order is theirs
+                to = at + int(count[g])
+                fits = (denominator * highs[g] >= numerator * small[at:]) & (numerator * lows[g] <= denominator * large[at:])
                 # if this is the first shingle that two sets share, they share no more than
                 # either has from it on; with a former one, that one asks
-                fits &= (numerator + denominator) * np.minimum(rooms, most[g]) >= numerator * (sizes + low[g])
-                members = mine == g
-                if not (fits & ~members).any() and (fits & members).sum() < 2:
+                fits &= (numerator + denominator) * np.minimum(room[at:], mosts[g]) >= numerator * (small[at:] + lows[g])
+                if not is_lone[at]:
+                    fits &= kin[at:] != kin[at]  # a family isn't asked by its own
+                if not fits[to - at :].any() and fits[: to - at].sum() < 2:
                     continue
-                k = np.flatnonzero(fits | members)
-                rows.append(k + a)
+                k = np.unique(np.concatenate([np.flatnonzero(fits) + at, np.arange(at, to)]))
+                rows.append(order[k])
                 groups.append(np.full(len(k), there[g]))
-                own.append(members[k])
+                own.append(k < to)
         if not rows:
             return
-        at, to, is_own = np.concatenate(rows), np.concatenate(groups), np.concatenate(own)
-        # each (entry, group) once a batch
-        entry = np.unique(np.array(table.column("fp").take(pa.array(at)).to_pylist(), dtype="S16"), return_inverse=True)[1]
-        _, keep = np.unique(np.stack([entry, to], 1), axis=0, return_index=True)
+        at, target, is_own = np.concatenate(rows), np.concatenate(groups), np.concatenate(own)
+        # each (entry or family part, group) once a batch
+        name = np.where(lone, np.unique(np.array([x or b"" for x in table.column("fp").to_pylist()], dtype="S16"), return_inverse=True)[1] * 2, np.unique(gid, return_inverse=True)[1] * 2 + 1)
+        _, keep = np.unique(np.stack([name[at], target, is_own], 1), axis=0, return_index=True)
         got = table.take(pa.array(at[keep]))
-        for part in pa.table([got.column("fp"), got.column("rep"), pa.array(to[keep]), pa.array(is_own[keep])], schema=types).to_batches(max_chunksize=65536):
+        source = pa.array(gid[at[keep]], mask=lone[at[keep]])
+        for part in pa.table([got.column("fp"), got.column("rep"), source, pa.array(target[keep]), pa.array(is_own[keep])], schema=types).to_batches(max_chunksize=65536):
             yield part
 
-    return posted.mapInArrow(ask, schema).groupBy("fp", "gid").agg(F.first("rep").alias("rep"), F.max("own").alias("own"))
+    found = settled(posted.mapInArrow(ask, schema).distinct())
+    alone = found.filter("source IS NULL").select("fp", "rep", "gid", "own")
+    # families ask, and are asked, with all members of the part that the matrix names
+    parts = found.filter("source IS NOT NULL").select("source", "gid", "own")
+    asking = parts.filter("NOT own").select("source", "gid").distinct()
+    named = asking.select(F.col("source").alias("gid")).unionByName(asking.select("gid")).distinct()
+    met = settled(_may_meet(asking, _unions(entries.join(named, "gid", "left_semi")), similarity))
+    wanted = met.withColumn("own", F.lit(False)).unionByName(parts.filter("own"))
+    members = entries.filter("NOT single").select(F.col("gid").alias("source"), "fp", "rep")
+    return alone.unionByName(wanted.join(members, "source").select("fp", "rep", "gid", "own")).groupBy("fp", "gid").agg(F.first("rep").alias("rep"), F.max("own").alias("own"))
 
 
 class _Group:
@@ -337,10 +466,10 @@ class _Group:
 def _spread(asked: DataFrame) -> DataFrame:
     """The asked rows with ``part`` and ``query``: a group's members go to all its parts
     as members and to one as a query, other queries go to one part."""
-    shares = asked.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_SIZE).cast("long").alias("parts"))
-    home = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    to = F.explode(F.when(F.col("own"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(home)))
-    spread = asked.join(shares, "gid").select(*asked.columns, home.alias("home"), to.alias("part"))
+    shares = _small(asked.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_SIZE).cast("long").alias("parts")).filter("parts > 1"))
+    home = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1).cast("long")))
+    to = F.explode(F.when(F.col("own"), F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).otherwise(F.array(home)))
+    spread = asked.join(shares, "gid", "left").select(*asked.columns, home.alias("home"), to.alias("part"))
     return spread.withColumn("query", F.col("home") == F.col("part")).drop("home")
 
 
@@ -362,8 +491,12 @@ def _bounded(asked: DataFrame, entries: DataFrame, similarity: tuple[int, int])
             size = min(len(own), matrix["size"])
             if size not in matrix:
                 matrix[size] = folded(matrix[matrix["size"]], size)
-            # in slices, so that a large group needs no large product
+                matrix["union", size] = matrix[size].max(0)
+            # the union first: any member's overlap is at most that with it
             mine, step, hit = folded(own, size), max(1, (1 << 21) // size), False
+            if (numerator + denominator) * int(np.minimum(matrix["union", size], mine).sum()) < numerator * (matrix["least"] + n):
+                return False
+            # then the members, in slices, so that a large group needs no large product
             for at in range(0, len(members), step):
                 most = np.minimum(matrix[size][at : at + step], mine).sum(1)
                 may = np.flatnonzero((numerator + denominator) * most >= numerator * (matrix["n"][at : at + step] + n)) + at
@@ -376,6 +509,7 @@ def _bounded(asked: DataFrame, entries: DataFrame, similarity: tuple[int, int])
             if not matrix:
                 size = min(len(m[3]) for m in members)
                 matrix.update({"size": size, size: np.array([folded(m[3], size) for m in members], np.int32), "n": np.array([m[2] for m in members]), "wanted": np.zeros(len(members), bool)})
+                matrix["union", size], matrix["least"] = matrix[size].max(0), int(matrix["n"].min())
 
         def close() -> None:
             if not members:
@@ -474,8 +608,10 @@ def components(links: DataFrame) -> DataFrame:
 def classes(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     signed = settled(signatures(documents, size, similarity))
-    entries = _grouped(signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("common").alias("common"), F.first("low").alias("low"), F.first("lead").alias("lead"), F.first("ranges").alias("ranges")), similarity)
-    forest = _opened(documents, _bounded(settled(_asked(entries, similarity)), entries, similarity), size, similarity)
+    entries = settled(entries_of(signed))
+    followed = settled(_families(documents, entries, size, similarity))
+    grouped = settled(_grouped(entries, components(followed), similarity))
+    forest = followed.unionByName(_opened(documents, _bounded(settled(_asked(grouped, similarity)), entries, similarity), size, similarity))
     roots = components(forest)
     reps = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     rooted = reps.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

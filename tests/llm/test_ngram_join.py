@@ -120,3 +120,35 @@ def test_size_and_similarity_are_parameters(spark, frame, words):
     assert got == want
     kept = {r["doc_id"] for r in nj.keep_one(frame(rows), size=5, similarity=(80, 100)).collect()}
     assert kept == {k for k, c in want if k == c} < {r["doc_id"] for r in nj.keep_one(frame(rows)).collect()}
+
+
+def near_copies(words, count):
+    """A text and copies of it with one or two words of their own, which link with the text
+    and mostly not with each other; and texts apart."""
+    draw = random.Random(count)
+    base = [draw.choice(words) + str(k) for k in range(120)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, count):
+        copy = list(base)
+        for _ in range(draw.choice([1, 1, 2])):
+            copy[draw.randrange(len(copy))] = f"own{k}x{draw.randrange(9)}"
+        rows.append((k, " ".join(copy)))
+    return rows + [(count + k, " ".join(draw.choice(words) for _ in range(90))) for k in range(20)]
+
+
+def test_large_families(spark, frame, words, monkeypatch):
+    """Twenty times GROUP_SIZE near copies: no group holds more, what is asked grows with
+    the rows and not with their square, and the classes are whole."""
+    monkeypatch.setattr(nj, "GROUP_SIZE", 64)
+    similarity, asked, largest = (90, 100), [], []
+    for count in (640, 1280):
+        rows = near_copies(words, count)
+        docs = frame(rows)
+        entries = nj.settled(nj.entries_of(nj.signatures(docs, 3, similarity)))
+        grouped = nj.settled(nj._grouped(entries, nj.components(nj._families(docs, entries, 3, similarity)), similarity))
+        largest.append(max(r["count"] for r in grouped.groupBy("gid").count().collect()))
+        asked.append(nj._asked(grouped, similarity).count())
+    assert max(largest) <= 64
+    assert asked[0] <= 2 * 660 and asked[1] <= 2 * 1300
+    got = {r["doc_id"]: r["component_id"] for r in nj.classes(docs).collect()}
+    assert got == {k: 0 if k < count else k for k, _ in rows}
