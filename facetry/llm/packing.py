@@ -9,10 +9,12 @@ The plan is made on the histogram of lengths, not on documents: a filled sequenc
 pattern of lengths that is repeated as often as the remaining counts allow, so the
 driver holds at most ``capacity`` counts and a few patterns per length, whatever the
 number of documents. Pieces find their place by their rank among pieces of the same
-length; ranks come from salted windows and a prefix sum over the salts.
+length: each task counts its own as it makes them, and a prefix sum over the tasks'
+counts gives the rest, so no length is ranked in one place.
 
-Edge cases: null and empty texts have one piece of one id (the end of text); repeated
-rows are packed each; an empty table gives an empty result; further columns are
+Edge cases: null and empty texts have one piece of one id (the end of text); very long
+texts are tokenized whole and cut; lengths that fit equally well are taken longest first;
+repeated rows are packed each; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -37,8 +39,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 500_000
-#: Parts of a length's pieces in the ranking.
-SALTS = 64
+#: Counts of tasks and lengths that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _MARKS = ".,;:!?&%$#*|"
@@ -314,17 +316,41 @@ def places(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.nd
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def _numbered(cut: DataFrame) -> DataFrame:
+    """The pieces with ``task`` and their number ``within`` among those of their length in
+    the task, from 0."""
+    from pyspark import TaskContext
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", task int, within long"
+    types, place = arrow_types(cut, schema), cut.columns.index("length")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            lengths = batch.column(place).to_numpy(zero_copy_only=False)
+            within = np.empty(len(lengths), np.int64)
+            for length in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == length)
+                first = seen.get(length, 0)
+                within[own] = first + np.arange(len(own))
+                seen[length] = first + len(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(lengths), pa.int32()), pa.array(within)], schema=types)
+
+    return cut.mapInArrow(work, schema)
+
+
+def packed(cut: DataFrame, capacity: int = CAPACITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
     ship(spark)
-    salted = settled(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
-    by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("rows"))
-    before = by_salt.select("length", "salt", (F.sum("rows").over(Window.partitionBy("length").orderBy("salt")) - F.col("rows")).alias("before"))
-    counts = {r["length"]: r["rows"] for r in salted.groupBy("length").agg(F.count("*").alias("rows")).collect()}  # at most capacity rows
+    numbered = settled(_numbered(cut))
+    by_task = settled(numbered.groupBy("length", "task").agg(F.count("*").alias("rows")))
+    before = by_task.select("length", "task", (F.sum("rows").over(Window.partitionBy("length").orderBy("task")) - F.col("rows")).alias("before"))
+    counts = {r["length"]: r["rows"] for r in by_task.groupBy("length").agg(F.sum("rows").alias("rows")).collect()}  # at most capacity rows
     where = spark.sparkContext.broadcast(places(plan(counts, capacity)))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("within") - 1 + F.col("before"))
+    if by_task.count() <= broadcast_rows:
+        before = F.broadcast(before)
+    ranked = numbered.join(before, ["length", "task"]).withColumn("rank", F.col("within") + F.col("before"))
     columns = [x for x in cut.columns]
     schema = ", ".join(f"{x} {cut.schema[x].dataType.simpleString()}" for x in columns) + ", sequence_id long, offset long"
     types = arrow_types(cut, schema)
