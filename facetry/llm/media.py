@@ -6,9 +6,10 @@ source area of each target pixel, read off an integral image at the target's cut
 ``tile`` writes an array in NPY format; ``difference_hash`` compares neighbours of a
 9 x 8 grey tile.
 
-Edge cases: null or empty texts become one row of 64 blank pixels; repeated rows
-give repeated results; an empty table gives an empty result; further columns of the
-input are ignored. Broken images raise ``ValueError`` in ``decode``; ``media_columns``
+Edge cases: null or empty texts become one row of 64 blank pixels; very long texts are
+one high image, summed in bands; neighbours that tie are not darker; samples of 16 bits
+are brought to 8 in tiles; repeated rows give repeated results; an empty table gives an
+empty result; further columns of the input are ignored. Broken images raise ``ValueError`` in ``decode``; ``media_columns``
 gives null columns for them.
 """
 
@@ -148,7 +149,7 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def tile(image: np.ndarray, side: int = TILE) -> bytes:
     """The area-resized 8-bit tile as an NPY file."""
-    small = np.rint(area_resize(image, side, side)).astype(np.uint8)
+    small = np.rint(area_resize(image, side, side) / (257 if image.dtype.itemsize == 2 else 1)).astype(np.uint8)
     out = io.BytesIO()
     np.lib.format.write_array(out, small, version=(1, 0))
     return out.getvalue()

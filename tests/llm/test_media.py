@@ -36,6 +36,25 @@ def test_area_resize_is_the_mean_of_areas():
     assert np.allclose(media.area_resize(image, 5, 3), fine.reshape(5, 12, 3, 8, 1).mean(axis=(1, 3)))
 
 
+def areas(size, count):
+    """How much of each of ``size`` pixels each of ``count`` equal parts covers."""
+    return np.array([[max(0.0, min(i + 1, (k + 1) * size / count) - max(i, k * size / count)) for i in range(size)] for k in range(count)])
+
+
+def described(image):
+    """Tile and hash by the shares of every source pixel in every target pixel."""
+    rows, columns, _ = image.shape
+    mean = lambda h, w: np.einsum("hr,rcx,wc->hwx", areas(rows, h), image.astype(float), areas(columns, w)) / (rows / h * columns / w)
+    grey = np.rint(mean(8, 9).sum(axis=2) * 1024)
+    bits = "".join(str(int(grey[i, j] < grey[i, j + 1])) for i in range(8) for j in range(8))
+    return np.rint(mean(8, 8)), f"{int(bits, 2):016x}"
+
+
+def test_deep_samples_fit_tiles():
+    image = media.decode(b"P5 2 2 65535\n" + b"\xff\xff" * 4)
+    assert (np.load(io.BytesIO(media.tile(image))) == 255).all()
+
+
 def test_query_columns_by_brute_force(spark, frame):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "é" * 500), (4, "é" * 500), (None, "x" * 192), (7, "long " * 20000)]
     got = {(r["doc_id"], r["n_bytes"]): r for r in media.stored_texts(frame(rows)).collect()}
@@ -47,7 +66,8 @@ def test_query_columns_by_brute_force(spark, frame):
         assert r["tail_crc32"] == zlib.crc32(padded[-16:])
         stored = b"P6\n64 %d\n255\n" % (len(padded) // 192) + padded
         assert r["media_sha256"] == hashlib.sha256(stored).hexdigest() and r["media_bytes"] == len(stored)
-        assert np.load(io.BytesIO(bytes(r["tile_npy"]))).shape == (8, 8, 3)
+        small, feature = described(np.frombuffer(padded, np.uint8).reshape(-1, 64, 3))
+        assert (np.load(io.BytesIO(bytes(r["tile_npy"]))) == small).all() and r["feature"] == feature
     assert media.stored_texts(frame([])).count() == 0
 
 
