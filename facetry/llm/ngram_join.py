@@ -63,6 +63,9 @@ GROUP_SIZE, GROUP_SHINGLES, QUERY_SIZE = 1024, 1 << 22, 4096
 HASHES = 4
 #: Rows of a side that is broadcast at most; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of a token in the matrix that one task reads, at about most, and the parts that
+#: those of a commoner one are dealt to.
+TOKEN_ROWS, TOKEN_PARTS = 1 << 17, 64
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -82,8 +85,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTES[np.frombuffer(_SPACES, np.uint8)] = 0
-#: What minimum hashes are taken with.
-_SEEDS = _mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(_BASE))
+#: Odd factors that give each minimum hash an order of its own.
+_SEEDS = _mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[np.frombuffer(_SPACES, np.uint8)] = True
 
@@ -224,7 +227,7 @@ def signatures(documents: DataFrame, size: int, similarity: tuple[int, int]) ->
                 p = n - -(-numerator * n // denominator) + 1
                 order = np.argsort(rank, kind="stable")  # ties by hash, as the set ascends
                 common = found[np.flatnonzero(rank == rank.max())[0]]
-                rows.append((n, blake2b(found.tobytes(), digest_size=16).digest(), int(common.view(np.int64)), float(rank.mean()), [int(_mix(found ^ x).min().view(np.int64)) for x in _SEEDS[:HASHES]], found[order[:p]].view(np.int64), histogram(found)))
+                rows.append((n, blake2b(found.tobytes(), digest_size=16).digest(), int(common.view(np.int64)), float(rank.mean()), [int((found * x).min().view(np.int64)) for x in _SEEDS[:HASHES]], found[order[:p]].view(np.int64), histogram(found)))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(types)[1:], strict=True)]], schema=types)
 
@@ -268,8 +271,8 @@ def _families(documents: DataFrame, entries: DataFrame, size: int, similarity: t
 
 
 def _grouped(entries: DataFrame, roots: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The entries with their family ``family`` (its root; their own fingerprint if they
-    have none), whether it is ``single``, and their group ``gid``."""
+    """The entries with ``kin``, a hash of their family (of its root; of their own
+    fingerprint if they have none), whether they are ``single``, and their group ``gid``."""
     family = entries.join(roots.select(F.col("v").alias("fp"), F.col("root").alias("family")), "fp", "left")
     # roots are no ends of their own, so they are told by those that follow them
     heads = roots.select(F.col("root").alias("fp")).distinct().withColumn("leads", F.lit(True))
@@ -282,7 +285,7 @@ def _grouped(entries: DataFrame, roots: DataFrame, similarity: tuple[int, int])
     parts = F.greatest(by_size, F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("long")
     large = _small(keyed.groupBy("key").agg(parts.alias("parts")).filter("parts > 1"))
     part = F.pmod(F.xxhash64("fp", F.lit(1)), F.coalesce("parts", F.lit(1)))
-    return keyed.join(large, "key", "left").withColumn("gid", F.xxhash64("key", part)).drop("key", "parts")
+    return keyed.join(large, "key", "left").select("fp", "rep", "n", "lead", "ranges", F.xxhash64("family").alias("kin"), "single", F.xxhash64("key", part).alias("gid"))
 
 
 def _unions(members: DataFrame) -> DataFrame:
@@ -335,45 +338,83 @@ def _may_meet(pairs: DataFrame, unions: DataFrame, similarity: tuple[int, int])
     return pairs.join(one, "source").join(two, "gid").mapInArrow(work, "source long, gid long")
 
 
+def _asked_apart(posted: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """What ``_asked`` finds for tokens that one task can't hold: rows of a token are dealt
+    to parts that each have the token's row of the matrix."""
+    numerator, denominator = similarity
+    matrix = posted.groupBy("token", F.col("gid").alias("target")).agg(F.min("low").alias("lows"), F.max("high").alias("highs"), F.max("most").alias("mosts"), F.first("kin").alias("its_kin"), F.count("fp").alias("lone"))
+    each = matrix.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_PARTS - 1))))
+    part = F.pmod(F.xxhash64("fp", "gid"), F.lit(TOKEN_PARTS)).cast("int")
+    fits = (denominator * F.col("highs") >= numerator * F.col("low")) & (numerator * F.col("lows") <= denominator * F.col("high"))
+    fits &= (numerator + denominator) * F.least("most", "mosts") >= numerator * (F.col("low") + F.col("lows"))
+    # of two groups, entries of the later ask the earlier; a family isn't asked by its own
+    turn = F.when(F.col("gid") == F.col("target"), F.col("lone") > 1).otherwise((F.col("gid") > F.col("target")) & ((F.col("lone") > 0) | (F.col("kin") != F.col("its_kin"))))
+    met = settled(posted.withColumn("part", part).join(each, ["token", "part"]).filter(fits & turn).select("token", "fp", "rep", "gid", "target"))
+    source = F.when(F.col("fp").isNull(), F.col("gid")).alias("source")
+    asks = met.select("fp", "rep", source, F.col("target").alias("gid"), (F.col("gid") == F.col("target")).alias("own"))
+    members = posted.join(met.select("token", F.col("target").alias("gid")).distinct(), ["token", "gid"]).select("fp", "rep", source, "gid", F.lit(True).alias("own"))
+    return asks.unionByName(members)
+
+
 def _asked(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``fp, rep, gid, own``: the entries that take part in opening each group; ``own``
     tells its members. Made from the token-group matrix of the leading shingles."""
     spark = entries.sparkSession
     numerator, denominator = similarity
     ship(spark)
-    lead = entries.select("fp", "rep", "n", "gid", "family", "single", F.posexplode("lead").alias("pos", "token")).withColumn("most", F.col("n") - F.col("pos"))
-    lone = lead.filter("single").select("token", "gid", "fp", "rep", F.col("fp").alias("family"), F.col("n").alias("low"), F.col("n").alias("high"), "most")
-    whole = lead.filter("NOT single").groupBy("token", "gid").agg(F.first("family").alias("family"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most"))
+    lead = entries.select("fp", "rep", "n", "gid", "kin", "single", F.posexplode("lead").alias("pos", "token")).withColumn("most", F.col("n") - F.col("pos"))
+    lone = lead.filter("single").select("token", "gid", "fp", "rep", "kin", F.col("n").alias("low"), F.col("n").alias("high"), "most")
+    whole = lead.filter("NOT single").groupBy("token", "gid").agg(F.first("kin").alias("kin"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most"))
     posted = lone.unionByName(whole, allowMissingColumns=True).repartition("token").sortWithinPartitions("token")
-    schema = "fp binary, rep long, source long, gid long, own boolean"
+    schema = "fp binary, rep long, source long, gid long, own boolean, token long, kin long, low long, high long, most long"
     types = arrow_types(entries, schema)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows whose token may go on
+        passed = None  # a token whose rows are too many to be held here
         for batch in batches:
             token = batch.column("token").to_numpy()
+            if passed is not None:
+                upto = int(np.searchsorted(token, passed, side="right"))
+                yield common(pa.Table.from_batches([batch.slice(0, upto)]))
+                batch, token = batch.slice(upto), token[upto:]
             if not len(token):
                 continue
-            if held and held[0].column("token")[0].as_py() == token[-1]:
-                held.append(batch)  # one token so far: keep the slices, join them once
-                continue
+            passed = None
             last = int(np.searchsorted(token, token[-1], side="left"))
-            yield from work(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
-            held = [batch.slice(last)]
+            if not held or held[0].column("token")[0].as_py() != token[-1]:
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
+                held = []
+            held.append(batch.slice(last))
+            if sum(b.num_rows for b in held) > TOKEN_ROWS:
+                yield common(pa.Table.from_batches(held))
+                held, passed = [], token[-1]
         if held:
             yield from work(pa.Table.from_batches(held).combine_chunks())
 
+    def common(table: pa.Table) -> pa.RecordBatch:
+        """Rows of a common token as they are, to be dealt to more tasks."""
+        none = pa.nulls(table.num_rows)
+        columns = [table.column("fp"), table.column("rep"), none.cast(pa.int64()), table.column("gid"), none.cast(pa.bool_()), *(table.column(c) for c in ("token", "kin", "low", "high", "most"))]
+        return pa.table(columns, schema=types).combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in types], schema=types)
+
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows < 2:
             return
-        token, low, high, most, gid = (table.column(c).to_numpy() for c in ("token", "low", "high", "most", "gid"))
+        token, low, high, most, gid, family = (table.column(c).to_numpy() for c in ("token", "low", "high", "most", "gid", "kin"))
         lone = table.column("fp").is_valid().to_numpy()
-        family = np.unique(np.array(table.column("family").to_pylist(), dtype="S16"), return_inverse=True)[1]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(starts[1:], len(token))
-        # tokens of one family only have nothing to ask
+        # tokens of one family only have nothing to ask, nor have two rows that don't fit
         some = np.minimum.reduceat(family, starts) != np.maximum.reduceat(family, starts)
+        fit = denominator * np.minimum.reduceat(high, starts) >= numerator * np.maximum.reduceat(low, starts)
+        fit &= (numerator + denominator) * np.minimum.reduceat(most, starts) >= numerator * np.add.reduceat(low, starts)
+        some &= fit | (ends - starts > 2)
         rows, groups, own = [], [], []
+        many = some & (ends - starts > TOKEN_ROWS)
+        for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            yield common(table.slice(a, b - a))
+        some &= ~many
         for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
             # the matrix row of this token: its groups with their smallest and largest entries
             # and the most shingles that an entry of each has from this one on
@@ -401,14 +442,20 @@ def _asked(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             return
         at, target, is_own = np.concatenate(rows), np.concatenate(groups), np.concatenate(own)
         # each (entry or family part, group) once a batch
-        name = np.where(lone, np.unique(np.array([x or b"" for x in table.column("fp").to_pylist()], dtype="S16"), return_inverse=True)[1] * 2, np.unique(gid, return_inverse=True)[1] * 2 + 1)
-        _, keep = np.unique(np.stack([name[at], target, is_own], 1), axis=0, return_index=True)
+        called = np.array([x or b"" for x in table.column("fp").take(pa.array(at)).to_pylist()], dtype="S16")
+        name = np.where(lone[at], np.unique(called, return_inverse=True)[1] * 2, np.unique(gid[at], return_inverse=True)[1] * 2 + 1)
+        _, keep = np.unique(np.stack([name, target, is_own], 1), axis=0, return_index=True)
         got = table.take(pa.array(at[keep]))
         source = pa.array(gid[at[keep]], mask=lone[at[keep]])
-        for part in pa.table([got.column("fp"), got.column("rep"), source, pa.array(target[keep]), pa.array(is_own[keep])], schema=types).to_batches(max_chunksize=65536):
+        rest = [pa.nulls(len(keep)).cast(f.type) for f in list(types)[5:]]
+        for part in pa.table([got.column("fp"), got.column("rep"), source, pa.array(target[keep]), pa.array(is_own[keep]), *rest], schema=types).to_batches(max_chunksize=65536):
             yield part
 
     found = settled(posted.mapInArrow(ask, schema).distinct())
+    dealt = found.filter("own IS NULL").select("token", "gid", "fp", "rep", "kin", "low", "high", "most")
+    found = found.filter("own IS NOT NULL").select("fp", "rep", "source", "gid", "own")
+    if not dealt.isEmpty():
+        found = settled(found.unionByName(_asked_apart(dealt, similarity)).distinct())
     alone = found.filter("source IS NULL").select("fp", "rep", "gid", "own")
     # families ask, and are asked, with all members of the part that the matrix names
     parts = found.filter("source IS NOT NULL").select("source", "gid", "own")

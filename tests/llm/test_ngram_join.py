@@ -65,6 +65,8 @@ def test_split_groups_lose_nothing(spark, frame, words, monkeypatch):
     monkeypatch.setattr(nj, "GROUP_SIZE", 2)
     monkeypatch.setattr(nj, "QUERY_SIZE", 3)
     monkeypatch.setattr(nj, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(nj, "TOKEN_ROWS", 2)
+    monkeypatch.setattr(nj, "TOKEN_PARTS", 3)
     rows = corpus(words)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nj.classes(frame(rows)).collect())
     assert got == brute(rows)
