@@ -345,8 +345,8 @@ def trained(documents: DataFrame, labels: DataFrame) -> Grammar:
             yield pa.RecordBatch.from_pydict({"words": [" ".join(distinct_words(x or "")) for x in batch.column("text").to_pylist()], "toxic": batch.column("toxic").cast(pa.int32())})
 
     # in an order of its own, so that equally good stems are chosen alike in every run
-    found = rows.mapInArrow(words, "words string, toxic int").orderBy("toxic", "words").collect()
-    grammar = learn_stems([(r["words"].split(" ") if r["words"] else [], r["toxic"]) for r in found])
+    found = sorted((r["toxic"], r["words"]) for r in rows.mapInArrow(words, "words string, toxic int").collect())
+    grammar = learn_stems([(w.split(" ") if w else [], y) for y, w in found])
     del found
     held = documents.sparkSession.sparkContext.broadcast(grammar.parts())
 
@@ -355,8 +355,8 @@ def trained(documents: DataFrame, labels: DataFrame) -> Grammar:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"evidence": [own.evidence(x or "").tolist() for x in batch.column("text").to_pylist()], "toxic": batch.column("toxic").cast(pa.int32())})
 
-    weighed = rows.mapInArrow(weigh, "evidence array<double>, toxic int").orderBy("toxic", "evidence").collect()
-    return fit_kinds(grammar, [(list(r["evidence"]), r["toxic"]) for r in weighed])
+    weighed = sorted((r["toxic"], list(r["evidence"])) for r in rows.mapInArrow(weigh, "evidence array<double>, toxic int").collect())
+    return fit_kinds(grammar, [(e, y) for y, e in weighed])
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
