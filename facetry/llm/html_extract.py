@@ -63,7 +63,7 @@ _SAYS_OUT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentary consent cookie cookies copyright disqus footer gdpr header login masthead menu menus modal nav navbar navigation navigations newsletter notice notices pagination pager paywall popup promo promos promoted promotion recommended related respond search share sharing shares sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags teaser toolbar topbar widget widgets alert alerts complementary contentinfo reply replies".split()
 )
 #: Last words of a compound name that say nothing, and first ones that make it a state.
-_GENERIC = frozenset("container wrap wrapper box block list area section inner outer left right top bottom items item link links button buttons icons bar posts articles stories body content title text row col column unit slot panel group holder region zone module".split())
+_GENERIC = frozenset("container wrap wrapper box block list area section inner outer left right top bottom items item link links button buttons icons bar posts articles stories body content title text row col column unit slot panel group holder region zone module card cards form tile grid message cta media this toggle mobile desktop main primary secondary first last".split())
 _STATE = frozenset("has no with without open closed enabled disabled allow allows supports hide show is not".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：，¿¡]")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())

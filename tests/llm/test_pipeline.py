@@ -46,3 +46,31 @@ def test_stage_links_at_five_words_and_four_fifths(spark, words):
     rows = [(1, " ".join(base)), (2, " ".join(base + [draw.choice(words) for _ in range(18)])), (3, " ".join(base[:70]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
+def test_odd_rows_and_columns(spark, words, tmp_path):
+    """Nulls, repeated rows, rows without ids, long texts and columns of any name go
+    through all stages; empty tables give empty ones."""
+    draw = random.Random(6)
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    same, long = text(50), text(30_000)
+    rows = [(1, same), (1, same), (2, None), (3, ""), (None, text(40)), (None, None), (4, long), (2**62, text(60)), (-5, "one")]
+    names = ["_id", "_gone", "_digest", "score", "fp", "gid", "own", "n", "rep", "spans", "a.b"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in names:
+        docs = docs.withColumn(name, docs.doc_id)
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for frame, size in ((docs, len(rows) - 1), (docs.limit(0), 0)):
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            before, frame = frame, stage(spark, frame, folder)
+            frame.write.mode("overwrite").parquet(f"{folder}/{size}-{name}")
+            frame = spark.read.parquet(f"{folder}/{size}-{name}")
+            if name != "best_fit_packing":
+                assert frame.columns == before.columns
+                for r in frame.collect():
+                    assert {r[x] for x in names} == {r["doc_id"]}
+        got = sorted((str(r["doc_id"]), r["piece"]) for r in frame.collect())
+        assert len({k for k, _ in got}) == len({str(k) for k, _ in rows}) * bool(size)
+        assert sum(p == 0 for _, p in got) == size
