@@ -29,7 +29,8 @@ import facetry.operators.modelbased
 import facetry.operators.statistical  # noqa: F401
 from facetry.functions import summaries as S
 from facetry.functions.scoring import SCORES, score_table
-from facetry.operators.modelbased import OPTIONS, Nodes, nodes_of
+from facetry.operators.modelbased import OPTIONS, Nodes, nodes, nodes_of
+from facetry.operators.pairwise import shared_statistics
 from facetry.operators.relative import relative
 from facetry.plans.data import NAN, Data
 from facetry.plans.registry import DEFAULT_GROUPS, GROUPS, MEASURES, NEEDS, Measure
@@ -98,6 +99,20 @@ def as_frame(spark, values) -> DataFrame:
     return spark.createDataFrame([(str(k), None if v is None else float(v)) for k, v in rows], VALUES)
 
 
+#: What the measures of a group share.
+SHARED = {
+    "general": lambda data: data.distinct,
+    "statistical": lambda data: (data.moments, data.gram if data.target else None),
+    "info-theory": lambda data: data.counts,
+    "itemset": lambda data: data.counts,
+    "model-based": nodes,
+    "landmarking": lambda data: data.moments,
+    "clustering": lambda data: shared_statistics(data, "euclidean"),
+    "concept": lambda data: shared_statistics(data, "euclidean", scaled=True),
+    "complexity": lambda data: shared_statistics(data, "gower", 2, scaled=True),
+}
+#: Groups whose shared part needs no target.
+UNSUPERVISED = ("general", "statistical", "info-theory", "itemset", "concept")
 #: How times are given.
 TIMES = ("avg", "avg_summ", "total", "total_summ")
 
@@ -175,10 +190,23 @@ class Extractor:
         self.random_state, self.quiet = random_state, suppress_warnings
         self.data: Data | None = None
         self.times: dict[str, float] = {}
+        #: Seconds of the last fit's shared jobs, of the last extraction's own, and of both.
+        self.time_precomp = self.time_extract = self.time_total = -1.0
 
-    def fit(self, df: DataFrame, target: str | None = None, **roles) -> Extractor:
-        """Bind a dataset; ``roles`` as of :class:`~facetry.plans.data.Data`."""
+    def fit(self, df: DataFrame, target: str | None = None, precomp_groups=None, **roles) -> Extractor:
+        """Bind a dataset; ``roles`` as of :class:`~facetry.plans.data.Data`. What measures
+        share is computed when the first one asks for it; ``precomp_groups`` (names, or
+        ``"all"`` of the extractor's groups) computes that of some groups now."""
         self.data = Data(df, target, seed=self.random_state, **({"tree": self.tree} | roles))
+        began = time.perf_counter()
+        for g in check_groups(precomp_groups) if precomp_groups else ():
+            if g in SHARED and g in self.groups and (target is not None or g in UNSUPERVISED):
+                try:
+                    SHARED[g](self.data)
+                except FAILURES as failure:  # the measures meet it again
+                    if not self.quiet:
+                        warnings.warn(f"{g} can't be computed ahead: {failure!r}", RuntimeWarning, stacklevel=2)
+        self.time_precomp = time.perf_counter() - began
         return self
 
     def values(self, m: Measure, arguments: dict | None = None):
@@ -204,7 +232,11 @@ class Extractor:
         ``value`` and ``time``) or pandas' DataFrame (one row); ``verbose`` 1 prints how far
         the extraction is, 2 also each measure."""
         check_out_type(out_type)
-        return formatted(self._extracted(arguments, verbose), out_type)
+        began = time.perf_counter()
+        found = formatted(self._extracted(arguments, verbose), out_type)
+        self.time_extract = time.perf_counter() - began
+        self.time_total = max(self.time_precomp, 0.0) + self.time_extract
+        return found
 
     def _extracted(self, arguments: dict[str, dict] | None = None, verbose: int = 0) -> DataFrame:
         if self.data is None:

@@ -157,6 +157,12 @@ ORACLES: dict[str, str] = {
     "streaming_moments": f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(value) AS n, {rv('avg(value)')} AS mean, {rv('stddev_samp(value)')} AS sd, {rv('min(value)')} AS min, {rv('max(value)')} AS max FROM events GROUP BY ALL",
     "streaming_class_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+# scores of a plain rule for the return flag
+RULE = "WITH r AS (SELECT l_returnflag AS y, CASE WHEN l_quantity > 30 THEN 'R' WHEN l_linestatus = 'O' THEN 'N' ELSE 'A' END AS p FROM lineitem), c AS (SELECT y, count(*) AS n, sum(CAST(y = p AS INT)) AS hit FROM r GROUP BY y), s AS (SELECT p AS y, count(*) AS said FROM r GROUP BY p)"
+ORACLES["score_accuracy"] = RULE + " " + out("SELECT '' AS key, sum(hit) / sum(n) AS value FROM c")
+ORACLES["score_balanced_accuracy"] = RULE + " " + out("SELECT '' AS key, avg(hit / CAST(n AS DOUBLE)) AS value FROM c")
+ORACLES["score_f1"] = RULE + " " + out("SELECT '' AS key, sum(n * 2.0 * hit / (n + coalesce(said, 0))) / sum(n) AS value FROM c LEFT JOIN s USING (y)")
+
 # neighbour graph of the embeddings: the nearest 15 % of the rows, edges inside classes
 EDGES = GOWER + ", nb AS (SELECT i, y, j, c, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place FROM p), e AS (SELECT DISTINCT least(i, j) AS u, greatest(i, j) AS v FROM nb, t WHERE place <= greatest(1, CAST(round_even(t.n * 0.15, 0) AS INT)) AND y = c AND d > 0)"
 ORACLES["complexity_density"] = EDGES + " " + out("SELECT '' AS key, 1 - 2.0 * (SELECT count(*) FROM e) / (t.n * (t.n - 1)) AS value FROM t")

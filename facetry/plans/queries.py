@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.functions import summaries as S
+from facetry.functions.scoring import SCORES, score_frame
 from facetry.operators.relative import relative
 from facetry.plans.data import Data
 from facetry.plans.extractor import Extractor, as_frame
@@ -117,6 +118,16 @@ def bootstrap_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.extract_with_confidence(confidence=[0.9, 0.95])
 
 
+def _score(kind: str) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The score of a plain rule for the return flag."""
+        said = F.when(F.col("l_quantity") > 30, "R").when(F.col("l_linestatus") == "O", "N").otherwise("A")
+        rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("truth"), said.alias("said"))
+        return as_frame(spark, score_frame(rows, "truth", "said", kind)).select("key", rounded(F.col("value")).alias("value"))
+
+    return query
+
+
 def _streamed(spark: SparkSession, sf_dir: str, make: Callable, keys: list[str]) -> DataFrame:
     """Run a stream over ``events`` to its end and return the last state of each key.
 
@@ -169,5 +180,7 @@ for _kind in ("gray", "one-hot", "one-hot-full"):
     QUERIES[f"transform_{_kind.replace('-', '_')}"] = _encoding(_kind)
 for _kind in ("standard", "min-max", "robust"):
     QUERIES[f"rescale_{_kind.replace('-', '_')}"] = _rescaling(_kind)
+for _kind in SCORES:
+    QUERIES[f"score_{_kind.replace('-', '_')}"] = _score(_kind)
 for _f in (relative_ranks, relative_landmarking, extract_default, bootstrap_confidence, streaming_moments, streaming_class_counts):
     QUERIES[_f.__name__] = _f

@@ -190,3 +190,13 @@ def test_model_extraction(flowers):
     assert got["leaves"] == got["nodes"] + 1 == (model.numNodes + 1) / 2
     with pytest.raises(TypeError):
         e.extract_from_model("tree")
+
+
+def test_shared_jobs_ahead(flowers):
+    e = X.Extractor(["general", "statistical", "clustering", "concept"], ["freq_class", "mean", "sil", "wg_dist"], summary=["mean"], suppress_warnings=True)
+    lazy = e.fit(flowers, "kind", row_id="id").extract(out_type=dict)
+    assert e.time_extract > 0 and e.time_total >= e.time_extract
+    ahead = e.fit(flowers, "kind", precomp_groups="all", row_id="id")
+    assert e.time_precomp > 0 and set(ahead.data.__dict__["_statistics"]) == {("euclidean", 2.0, scaled, (2.0, 1.0, 1e-9)) for scaled in (False, True)}
+    assert ahead.extract(out_type=dict) == lazy
+    assert len(ahead.data.__dict__["_statistics"]) == 2  # one pass for each kind of distance
