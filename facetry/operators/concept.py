@@ -10,7 +10,11 @@ from facetry.plans.data import Data
 from facetry.plans.registry import measure
 
 
-def _rows(data: Data, metric: str, alpha: float = 2.0, beta: float = 1.0, least: float = 1e-9) -> DataFrame:
+#: Default weights of distances, and the least room that is left.
+ALPHAS = (2.0, 1.0, 1e-9)
+
+
+def _rows(data: Data, metric: str, alpha: float = ALPHAS[0], beta: float = ALPHAS[1], least: float = ALPHAS[2]) -> DataFrame:
     stats = shared_statistics(data, metric, scaled=True, alphas=(alpha, beta, least))
     other = F.col("c") != F.col("y")
     return stats.groupBy("i").agg(F.sum("w").alias("w"), F.sum("wd").alias("wd"), F.sum("e").alias("e"), F.sum(F.when(other, F.col("w")).otherwise(0.0)).alias("wo"), F.sum(F.when(other, F.col("e")).otherwise(0.0)).alias("eo"))

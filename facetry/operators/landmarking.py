@@ -148,6 +148,26 @@ def linear_discr(data: Data, score: str = "accuracy", num_cv_folds: int = 10, sh
     return _scores(data, _linear_scores(data, rows, models, lambda m, x: (x @ m[0] + m[1]).argmax(1)), score)
 
 
+def nearest_rows(a: np.ndarray, b: np.ndarray, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance and place of the nearest row of ``b`` for each of ``a`` that isn't
+    barred (infinite if all are); the first of equals. One matrix product finds what may be
+    nearest to within its rounding, and only that is measured exactly."""
+    centre = b.mean(0)
+    u, v = a - centre, b - centre
+    uu, vv = (u * u).sum(1), (v * v).sum(1)
+    rough = uu[:, None] + vv[None, :] - 2 * (u @ v.T)
+    rough[barred] = np.inf
+    limit = rough.min(1) + 1e-10 * (uu + vv.max())
+    row, place = np.nonzero((rough <= limit[:, None]) & ~barred)
+    gap = a[row] - b[place]
+    exact = (gap * gap).sum(1)
+    order = np.lexsort((place, exact, row))
+    first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+    best, at = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+    best[row[first]], at[row[first]] = exact[first], place[first]
+    return best, at
+
+
 def _nearest(data: Data, rows: DataFrame, columns: dict[int, int] | None) -> DataFrame:
     """``fold, y, p`` by the nearest row of the other folds; ``columns`` names one column
     for each fold, else all count."""
@@ -156,12 +176,14 @@ def _nearest(data: Data, rows: DataFrame, columns: dict[int, int] | None) -> Dat
 
     def kernel(a: Block, b: Block) -> dict[str, np.ndarray]:
         best, at = np.full(len(a.ids), np.inf), np.zeros(len(a.ids), np.int64)
-        for f in np.unique(a.e):
-            own = np.flatnonzero(a.e == f)
-            k = slice(None) if columns is None else [columns[int(f)]]
-            dist = distances(a.x[own][:, k], b.x[:, k], "sqeuclidean")
-            dist[:, b.e == f] = np.inf
-            at[own], best[own] = dist.argmin(1), dist.min(1)
+        if columns is None:
+            best, at = nearest_rows(a.x, b.x, a.e[:, None] == b.e[None, :])
+        else:
+            for f in np.unique(a.e):
+                own, k = np.flatnonzero(a.e == f), [columns[int(f)]]
+                dist = distances(a.x[own][:, k], b.x[:, k], "sqeuclidean")
+                dist[:, b.e == f] = np.inf
+                at[own], best[own] = dist.argmin(1), dist.min(1)
         ok = np.isfinite(best)
         return {"i": a.ids[ok], "fold": a.e[ok].astype(np.int32), "y": a.ys[ok], "d": best[ok], "j": b.ids[at][ok], "c": b.ys[at][ok]}
 

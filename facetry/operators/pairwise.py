@@ -122,7 +122,7 @@ def block_pairs(left: DataFrame, right: DataFrame, kernel: Callable[[Block, Bloc
     return dealt.mapInArrow(work, schema)
 
 
-def shared_statistics(data: Data, metric: str = "euclidean", p: float = 2.0, scaled: bool = False, alphas: tuple[float, float, float] = (2.0, 1.0, 1e-9)) -> DataFrame:
+def shared_statistics(data: Data, metric: str = "euclidean", p: float = 2.0, scaled: bool = False, alphas: tuple[float, float, float] | None = None) -> DataFrame:
     """``row_statistics`` of a dataset with itself, computed once for all measures that ask
     for the same distances."""
     store = data.__dict__.setdefault("_statistics", {})
@@ -141,29 +141,32 @@ def shared_blocks(data: Data, scaled: bool) -> DataFrame:
     return store[scaled]
 
 
-def row_statistics(data: Data, metric: str = "euclidean", p: float = 2.0, scaled: bool = False, left: DataFrame | None = None, right: DataFrame | None = None, alphas: tuple[float, float, float] = (2.0, 1.0, 1e-9)) -> DataFrame:
+def row_statistics(data: Data, metric: str = "euclidean", p: float = 2.0, scaled: bool = False, left: DataFrame | None = None, right: DataFrame | None = None, alphas: tuple[float, float, float] | None = None) -> DataFrame:
     """Per row ``i`` (class ``y``) and class ``c`` of the other rows: their number ``n``,
     sum, sum of squares, min, max of distances, nearest id ``at`` (least of equals), and
-    the weighted sums of the concept measures (``w``, ``wd``, ``e``)."""
+    the weighted sums of the concept measures (``w``, ``wd``, ``e``; zeros without
+    ``alphas``)."""
     right = blocks(data, scaled) if right is None else right
     left = right if left is None else left
     root, d = np.sqrt(data.d), "i long, y int, c int, n long, s double, q double, lo double, at long, hi double, w double, wd double, e double"
-    alpha, beta, least = alphas
+    alpha, beta, least = alphas or (0.0, 0.0, 0.0)
 
     def kernel(a: Block, b: Block) -> dict[str, np.ndarray]:
         dist = distances(a.x, b.x, metric, p)
         other = a.ids[:, None] != b.ids[None, :]
-        room = root - dist
-        room[room <= 0] = least
-        w = np.where(other, np.exp2(-alpha * dist / room), 0.0)
-        e = np.where(other, np.exp2(-beta * np.maximum(1, np.ceil(dist))), 0.0)
+        if alphas:
+            room = root - dist
+            room[room <= 0] = least
+            w = np.where(other, np.exp2(-alpha * dist / room), 0.0)
+            e = np.where(other, np.exp2(-beta * np.maximum(1, np.ceil(dist))), 0.0)
+        none = np.zeros(len(a.ids))
         parts = []
         for c in np.unique(b.ys):
             own = b.ys == c
             ok, dc = other[:, own], dist[:, own]
             far = np.where(ok, dc, np.inf)
             best = far.argmin(1)
-            parts.append((a.ids, a.ys, np.full(len(a.ids), c, np.int32), ok.sum(1), np.where(ok, dc, 0).sum(1), np.where(ok, dc * dc, 0).sum(1), far.min(1), b.ids[own][best], np.where(ok, dc, -np.inf).max(1), w[:, own].sum(1), (w * dist)[:, own].sum(1), e[:, own].sum(1)))
+            parts.append((a.ids, a.ys, np.full(len(a.ids), c, np.int32), ok.sum(1), np.where(ok, dc, 0).sum(1), np.where(ok, dc * dc, 0).sum(1), far.min(1), b.ids[own][best], np.where(ok, dc, -np.inf).max(1), *((w[:, own].sum(1), (w[:, own] * dc).sum(1), e[:, own].sum(1)) if alphas else (none,) * 3)))
         return {k: np.concatenate(v) for k, v in zip("i y c n s q lo at hi w wd e".split(), zip(*parts, strict=True), strict=True)}
 
     found = block_pairs(left, right, kernel, d).filter("n > 0")

@@ -29,6 +29,7 @@ import facetry.operators.modelbased
 import facetry.operators.statistical  # noqa: F401
 from facetry.functions import summaries as S
 from facetry.functions.scoring import SCORES, score_table
+from facetry.operators.concept import ALPHAS
 from facetry.operators.modelbased import OPTIONS, Nodes, nodes, nodes_of
 from facetry.operators.pairwise import shared_statistics
 from facetry.operators.relative import relative
@@ -108,7 +109,7 @@ SHARED = {
     "model-based": nodes,
     "landmarking": lambda data: data.moments,
     "clustering": lambda data: shared_statistics(data, "euclidean"),
-    "concept": lambda data: shared_statistics(data, "euclidean", scaled=True),
+    "concept": lambda data: shared_statistics(data, "euclidean", scaled=True, alphas=ALPHAS),
     "complexity": lambda data: shared_statistics(data, "gower", 2, scaled=True),
 }
 #: Groups whose shared part needs no target.

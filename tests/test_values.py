@@ -201,6 +201,18 @@ def discriminant(x, y, row):
     return int(np.argmax([math.log((y == k).mean()) - 0.5 * (row - x[y == k].mean(0)) @ np.linalg.solve(within, row - x[y == k].mean(0)) for k in range(GROUPS)]))
 
 
+def test_nearest_rows():
+    from facetry.operators.landmarking import nearest_rows
+
+    draw = np.random.RandomState(3)
+    a, b = draw.randint(0, 4, (40, 3)) + 1e6, draw.randint(0, 4, (60, 3)) + 1e6
+    barred = draw.rand(40, 60) < 0.3
+    barred[7] = True
+    dist = np.where(barred, np.inf, ((a[:, None] - b[None]) ** 2).sum(-1))
+    best, at = nearest_rows(a.astype(float), b.astype(float), barred)
+    assert (best == dist.min(1)).all() and (at[best < np.inf] == dist.argmin(1)[best < np.inf]).all() and best[7] == np.inf
+
+
 def test_landmarking(data, table):
     of = lambda name: values(data, "landmarking", name)
     order = lambda x, y: np.argsort(PlainTree(x, y).importances(), kind="stable")
