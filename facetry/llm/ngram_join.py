@@ -6,9 +6,9 @@ is at least ``similarity``, a fraction ``(numerator, denominator)``. The join is
 1. A counting sketch of all shingles gives one global order, rare shingles first. Two
    sets that link share one of their first ``n - ceil(t n) + 1`` shingles in any order.
 2. Equal sets are one entry. Entries with an equal minimum hash and like sizes name a
-   leader, and those that link with it follow it; those left try again with further hashes.
-   So a family of near copies, however large, is told by a comparison or a few for each
-   member, and nothing compares its members with each other again.
+   leader, and those that link with it follow it. So a family of near copies, however
+   large, is told by a comparison or a few for each member, and nothing compares its
+   members with each other again.
 3. Entries are partitioned into groups of at most about ``GROUP_SIZE`` members and
    ``GROUP_SHINGLES`` shingles: families by themselves, all others by their commonest
    shingle and a band of sizes; what is larger is split by a hash of the set.
@@ -58,8 +58,7 @@ SKETCH_BITS = 20
 #: Members of a group and their shingles, and queries that one task takes to a group, at
 #: about most.
 GROUP_SIZE, GROUP_SHINGLES, QUERY_SIZE = 1024, 1 << 22, 4096
-#: Minimum hashes by which near copies find a leader: the first in a round of its own, the
-#: others together in a second. More leave less to the matrix.
+#: Minimum hashes by which near copies find a leader; more leave less to the matrix.
 HASHES = 4
 #: Rows of a side that is broadcast at most; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -253,21 +252,26 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def _families(documents: DataFrame, entries: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """The links ``a, b`` of entries with the leaders they follow."""
-    left = entries.select("fp", "rep", "n", "usual", "lows")
-    edges = None
-    for hashes in (range(1), range(1, HASHES)):
-        # bands are shifted from hash to hash, so that none parts a family in all
-        keys = F.array(*[F.xxhash64(F.col("lows")[k], _band(similarity, k / HASHES), F.lit(k)) for k in hashes])
-        near = left.select("fp", "rep", "usual", F.explode(keys).alias("gid"))
-        # of copies with edits of their own, the one with the commonest shingles has the
-        # fewest edits and is nearest to all others
-        heads = _small(near.groupBy("gid").agg(F.max(F.struct("usual", "fp", "rep")).alias("head"), F.count("*").alias("rows")).filter("rows > 1").select("gid", "head"))
-        own = heads.select("head.fp", "head.rep", "gid", F.lit(True).alias("own"))
-        asks = near.join(heads, "gid").filter(F.col("fp") != F.col("head.fp")).select("fp", "rep", "gid", F.lit(False).alias("own"))
-        found = settled(_opened(documents, _bounded(settled(own.unionByName(asks)), entries, similarity), size, similarity))
-        edges = found if edges is None else edges.unionByName(found)
-        left = left.join(found.select(F.col("a").alias("fp")).distinct(), "fp", "left_anti")
-    return edges
+    # bands are shifted from hash to hash, so that none parts a family in all
+    keys = F.array(*[F.xxhash64(F.col("lows")[k], _band(similarity, k / HASHES), F.lit(k)) for k in range(HASHES)])
+    near = entries.select("fp", "rep", "usual", F.explode(keys).alias("key"))
+    # of copies with edits of their own, the one with the commonest shingles has the fewest
+    # edits and is nearest to all others
+    heads = _small(near.groupBy("key").agg(F.max(F.struct("usual", "fp", "rep")).alias("head"), F.count("*").alias("rows")).filter("rows > 1").select("key", "head"))
+    # hashes mostly name the same leader, who is asked once
+    asks = near.join(heads, "key").filter(F.col("fp") != F.col("head.fp")).select("fp", "rep", "head.fp", "head.rep").toDF("fp", "rep", "leader", "its_rep").distinct()
+    asks = settled(asks.withColumn("gid", F.xxhash64("leader")))
+    own = asks.groupBy("leader", "gid").agg(F.first("its_rep").alias("rep")).select(F.col("leader").alias("fp"), "rep", "gid", F.lit(True).alias("own"))
+    sent = own.unionByName(asks.select("fp", "rep", "gid", F.lit(False).alias("own")))
+    return _opened(documents, _bounded(sent, entries, similarity), size, similarity)
+
+
+def _roots(followed: DataFrame) -> DataFrame:
+    """``v, root`` of the entries that follow: their leader, or whom that one follows. A
+    leader's shingles are commoner than its followers', so none follows itself."""
+    first = followed.groupBy("a").agg(F.max("b").alias("b"))
+    above = first.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    return settled(first.join(above, "b", "left").select(F.col("a").alias("v"), F.coalesce("top", "b").alias("root")))
 
 
 def _grouped(entries: DataFrame, roots: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -460,9 +464,11 @@ def _asked(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     # families ask, and are asked, with all members of the part that the matrix names
     parts = found.filter("source IS NOT NULL").select("source", "gid", "own")
     asking = parts.filter("NOT own").select("source", "gid").distinct()
-    named = asking.select(F.col("source").alias("gid")).unionByName(asking.select("gid")).distinct()
-    met = settled(_may_meet(asking, _unions(entries.join(named, "gid", "left_semi")), similarity))
-    wanted = met.withColumn("own", F.lit(False)).unionByName(parts.filter("own"))
+    wanted = parts.filter("own")
+    if not asking.isEmpty():
+        named = asking.select(F.col("source").alias("gid")).unionByName(asking.select("gid")).distinct()
+        met = _may_meet(asking, _unions(entries.join(named, "gid", "left_semi")), similarity)
+        wanted = wanted.unionByName(met.withColumn("own", F.lit(False)))
     members = entries.filter("NOT single").select(F.col("gid").alias("source"), "fp", "rep")
     return alone.unionByName(wanted.join(members, "source").select("fp", "rep", "gid", "own")).groupBy("fp", "gid").agg(F.first("rep").alias("rep"), F.max("own").alias("own"))
 
@@ -657,7 +663,7 @@ def classes(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, in
     signed = settled(signatures(documents, size, similarity))
     entries = settled(entries_of(signed))
     followed = settled(_families(documents, entries, size, similarity))
-    grouped = settled(_grouped(entries, components(followed), similarity))
+    grouped = settled(_grouped(entries, _roots(followed), similarity))
     forest = followed.unionByName(_opened(documents, _bounded(settled(_asked(grouped, similarity)), entries, similarity), size, similarity))
     roots = components(forest)
     reps = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))

@@ -147,7 +147,7 @@ def test_large_families(spark, frame, words, monkeypatch):
         rows = near_copies(words, count)
         docs = frame(rows)
         entries = nj.settled(nj.entries_of(nj.signatures(docs, 3, similarity)))
-        grouped = nj.settled(nj._grouped(entries, nj.components(nj._families(docs, entries, 3, similarity)), similarity))
+        grouped = nj.settled(nj._grouped(entries, nj._roots(nj._families(docs, entries, 3, similarity)), similarity))
         largest.append(max(r["count"] for r in grouped.groupBy("gid").count().collect()))
         asked.append(nj._asked(grouped, similarity).count())
     assert max(largest) <= 64
