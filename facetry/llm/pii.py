@@ -302,7 +302,9 @@ def pseudonymise_texts(documents: DataFrame, key: bytes | None = None, report: b
     spark = documents.sparkSession
     ship(spark)
     key = key or key_of(spark)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + (", n_found long, kinds string" if report else "")
+    # columns by place, as names may hold anything
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(names, documents.schema, strict=True)) + (", n_found long, kinds string" if report else "")
     types = arrow_types(documents, schema)
     place = documents.columns.index("text")
 
@@ -319,7 +321,7 @@ def pseudonymise_texts(documents: DataFrame, key: bytes | None = None, report: b
                     columns.append(pa.array([",".join(f"{k}:{n}" for k, n in sorted(Counter(y[2] for y in x).items())) for _, x in done], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema=types)
 
-    return documents.mapInArrow(work, schema)
+    return documents.toDF(*names).mapInArrow(work, schema).toDF(*documents.columns, *(["n_found", "kinds"] if report else []))
 
 
 def pii_report(documents: DataFrame, key: bytes | None = None) -> DataFrame:

@@ -399,7 +399,8 @@ def scored(documents: DataFrame, grammar: Grammar, columns: list[str], names: tu
     spark = documents.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(grammar.parts())
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + f", {names[0]} double, {names[1]} int"
+    # columns by place, as names may hold anything
+    schema = "".join(f"c{k} {documents.schema[c].dataType.simpleString()}, " for k, c in enumerate(columns)) + "score double, predicted int"
     types = arrow_types(documents, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +411,8 @@ def scored(documents: DataFrame, grammar: Grammar, columns: list[str], names: tu
                 scores = [own.score(x or "") for x in batch.column(len(columns)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=types)
 
-    return documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_scored_text")).mapInArrow(work, schema)
+    placed = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col("text").alias("scored"))
+    return placed.mapInArrow(work, schema).toDF(*columns, *names)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
