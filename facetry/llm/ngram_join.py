@@ -351,8 +351,9 @@ def _asked_apart(posted: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     part = F.pmod(F.xxhash64("fp", "gid"), F.lit(TOKEN_PARTS)).cast("int")
     fits = (denominator * F.col("highs") >= numerator * F.col("low")) & (numerator * F.col("lows") <= denominator * F.col("high"))
     fits &= (numerator + denominator) * F.least("most", "mosts") >= numerator * (F.col("low") + F.col("lows"))
-    # of two groups, entries of the later ask the earlier; a family isn't asked by its own
-    turn = F.when(F.col("gid") == F.col("target"), F.col("lone") > 1).otherwise((F.col("gid") > F.col("target")) & ((F.col("lone") > 0) | (F.col("kin") != F.col("its_kin"))))
+    # single entries ask families; of two groups of a kind, entries of the later ask the
+    # earlier, and a family isn't asked by its own
+    turn = F.when(F.col("gid") == F.col("target"), F.col("lone") > 1).when(F.col("fp").isNotNull() & (F.col("lone") == 0), True).when(F.col("fp").isNull() & (F.col("lone") > 0), False).otherwise((F.col("gid") > F.col("target")) & ((F.col("lone") > 0) | (F.col("kin") != F.col("its_kin"))))
     met = settled(posted.withColumn("part", part).join(each, ["token", "part"]).filter(fits & turn).select("token", "fp", "rep", "gid", "target"))
     source = F.when(F.col("fp").isNull(), F.col("gid")).alias("source")
     asks = met.select("fp", "rep", source, F.col("target").alias("gid"), (F.col("gid") == F.col("target")).alias("own"))
@@ -422,13 +423,16 @@ def _asked(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
             # the matrix row of this token: its groups with their smallest and largest entries
             # and the most shingles that an entry of each has from this one on
-            order = np.argsort(gid[a:b], kind="stable") + a
-            there, first, count = np.unique(gid[order], return_index=True, return_counts=True)
+            order = np.lexsort((gid[a:b], lone[a:b])) + a
+            names = gid[order]
+            first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            there, count = names[first], np.diff(np.append(first, len(names)))
             lows, highs = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
             mosts = np.maximum.reduceat(most[order], first)
             small, large, room, kin, is_lone = low[order], high[order], most[order], family[order], lone[order]
             for g, at in enumerate(first.tolist()):
-                # of two groups, entries of the later ask the earlier; the order is theirs
+                # of two groups, entries of the later ask the earlier: families come first, so
+                # that single entries ask them and not all of a family each single entry
                 to = at + int(count[g])
                 fits = (denominator * highs[g] >= numerator * small[at:]) & (numerator * lows[g] <= denominator * large[at:])
                 # if this is the first shingle that two sets share, they share no more than
