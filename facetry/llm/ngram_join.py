@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.common import arrow_types
+from facetry.llm.common import arrow_types, giving_back, small_batches
 from facetry.session import settled, ship
 
 #: Words of a shingle and least similarity (numerator, denominator) unless the caller says.
@@ -181,9 +181,9 @@ def levels(documents: DataFrame, size: int) -> np.ndarray:
                 total += np.frombuffer(raw, np.uint32 if len(raw) == 4 << SKETCH_BITS else np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], ["counts"])
 
-    counted = documents.select("text").mapInArrow(count, "counts binary")
+    counted = documents.select("text").mapInArrow(giving_back(count), "counts binary")
     total = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for row in counted.repartition(8).mapInArrow(add, "counts binary").collect():  # 8 rows of at most 8 MB
+    for row in counted.repartition(8).mapInArrow(giving_back(add), "counts binary").collect():  # 8 rows of at most 8 MB
         total += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
     return (6 * np.log2(total + 1.0)).astype(np.uint8)
 
@@ -230,7 +230,7 @@ def signatures(documents: DataFrame, size: int, similarity: tuple[int, int]) ->
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(types)[1:], strict=True)]], schema=types)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNATURES)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(sign), SIGNATURES)
 
 
 def entries_of(signed: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def _unions(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((key, least, np.minimum(most, 65535).astype("<u2").tobytes()), types, strict=True)], schema=types)
 
     sent = members.select("gid", "n", "ranges").repartition("gid").sortWithinPartitions("gid")
-    return sent.mapInArrow(work, schema)
+    return sent.mapInArrow(giving_back(work), schema)
 
 
 def _may_meet(pairs: DataFrame, unions: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -339,7 +339,7 @@ def _may_meet(pairs: DataFrame, unions: DataFrame, similarity: tuple[int, int])
                     out.append((source, gid))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], schema=types)
 
-    return pairs.join(one, "source").join(two, "gid").mapInArrow(work, "source long, gid long")
+    return pairs.join(one, "source").join(two, "gid").mapInArrow(giving_back(work), "source long, gid long")
 
 
 def _asked_apart(posted: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -459,7 +459,7 @@ def _asked(entries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         for part in pa.table([got.column("fp"), got.column("rep"), source, pa.array(target[keep]), pa.array(is_own[keep]), *rest], schema=types).to_batches(max_chunksize=65536):
             yield part
 
-    found = settled(posted.mapInArrow(ask, schema).distinct())
+    found = settled(posted.mapInArrow(giving_back(ask), schema).distinct())
     dealt = found.filter("own IS NULL").select("token", "gid", "fp", "rep", "kin", "low", "high", "most")
     found = found.filter("own IS NOT NULL").select("fp", "rep", "source", "gid", "own")
     if not dealt.isEmpty():
@@ -484,12 +484,14 @@ class _Group:
         self.similarity = similarity
         self.names = [x for x, _ in members]
         self.sizes = np.array([len(x) for _, x in members])
+        # arrays go as soon as they are used: a group may have millions of shingles
         tokens = np.concatenate([x for _, x in members])
-        owner = np.repeat(np.arange(len(members)), self.sizes)
         order = np.argsort(tokens, kind="stable")
-        self.union, self.first = np.unique(tokens[order], return_index=True)
-        self.last = np.append(self.first[1:], len(tokens))
-        self.owner = owner[order]
+        tokens = tokens[order]
+        self.owner = np.repeat(np.arange(len(members), dtype=np.int32), self.sizes)[order]
+        del order
+        self.first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.union, self.last = tokens[self.first], np.append(self.first[1:], len(tokens))
         self.above = list(range(len(members)))  # union-find over the members
 
     def root(self, k: int) -> int:
@@ -547,10 +549,10 @@ def _bounded(asked: DataFrame, entries: DataFrame, similarity: tuple[int, int])
             """Whether any member may link; marks those that may."""
             size = min(len(own), matrix["size"])
             if size not in matrix:
-                matrix[size] = folded(matrix[matrix["size"]], size)
+                matrix[size] = folded(matrix[matrix["size"]], size).astype(np.int32)
                 matrix["union", size] = matrix[size].max(0)
             # the union first: any member's overlap is at most that with it
-            mine, step, hit = folded(own, size), max(1, (1 << 21) // size), False
+            mine, step, hit = folded(own, size).astype(np.int32), max(1, (1 << 21) // size), False
             if (numerator + denominator) * int(np.minimum(matrix["union", size], mine).sum()) < numerator * (matrix["least"] + n):
                 return False
             # then the members, in slices, so that a large group needs no large product
@@ -565,7 +567,10 @@ def _bounded(asked: DataFrame, entries: DataFrame, similarity: tuple[int, int])
         def ready() -> None:
             if not matrix:
                 size = min(len(m[3]) for m in members)
-                matrix.update({"size": size, size: np.array([folded(m[3], size) for m in members], np.int32), "n": np.array([m[2] for m in members]), "wanted": np.zeros(len(members), bool)})
+                rows = np.empty((len(members), size), np.int32)
+                for k, m in enumerate(members):
+                    rows[k] = folded(m[3], size)
+                matrix.update({"size": size, size: rows, "n": np.array([m[2] for m in members]), "wanted": np.zeros(len(members), bool)})
                 matrix["union", size], matrix["least"] = matrix[size].max(0), int(matrix["n"].min())
 
         def close() -> None:
@@ -583,7 +588,7 @@ def _bounded(asked: DataFrame, entries: DataFrame, similarity: tuple[int, int])
                 if (gid, part) != key:
                     close()
                     key, members, matrix = (gid, part), [], {}
-                ranges = np.frombuffer(raw, "<u2").astype(np.int32)
+                ranges = np.frombuffer(raw, "<u2")
                 if own:
                     members.append((fp, rep, n, ranges, query))
                 elif members:
@@ -595,7 +600,7 @@ def _bounded(asked: DataFrame, entries: DataFrame, similarity: tuple[int, int])
         close()
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(types)], schema=types)
 
-    return sent.mapInArrow(bound, schema).distinct()
+    return sent.mapInArrow(giving_back(bound), schema).distinct()
 
 
 def _opened(documents: DataFrame, asked: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
@@ -640,7 +645,7 @@ def _opened(documents: DataFrame, asked: DataFrame, size: int, similarity: tuple
         group = group or _Group([x[:2] for x in members], similarity)
         return [link for fp, found, query in members if query for link in group.links(fp, found)]
 
-    return sent.mapInArrow(open_groups, schema)
+    return sent.mapInArrow(giving_back(open_groups), schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -664,11 +669,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(documents: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    signed = settled(signatures(documents, size, similarity))
-    entries = settled(entries_of(signed))
-    followed = settled(_families(documents, entries, size, similarity))
-    grouped = settled(_grouped(entries, _roots(followed), similarity))
-    forest = followed.unionByName(_opened(documents, _bounded(settled(_asked(grouped, similarity)), entries, similarity), size, similarity))
+    with small_batches(documents.sparkSession):
+        signed = settled(signatures(documents, size, similarity))
+        entries = settled(entries_of(signed))
+        followed = settled(_families(documents, entries, size, similarity))
+        grouped = settled(_grouped(entries, _roots(followed), similarity))
+        found = settled(_opened(documents, _bounded(settled(_asked(grouped, similarity)), entries, similarity), size, similarity))
+    forest = followed.unionByName(found)
     roots = components(forest)
     reps = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     rooted = reps.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.common import arrow_types, texts
+from facetry.llm.common import arrow_types, giving_back, texts
 from facetry.session import settled, ship
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words whose ids a worker remembers.
+#: Distinct words whose ids a task remembers.
 REMEMBERED = 500_000
 #: Counts of tasks and lengths that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -220,19 +220,22 @@ def pieces(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, with
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                rows: list[tuple] = []
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode.ids(texts(batch)), strict=True):
-                    ids += end
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start : start + 4 * capacity]
-                        row = (doc_id, k, start // 4, len(part) // 4, zlib.crc32(part))
-                        rows.append(row + (part,) if with_ids else row)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
-
-    return documents.select("doc_id", "text").mapInArrow(work, schema)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    rows: list[tuple] = []
+                    for doc_id, ids in zip(batch.column(0).to_pylist(), encode.ids(texts(batch)), strict=True):
+                        ids += end
+                        for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                            part = ids[start : start + 4 * capacity]
+                            row = (doc_id, k, start // 4, len(part) // 4, zlib.crc32(part))
+                            rows.append(row + (part,) if with_ids else row)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+        finally:
+            encode.known.clear()  # the worker goes on to other stages
+
+    return documents.select("doc_id", "text").mapInArrow(giving_back(work), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
@@ -336,7 +339,7 @@ def _numbered(cut: DataFrame) -> DataFrame:
                 seen[length] = first + len(own)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(lengths), pa.int32()), pa.array(within)], schema=types)
 
-    return cut.mapInArrow(work, schema)
+    return cut.mapInArrow(giving_back(work), schema)
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -370,7 +373,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, broadcast_rows: int = BROAD
                 offset[own] = at[:, 3] + turn % at[:, 2] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sequence), pa.array(offset)], schema=types)
 
-    return ranked.select(*columns, "rank").mapInArrow(work, schema)
+    return ranked.select(*columns, "rank").mapInArrow(giving_back(work), schema)
 
 
 def packed_documents(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.common import arrow_types
+from facetry.llm.common import arrow_types, giving_back
 from facetry.session import settled, ship
 
 SAMPLE_TOXIC = 2500
@@ -345,7 +345,7 @@ def trained(documents: DataFrame, labels: DataFrame) -> Grammar:
             yield pa.RecordBatch.from_pydict({"words": [" ".join(distinct_words(x or "")) for x in batch.column("text").to_pylist()], "toxic": batch.column("toxic").cast(pa.int32())})
 
     # in an order of its own, so that equally good stems are chosen alike in every run
-    found = sorted((r["toxic"], r["words"]) for r in rows.mapInArrow(words, "words string, toxic int").collect())
+    found = sorted((r["toxic"], r["words"]) for r in rows.mapInArrow(giving_back(words), "words string, toxic int").collect())
     grammar = learn_stems([(w.split(" ") if w else [], y) for y, w in found])
     del found
     held = documents.sparkSession.sparkContext.broadcast(grammar.parts())
@@ -355,7 +355,7 @@ def trained(documents: DataFrame, labels: DataFrame) -> Grammar:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"evidence": [own.evidence(x or "").tolist() for x in batch.column("text").to_pylist()], "toxic": batch.column("toxic").cast(pa.int32())})
 
-    weighed = sorted((r["toxic"], list(r["evidence"])) for r in rows.mapInArrow(weigh, "evidence array<double>, toxic int").collect())
+    weighed = sorted((r["toxic"], list(r["evidence"])) for r in rows.mapInArrow(giving_back(weigh), "evidence array<double>, toxic int").collect())
     return fit_kinds(grammar, [(e, y) for y, e in weighed])
 
 
@@ -412,7 +412,7 @@ def scored(documents: DataFrame, grammar: Grammar, columns: list[str], names: tu
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=types)
 
     placed = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col("text").alias("scored"))
-    return placed.mapInArrow(work, schema).toDF(*columns, *names)
+    return placed.mapInArrow(giving_back(work), schema).toDF(*columns, *names)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

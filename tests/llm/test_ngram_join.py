@@ -154,3 +154,30 @@ def test_large_families(spark, frame, words, monkeypatch):
     assert asked[0] <= 2 * 660 and asked[1] <= 2 * 1300
     got = {r["doc_id"]: r["component_id"] for r in nj.classes(docs).collect()}
     assert got == {k: 0 if k < count else k for k, _ in rows}
+
+
+def test_memory_of_a_group():
+    """An open group takes at most 48 bytes a shingle beside the members' own arrays."""
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    members = [(k.to_bytes(2, "big"), np.unique(draw.integers(0, 2**63, 500).astype(np.uint64))) for k in range(500)]
+    tracemalloc.start()
+    try:
+        group = nj._Group(members, (90, 100))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(group.union) == 250_000
+    assert most < 48 * 250_000
+
+
+def test_texts_are_sent_in_small_batches(spark, monkeypatch):
+    """All texts of a table of large rows never meet in one batch, and the session's own
+    setting is as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, sign = spark.conf.get(name), [], nj.signatures
+    monkeypatch.setattr(nj, "signatures", lambda *a: seen.append(spark.conf.get(name)) or sign(*a))
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in nj.classes(docs).collect()} == {(1, 1), (2, 1)}
+    assert seen == [str(4 << 20)] and spark.conf.get(name) == before

@@ -61,3 +61,17 @@ def test_packed_documents_by_brute_force(spark, frame, words):
         assert at <= 4096
     assert len(bins) <= -(-sum(r["length"] for r in found) // 4096) + 1
     assert packing.packed_documents(frame([])).count() == 0
+
+
+def test_workers_keep_no_words(spark, words):
+    """Python workers go on to other stages without the words of the texts they packed."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(k, " ".join(words)) for k in range(8)], "doc_id long, text string")
+    assert packing.pieces(docs, packing.default_tokenizer()).count() == 8
+
+    def known(batches):
+        yield pa.RecordBatch.from_pydict({"known": pa.array([sum(len(x.known) for x in packing._TOKENIZERS.values())], pa.int64())})
+
+    held = [r["known"] for r in spark.range(0, 16, 1, 8).mapInArrow(known, "known long").collect()]
+    assert len(held) == 8 and not any(held)
