@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.kernels import linear_svm, standardise
-from facetry.operators.pairwise import Block, block_pairs, blocks, distances, nearest, neighbours, shared_blocks, shared_statistics
+from facetry.operators.pairwise import Block, Rough, Rows, block_pairs, blocks, cells, distances, exact, met, nearest, neighbours, row_statistics, shared_blocks, shared_statistics
 from facetry.plans.data import NAN, Data
 from facetry.plans.registry import NotConverged, TooLarge, measure
 from facetry.session import settled, ship
@@ -317,6 +317,9 @@ def interpolated(data: Data) -> DataFrame:
 def n4(data: Data, metric: str = "gower", p: float = 2, n_neighbors: int = 1):
     """Per interpolated row, whether its nearest neighbours vote for another class."""
     left, right = blocks(data, True, interpolated(data)), shared_blocks(data, True)
+    if n_neighbors == 1:
+        best = row_statistics(data, metric, p, left, right).groupBy("i", "y").agg(F.min_by("c", F.struct("lo", "at")).alias("c"))
+        return best.select(F.col("i").cast("string").alias("key"), (F.col("c") != F.col("y")).cast("double").alias("value"))
 
     def kernel(a: Block, b: Block) -> dict[str, np.ndarray]:
         dist = distances(a.x, b.x, metric, p)
@@ -425,10 +428,19 @@ def lsc(data: Data, metric: str = "gower", p: float = 2):
     enemy = nearest(shared_statistics(data, metric, p, scaled=True), True).select(F.col("i").alias("_id"), F.col("d").alias("enemy"))
     packed = blocks(data, True, data.matrix.join(enemy, "_id"), "enemy")
 
-    def kernel(a: Block, b: Block) -> dict[str, np.ndarray]:
-        return {"n": np.array([int((distances(a.x, b.x, metric, p) < b.e[None, :]).sum())])}
-
-    return 1 - (block_pairs(packed, packed, kernel, "n long").agg(F.sum("n")).first()[0] or 0) / data.n**2
+    def work(a: Rows, b: Rows | None) -> Iterator[dict[str, np.ndarray]]:
+        rough, other, total = Rough(a, b, metric, p), a if b is None else b, 0
+        for (_, i), (_, j), same in met(a, b):
+            tile = rough.tile(i, j)
+            # both rows of a pair have a nearest enemy
+            for e in (other.e[j][None, :],) if same else (other.e[j][None, :], a.e[i][:, None]):
+                low, high = (rough.limits(rough.of(e), sign, tile) for sign in (-1, 1))
+                total += int((tile < low).sum())
+                row, column = np.nonzero((tile >= low) & (tile <= high))
+                total += int((exact(a.x[i][row], other.x[j][column], metric, p) < np.broadcast_to(e, tile.shape)[row, column]).sum())
+        yield {"n": np.array([total])}
+
+    return 1 - (cells(packed, work, "n long").agg(F.sum("n")).first()[0] or 0) / data.n**2
 
 
 def _edges(data: Data, metric: str, p: float, radius_frac: float) -> DataFrame:
