@@ -178,7 +178,11 @@ def f4(data: Data):
 
 
 def _machines(data: Data, max_iter: int, seed: int | None) -> list[dict]:
-    """Per pair of classes: error sum, training error and error on interpolated rows."""
+    """Per pair of classes: error sum, training error and error on interpolated rows; with
+    a seed, one fit for all measures."""
+    store = data.__dict__.setdefault("_fitted", {})
+    if seed is not None and (max_iter, seed) in store:
+        return store[max_iter, seed]
     pairs, names = _pairs(data), [c for c, _ in data.classes]
     rows = _pair_rows(data)
 
@@ -188,7 +192,7 @@ def _machines(data: Data, max_iter: int, seed: int | None) -> list[dict]:
         x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         first = np.array([v == names[pairs[pair][0]] for v in table.column("y").to_pylist()])
         z, mean, sd = standardise(x)
-        w = linear_svm(z, np.where(first, 1.0, -1.0), max_iter=int(max_iter), seed=0 if seed is None else seed)
+        w = linear_svm(z, np.where(first, 1.0, -1.0), max_iter=int(max_iter))
         decided = z @ w[:-1] + w[-1]
         wrong = (decided > 0) != first
         random = np.random.RandomState(None if seed is None else seed + pair + 1)
@@ -200,7 +204,8 @@ def _machines(data: Data, max_iter: int, seed: int | None) -> list[dict]:
             errors += int((((made - mean) / sd @ w[:-1] + w[-1] > 0) != own[own][0] if own is first else ((made - mean) / sd @ w[:-1] + w[-1] > 0)).sum())
         return pa.table({"pair": pa.array([pair], pa.int32()), "distance": [float(np.abs(decided[wrong]).sum() / len(x))], "error": [float(wrong.mean())], "made": [errors / len(x)]})
 
-    return sorted((r.asDict() for r in rows.groupBy("pair").applyInArrow(fit, "pair int, distance double, error double, made double").collect()), key=lambda r: r["pair"])
+    store[max_iter, seed] = sorted((r.asDict() for r in rows.groupBy("pair").applyInArrow(fit, "pair int, distance double, error double, made double").collect()), key=lambda r: r["pair"])
+    return store[max_iter, seed]
 
 
 def _by_pair(data: Data, rows: list[dict], of) -> list[tuple[str, float]]:
