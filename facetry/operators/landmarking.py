@@ -3,7 +3,7 @@
 Fold numbers come from ranks inside each class. Gaussian Bayes and the linear
 discriminant are made of per-fold, per-class sums (training sums are totals less the
 fold's), nearest neighbours of the block kernel with other folds only; tree learners are
-one Arrow task per fold."""
+one Arrow task per fold. Trees and neighbours see equal rows once, with their numbers."""
 
 from __future__ import annotations
 
@@ -11,17 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.kernels import Tree
 from facetry.functions.scoring import score_table
-from facetry.operators.pairwise import Block, block_pairs, blocks, distances
+from facetry.operators.pairwise import Block, block_pairs, blocks
 from facetry.plans.data import Data
 from facetry.plans.registry import TooLarge, measure
 from facetry.session import settled, ship
 
-#: Rows that one task may hold for the exact tree learners.
+#: Different rows that one task may hold for the exact tree learners.
 MAX_TASK_ROWS = 1_000_000
 
 
@@ -66,9 +66,10 @@ def folded(data: Data, num_cv_folds: int = 10, shuffle_cv_folds: bool = False) -
 
 
 def _scores(data: Data, predicted: DataFrame, score: str) -> list[tuple[str, float]]:
-    """Score of each fold from ``fold, y, p`` rows, by counts."""
+    """Score of each fold from ``fold, y, p, n`` rows, or one row for each prediction."""
+    n = F.sum("n") if "n" in predicted.columns else F.count("*")
     table: dict[int, dict[tuple[str, str], int]] = {}
-    for r in predicted.groupBy("fold", "y", "p").agg(F.count("*").alias("n")).collect():
+    for r in predicted.groupBy("fold", "y", "p").agg(n.alias("n")).collect():
         table.setdefault(r["fold"], {})[r["y"], r["p"]] = r["n"]
     return [(str(f), score_table(t, score)) for f, t in sorted(table.items())]
 
@@ -168,29 +169,56 @@ def nearest_rows(a: np.ndarray, b: np.ndarray, barred: np.ndarray) -> tuple[np.n
     return best, at
 
 
-def _nearest(data: Data, rows: DataFrame, columns: dict[int, int] | None) -> DataFrame:
-    """``fold, y, p`` by the nearest row of the other folds; ``columns`` names one column
-    for each fold, else all count."""
+def _nearest(data: Data, rows: DataFrame) -> DataFrame:
+    """``fold, y, p, n`` by the nearest row of the other folds. Of equal rows, those of a
+    fold and class ask once; and two can be nearest: the one of the least id, and for its
+    own fold, the one of the least id of the other folds."""
     names = [c for c, _ in data.classes]
-    packed = blocks(data, False, rows, "fold")
+    asking = settled(rows.groupBy("x", "fold", "_y").agg(F.min("_id").alias("_id"), F.count("*").alias("n")))
+    own = asking.groupBy("x", "fold").agg(F.min_by("_y", "_id").alias("_y"), F.min("_id").alias("_id"))
+    place = F.row_number().over(Window.partitionBy("x").orderBy("_id"))  # a row for each fold
+    left, right = blocks(data, False, asking, "fold"), blocks(data, False, own.withColumn("place", place).filter("place <= 2"), "fold")
 
     def kernel(a: Block, b: Block) -> dict[str, np.ndarray]:
-        best, at = np.full(len(a.ids), np.inf), np.zeros(len(a.ids), np.int64)
-        if columns is None:
-            best, at = nearest_rows(a.x, b.x, a.e[:, None] == b.e[None, :])
-        else:
-            for f in np.unique(a.e):
-                own, k = np.flatnonzero(a.e == f), [columns[int(f)]]
-                dist = distances(a.x[own][:, k], b.x[:, k], "sqeuclidean")
-                dist[:, b.e == f] = np.inf
-                at[own], best[own] = dist.argmin(1), dist.min(1)
+        best, at = nearest_rows(a.x, b.x, a.e[:, None] == b.e[None, :])
         ok = np.isfinite(best)
         return {"i": a.ids[ok], "fold": a.e[ok].astype(np.int32), "y": a.ys[ok], "d": best[ok], "j": b.ids[at][ok], "c": b.ys[at][ok]}
 
-    found = block_pairs(packed, packed, kernel, "i long, fold int, y int, d double, j long, c int")
-    near = found.groupBy("i", "fold", "y").agg(F.min_by("c", F.struct("d", "j")).alias("c"))
+    found = block_pairs(left, right, kernel, "i long, fold int, y int, d double, j long, c int")
+    near = found.groupBy("i", "fold", "y").agg(F.min_by("c", F.struct("d", "j")).alias("c")).join(asking.select(F.col("_id").alias("i"), "n"), "i")
     label = F.array(*[F.lit(c) for c in names])
-    return near.select("fold", F.element_at(label, F.col("y") + 1).alias("y"), F.element_at(label, F.col("c") + 1).alias("p"))
+    return near.select("fold", F.element_at(label, F.col("y") + 1).alias("y"), F.element_at(label, F.col("c") + 1).alias("p"), "n")
+
+
+def nearest_values(v: np.ndarray, values: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The place of the nearest of sorted, different values for each of ``v``; the least id
+    of two equally near."""
+    after = np.searchsorted(values, v)
+    low, high = np.maximum(after - 1, 0), np.minimum(after, len(values) - 1)
+    one, two = (v - values[low]) ** 2, (v - values[high]) ** 2
+    return np.where((one < two) | (one == two) & (ids[low] <= ids[high]), low, high)
+
+
+def _nearest_on(data: Data, rows: DataFrame, columns: dict[int, int]) -> DataFrame:
+    """``fold, y, p, n`` by the nearest row of the other folds on one column for each fold:
+    a task for each fold looks its different values up among those of the others."""
+    ship(data.spark)
+    folds = sorted(columns)
+    runs = F.array(*[F.struct(F.lit(f).alias("run"), F.col("x")[columns[f]].alias("v")) for f in folds])
+    each = rows.select("_id", "_y", "fold", F.explode(runs).alias("r")).select("_id", "_y", "fold", "r.*").withColumn("test", F.col("fold") == F.col("run"))
+    used = each.groupBy("run", "v", "test", F.when(F.col("test"), F.col("_y")).alias("y")).agg(F.min("_id").alias("id"), F.min_by("_y", "_id").alias("c"), F.count("*").alias("n"))
+
+    def work(table: pa.Table) -> pa.Table:
+        test = table.column("test").to_numpy(zero_copy_only=False)
+        v, n, ids = (table.column(c).to_numpy() for c in ("v", "n", "id"))
+        order = np.flatnonzero(~test)
+        order = order[np.argsort(v[order], kind="stable")]
+        if not len(order):
+            test[:] = False
+        at = order[nearest_values(v[test], v[order], ids[order])] if len(order) else order
+        return pa.table({"fold": pa.array(np.full(int(test.sum()), table.column("run")[0].as_py(), np.int32)), "y": table.column("y").filter(pa.array(test)), "p": table.column("c").take(pa.array(at)), "n": n[test]})
+
+    return used.groupBy("run").applyInArrow(work, "fold int, y string, p string, n long")
 
 
 @measure("landmarking", supervised=True)
@@ -198,32 +226,35 @@ def one_nn(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffle_
     """Scores of the nearest neighbour."""
     data = sampled(data, lm_sample_frac)
     rows = folded(data, num_cv_folds, shuffle_cv_folds)
-    return _scores(data, _nearest(data, rows, None), score)
+    return _scores(data, _nearest(data, rows), score)
 
 
 def _per_fold(data: Data, rows: DataFrame, learn) -> DataFrame:
-    """``learn(x, y, test, fold)`` for each fold in a task of its own; it gives rows for
-    the tests (or one row)."""
-    if data.n > MAX_TASK_ROWS:
-        raise TooLarge(f"the exact tree learners hold a fold's training rows in one task; at most {MAX_TASK_ROWS} rows")
-    ship(data.spark)
+    """``fold, y, p, n`` by ``learn(x, y, weight, test, classes)`` for each fold in a task
+    of its own, over the different rows with their numbers; it gives classes of the tests
+    (or one number)."""
     folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+    counts = F.array(*[F.count_if(F.col("fold") == f) for f in folds])
+    different = settled(rows.groupBy("_y", "x").agg(counts.alias("n")))
+    if different.count() > MAX_TASK_ROWS:
+        raise TooLarge(f"the exact tree learners hold a fold's different training rows in one task; at most {MAX_TASK_ROWS} of them")
+    ship(data.spark)
     names = {c: k for k, (c, _) in enumerate(data.classes)}
     called = list(names)
-    each = rows.select("_id", "_y", "x", "fold", F.explode(F.array(*[F.lit(f) for f in folds])).alias("run"))
+    each = different.select("_y", "x", "n", F.explode(F.array(*[F.lit(k) for k in range(len(folds))])).alias("run"))
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_id")
-        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        x, n = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1) for c in ("x", "n"))
         y = np.array([names[v] for v in table.column("_y").to_pylist()])
         run = table.column("run")[0].as_py()
-        test = table.column("fold").to_numpy() == run
-        got = learn(x[~test], y[~test], x[test], run, len(names))
+        own, weight = n[:, run], n.sum(1) - n[:, run]
+        test, train = own > 0, weight > 0
+        got = learn(x[train], y[train], weight[train], x[test], len(names))
         if isinstance(got, int):
-            return pa.table({"fold": pa.array([run], pa.int32()), "y": [""], "p": [str(got)]})
-        return pa.table({"fold": pa.array([run] * int(test.sum()), pa.int32()), "y": [called[k] for k in y[test]], "p": [called[k] for k in got]})
+            return pa.table({"fold": pa.array([folds[run]], pa.int32()), "y": [""], "p": [str(got)], "n": pa.array([1], pa.int64())})
+        return pa.table({"fold": pa.array([folds[run]] * int(test.sum()), pa.int32()), "y": [called[k] for k in y[test]], "p": [called[k] for k in got], "n": own[test]})
 
-    return each.groupBy("run").applyInArrow(work, "fold int, y string, p string")
+    return each.groupBy("run").applyInArrow(work, "fold int, y string, p string, n long")
 
 
 @measure("landmarking", supervised=True)
@@ -231,7 +262,7 @@ def best_node(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuff
     """Scores of a tree with one split on any column."""
     data = sampled(data, lm_sample_frac)
     rows = folded(data, num_cv_folds, shuffle_cv_folds)
-    return _scores(data, _per_fold(data, rows, lambda x, y, t, _, k: Tree(x, y, k, 1).predict(t)), score)
+    return _scores(data, _per_fold(data, rows, lambda x, y, w, t, k: Tree(x, y, k, 1, weight=w).predict(t)), score)
 
 
 @measure("landmarking", supervised=True)
@@ -240,20 +271,20 @@ def random_node(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shu
     data = sampled(data, lm_sample_frac)
     rows = folded(data, num_cv_folds, shuffle_cv_folds)
     drawn = int(np.random.RandomState(data.seed or 0).randint(0, data.d))
-    return _scores(data, _per_fold(data, rows, lambda x, y, t, _, k: Tree(x[:, [drawn]], y, k, 1).predict(t[:, [drawn]])), score)
+    return _scores(data, _per_fold(data, rows, lambda x, y, w, t, k: Tree(x[:, [drawn]], y, k, 1, weight=w).predict(t[:, [drawn]])), score)
 
 
-def _ranking(x, y, k) -> np.ndarray:
-    return np.argsort(Tree(x, y, k).importances(), kind="stable")
+def _ranking(x, y, w, k) -> np.ndarray:
+    return np.argsort(Tree(x, y, k, weight=w).importances(), kind="stable")
 
 
 @measure("landmarking", supervised=True)
 def worst_node(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffle_cv_folds: bool = False, lm_sample_frac: float = 1.0):
     """Scores of a tree with one split on the least important column of each fold."""
 
-    def learn(x, y, t, _, k):
-        column = [int(_ranking(x, y, k)[0])]
-        return Tree(x[:, column], y, k, 1).predict(t[:, column])
+    def learn(x, y, w, t, k):
+        column = [int(_ranking(x, y, w, k)[0])]
+        return Tree(x[:, column], y, k, 1, weight=w).predict(t[:, column])
 
     data = sampled(data, lm_sample_frac)
     rows = folded(data, num_cv_folds, shuffle_cv_folds)
@@ -265,5 +296,5 @@ def elite_nn(data: Data, score: str = "accuracy", num_cv_folds: int = 10, shuffl
     """Scores of the nearest neighbour on the most important column of each fold."""
     data = sampled(data, lm_sample_frac)
     rows = folded(data, num_cv_folds, shuffle_cv_folds)
-    best = _per_fold(data, rows, lambda x, y, t, _, k: int(_ranking(x, y, k)[-1])).collect()
-    return _scores(data, _nearest(data, rows, {r["fold"]: int(r["p"]) for r in best}), score)
+    best = _per_fold(data, rows, lambda x, y, w, t, k: int(_ranking(x, y, w, k)[-1])).collect()
+    return _scores(data, _nearest_on(data, rows, {r["fold"]: int(r["p"]) for r in best}), score)
