@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.kernels import linear_svm, standardise
-from facetry.operators.pairwise import Block, Rough, Rows, block_pairs, blocks, cells, distances, exact, met, nearest, neighbours, row_statistics, shared_blocks, shared_statistics
+from facetry.operators.pairwise import Block, Rough, Rows, block_pairs, blocks, cells, distances, exact, met, nearest, reach, row_statistics, scaling, shared_blocks, shared_statistics
 from facetry.plans.data import NAN, Data
 from facetry.plans.registry import NotConverged, TooLarge, measure
 from facetry.session import settled, ship
 
 #: Rows at most for what one task has to hold (t1; the class pairs of l1, l2, l3).
 MAX_TASK_ROWS = 200_000
+#: Rows of a class that meet others of it in a task of the neighbour graph.
+GROUP = 4096
 
 
 def _pairs(data: Data) -> list[tuple[int, int]]:
@@ -449,32 +451,107 @@ def lsc(data: Data, metric: str = "gower", p: float = 2):
 
 
 def _edges(data: Data, metric: str, p: float, radius_frac: float) -> DataFrame:
-    """``u, v``: neighbours of a class, each pair once (zero distances are no edges)."""
+    """``y, g, h, parts, u, v, bits``: the adjacency of two groups of a class (of ``parts``)
+    with the ids of their rows (zero distances are no edges), so each edge is there from
+    both ends. The reach of each row comes first; after that only
+    rows of a class meet, and an edge is a bit and no row."""
     store, key = data.__dict__.setdefault("_edges", {}), (metric, p, radius_frac)
-    if key not in store:
-        k = max(1, int(round(data.n * radius_frac) if 0 < radius_frac < 1 else radius_frac))
-        near = neighbours(data, k, metric, p).filter("y = c AND d > 0")
-        store[key] = settled(near.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct())
+    if key in store:
+        return store[key]
+    k = max(1, int(round(data.n * radius_frac) if 0 < radius_frac < 1 else radius_frac))
+    far = settled(reach(data, k, metric, p))
+    rows = data.matrix.join(far, "_id")
+    low, span = scaling(data, True)
+    shift, size = F.array(*[F.lit(float(v)) for v in low]), F.array(*[F.lit(float(v)) for v in span])
+    scaled = F.transform("x", lambda v, j: (v - F.get(shift, j)) / F.get(size, j))
+    each = settled(rows.select("_id", "_y", scaled.alias("x"), "d", "j"))
+    names = {c: n for n, (c, _) in enumerate(data.classes)}
+    groups = {c: max(1, -(-n // GROUP)) for c, n in data.classes}
+    ship(data.spark)
+    number = F.element_at(F.create_map(*[z for c, n in groups.items() for z in (F.lit(c), F.lit(n))]), F.col("_y"))
+    own = each.withColumn("parts", number).withColumn("parts", F.col("parts").cast("long")).withColumn("g", F.pmod(F.xxhash64("_id"), F.col("parts")))
+    one = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("h")).withColumn("side", F.lit(0))
+    two = own.withColumnRenamed("g", "h").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g")).withColumn("side", F.lit(1))
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_id")
+        side = table.column("side").to_numpy()
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        ids, d, j = (table.column(c).to_numpy() for c in ("_id", "d", "j"))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        bits = []
+        for at in range(0, len(a), 256):
+            r = a[at : at + 256]
+            dist = distances(x[r], x[b], metric, p)
+            inside = (dist < d[r, None]) | (dist == d[r, None]) & (ids[None, b] <= j[r, None])
+            inside |= (dist < d[None, b]) | (dist == d[None, b]) & (ids[r, None] <= j[None, b])
+            inside &= (dist > 0) & (ids[r, None] != ids[None, b])
+            bits += [row.tobytes() for row in np.packbits(inside, axis=1)]
+        place = [table.column(c)[0].as_py() for c in ("g", "h", "parts")]
+        row = [names[table.column("_y")[0].as_py()], *place, ids[a].tobytes(), ids[b].tobytes(), b"".join(bits)]
+        return pa.table({c: pa.array([v] if len(a) and len(b) else [], t) for c, v, t in zip(("y", "g", "h", "parts", "u", "v", "bits"), row, [pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 3], strict=True)})
+
+    met = one.unionByName(two).groupBy("_y", "g", "h").applyInArrow(work, "y int, g long, h long, parts long, u binary, v binary, bits binary")
+    store[key] = settled(met)
     return store[key]
 
 
+def _bits(u: bytes, v: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the rows and columns of an adjacency, and its packed rows."""
+    ids, others = np.frombuffer(u, np.int64), np.frombuffer(v, np.int64)
+    return ids, others, np.frombuffer(bits, np.uint8).reshape(len(ids), -1)
+
+
+def _degrees(edges: DataFrame) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, _, packed = _bits(*[batch.column(c)[k].as_py() for c in ("u", "v", "bits")])
+                yield pa.RecordBatch.from_pydict({"u": ids, "n": np.bitwise_count(packed).sum(1, dtype=np.int64)})
+
+    return edges.select("u", "v", "bits").mapInArrow(work, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
+
+
 @measure("complexity", scalar=True, supervised=True)
 def density(data: Data, metric: str = "gower", p: float = 2.0, radius_frac: float = 0.15):
     """One less the density of the neighbour graph."""
-    return 1 - 2 * _edges(data, metric, p, radius_frac).count() / (data.n * (data.n - 1))
+    ends = _degrees(_edges(data, metric, p, radius_frac)).agg(F.sum("n")).first()[0] or 0
+    return 1 - ends / (data.n * (data.n - 1))
 
 
 @measure("complexity", scalar=True, supervised=True)
 def cls_coef(data: Data, metric: str = "gower", p: float = 2.0, radius_frac: float = 0.15):
-    """One less the transitivity of the neighbour graph. Triangles are counted from each
-    edge's lesser end, by ids."""
+    """One less the transitivity of the neighbour graph. Closed paths of three edges are
+    products of the adjacency's rows; a task has a group's rows and the bits of its class."""
     edges = _edges(data, metric, p, radius_frac)
-    out = edges.groupBy("u").agg(F.collect_list("v").alias("after"))
-    pairs = edges.join(out, "u").join(out.select(F.col("u").alias("v"), F.col("after").alias("then")), "v")
-    triangles = pairs.agg(F.sum(F.size(F.array_intersect("after", "then")))).first()[0] or 0
-    degree = edges.select("u").unionAll(edges.select("v")).groupBy("u").count()
-    triples = degree.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-    return 1 - 3 * triangles / triples if triples else NAN
+
+    def work(table: pa.Table) -> pa.Table:
+        cells = [_bits(*[table.column(c)[k].as_py() for c in ("u", "v", "bits")]) for k in range(table.num_rows)]
+        ids = np.unique(np.concatenate([c[0] for c in cells]))
+        whole = np.zeros((len(ids), len(ids) // 8 + 1), np.uint8)
+        for at in range(0, len(ids), 512):  # rows of the class, put together
+            part = np.zeros((min(512, len(ids) - at), whole.shape[1] * 8), np.uint8)
+            for u, v, packed in cells:
+                place = np.searchsorted(ids, u)
+                own = np.flatnonzero((place >= at) & (place < at + len(part)))
+                part[np.ix_(place[own] - at, np.searchsorted(ids, v))] = np.unpackbits(packed[own], axis=1, count=len(v))
+            whole[at : at + len(part)] = np.packbits(part, axis=1)
+        run = table.column("run")[0].as_py()
+        mine = np.searchsorted(ids, np.concatenate([np.zeros(0, np.int64), *[c[0] for c, g, h in zip(cells, table.column("g").to_pylist(), table.column("h").to_pylist(), strict=True) if g == run and h == run]]))
+        wide = lambda rows: np.unpackbits(whole[rows], axis=1, count=len(ids)).astype(np.float32)
+        total = 0
+        for low in range(0, len(mine), 512):
+            left = wide(mine[low : low + 512])
+            for at in range(0, len(ids), 512):
+                # numbers below 2^24 are exact
+                paths = left @ wide(np.arange(at, min(at + 512, len(ids)))).T
+                total += int((paths * left[:, at : at + 512]).sum(dtype=np.float64))
+        return pa.table({"n": pa.array([total], pa.int64())})
+
+    each = edges.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    closed = each.groupBy("y", "run").applyInArrow(work, "n long").agg(F.sum("n")).first()[0] or 0
+    triples = _degrees(edges).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    return 1 - closed / 2 / triples if triples else NAN
 
 
 def leading_vector(multiply: Callable[[np.ndarray], np.ndarray], n: int, basis: int = 24, restarts: int = 40, tolerance: float = 1e-8) -> np.ndarray:
@@ -509,13 +586,11 @@ def leading_vector(multiply: Callable[[np.ndarray], np.ndarray], n: int, basis:
 @measure("complexity", supervised=True)
 def hubs(data: Data, metric: str = "gower", p: float = 2.0, radius_frac: float = 0.15):
     """Per row, one less its hub score in the neighbour graph: the leading eigenvector of
-    the adjacency lists, whose products with a vector are one job each (a score for each
+    the adjacency's bits, whose products with a vector are one job each (a score for each
     row is sent out and comes back, so rows are bounded)."""
     if data.n > 5_000_000:
         raise TooLarge("hubs sends a score for each row to every task; at most 5,000,000 rows")
     edges = _edges(data, metric, p, radius_frac)
-    ship(data.spark)
-    lists = settled(edges.unionAll(edges.select("v", "u")).groupBy("u").agg(F.collect_list("v").alias("near")))
     ids = np.array(sorted(r["_id"] for r in data.source.select("_id").collect()), np.int64)
 
     def multiply(score: np.ndarray) -> np.ndarray:
@@ -524,16 +599,17 @@ def hubs(data: Data, metric: str = "gower", p: float = 2.0, radius_frac: float =
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, values = held.value
             for batch in batches:
-                near = batch.column("near")
-                flat = values[np.searchsorted(names, near.flatten().to_numpy())]
-                starts = near.offsets.to_numpy()[:-1] - near.offsets.to_numpy()[0]
-                yield pa.RecordBatch.from_pydict({"u": batch.column("u"), "s": pa.array(np.add.reduceat(flat, starts) if len(starts) else np.zeros(0))})
+                for k in range(batch.num_rows):
+                    u, v, packed = _bits(*[batch.column(c)[k].as_py() for c in ("u", "v", "bits")])
+                    own = values[np.searchsorted(names, v)]
+                    parts = [np.unpackbits(packed[at : at + 512], axis=1, count=len(v)) @ own for at in range(0, len(u), 512)]
+                    yield pa.RecordBatch.from_pydict({"u": u, "s": np.concatenate(parts)})
 
         out = np.zeros(len(ids))
-        for r in lists.mapInArrow(step, "u long, s double").collect():
+        for r in edges.select("u", "v", "bits").mapInArrow(step, "u long, s double").groupBy("u").agg(F.sum("s").alias("s")).collect():
             out[np.searchsorted(ids, r["u"])] = r["s"]
         held.destroy()
         return out
 
-    score = leading_vector(multiply, len(ids)) if not lists.isEmpty() else np.zeros(len(ids))
+    score = leading_vector(multiply, len(ids)) if _degrees(edges).filter("n > 0").limit(1).count() else np.zeros(len(ids))
     return data.spark.createDataFrame([(str(i), float(1 - s)) for i, s in zip(ids, score, strict=True)], "key string, value double")
