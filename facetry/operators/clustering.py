@@ -12,11 +12,10 @@ from facetry.plans.data import NAN, Data
 from facetry.plans.registry import measure
 
 
-def _class_pairs(data: Data, metric: str, part: str = "sums"):
-    """Distances by ordered pair of classes: number, sum and squares, or extremes."""
-    stats = shared_statistics(data, metric, part=part)
-    how = (F.min("lo").alias("lo"), F.max("hi").alias("hi")) if part == "ends" else (F.sum("s").alias("s"), F.sum("q").alias("q"))
-    return {(r["y"], r["c"]): r for r in stats.groupBy("y", "c").agg(F.sum("n").alias("n"), *how).collect()}
+def _class_pairs(data: Data, metric: str):
+    """Distances by ordered pair of classes."""
+    stats = shared_statistics(data, metric, part="sums")
+    return {(r["y"], r["c"]): r for r in stats.groupBy("y", "c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("q").alias("q")).collect()}
 
 
 @measure("clustering", scalar=True, supervised=True)
@@ -24,7 +23,7 @@ def vdu(data: Data, dist_metric: str = "euclidean"):
     """Least distance between classes, each divided by the classes' pairs, over the
     largest one inside a class."""
     sizes = [n for _, n in data.classes]
-    pairs = _class_pairs(data, dist_metric, "ends")
+    pairs = _class_pairs(data, dist_metric)
     between = [r["lo"] / (sizes[a] * sizes[b]) for (a, b), r in pairs.items() if a < b]
     within = [r["hi"] for (a, b), r in pairs.items() if a == b]
     return min(between) / max(within) if between and within and max(within) else NAN
